@@ -87,7 +87,7 @@ b AS (SELECT fold, role, case_id + CASE WHEN case_id % 61 = 4 THEN 1000000 ELSE
   CASE WHEN case_id % 53 = 2 THEN pos + 1 ELSE pos END AS pos FROM a)
 SELECT coalesce(a.fold, b.fold) AS fold, coalesce(a.role, b.role) AS role, coalesce(a.case_id, b.case_id) AS case_id,
   CASE WHEN b.pos IS NULL THEN 'missing' WHEN a.pos IS NULL THEN 'extra' ELSE 'order' END AS kind,
-  a.pos AS left_pos, b.pos AS right_pos
+  coalesce(a.pos, -1) AS left_pos, coalesce(b.pos, -1) AS right_pos
 FROM a FULL OUTER JOIN b ON a.fold = b.fold AND a.role = b.role AND a.case_id = b.case_id
 WHERE a.pos IS NULL OR b.pos IS NULL OR a.pos <> b.pos""")
 def compare_folds(spark, sf):
@@ -99,7 +99,7 @@ def compare_folds(spark, sf):
         (F.col("case_id") + F.when(F.col("case_id") % 61 == 4, 1000000).otherwise(0)).alias("case_id"),
         F.when(F.col("case_id") % 53 == 2, F.col("pos") + 1).otherwise(F.col("pos")).alias("pos"),
     )
-    return splits.compare_folds(a, b)
+    return splits.compare_folds(a, b).fillna(-1, ["left_pos", "right_pos"])
 
 
 @query("pixel_partition", cte("img2") + f""",
