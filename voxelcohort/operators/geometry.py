@@ -99,7 +99,7 @@ def channel_gate(requested: DataFrame, allowed: Sequence[str]) -> DataFrame:
 
 
 def _determinant(a: Column) -> Column:
-    m = [[F.element_at(a, 4 * r + c + 1) for c in range(3)] for r in range(3)]
+    m = [[F.get(a, F.lit(4 * r + c)) for c in range(3)] for r in range(3)]
     return (
         m[0][0] * (m[1][1] * m[2][2] - m[1][2] * m[2][1])
         - m[0][1] * (m[1][0] * m[2][2] - m[1][2] * m[2][0])
@@ -178,13 +178,13 @@ def roi_crop(voxels: DataFrame, roi: DataFrame) -> DataFrame:
 def shift_affine(headers: DataFrame, starts: Column) -> DataFrame:
     """Affine of a crop: the translation moves by rotation-scale times the start index."""
     a = F.col("affine")
-    at = lambda r, c: F.element_at(a, 4 * r + c + 1)
+    at = lambda r, c: F.get(a, F.lit(4 * r + c))
     moved = []
     for r in range(4):
         for c in range(4):
             cell = at(r, c)
             if c == 3 and r < 3:
-                cell = cell + sum((at(r, i) * F.element_at(starts, i + 1) for i in range(3)), F.lit(0.0))
+                cell = cell + sum((at(r, i) * F.get(starts, F.lit(i)) for i in range(3)), F.lit(0.0))
             moved.append(cell)
     return headers.withColumn("affine", F.array(*moved))
 
