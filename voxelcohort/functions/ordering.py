@@ -117,18 +117,23 @@ def take_lowest(
 
 
 def exact_quantiles(
-    df: DataFrame, group: Sequence[str], value: str | Column, probs: Mapping[str, float]
+    df: DataFrame,
+    group: Sequence[str],
+    value: str | Column,
+    probs: Mapping[str, float],
+    weight: str | None = None,
 ) -> DataFrame:
     """Exact linear-interpolation quantiles of the finite values, one row a group.
 
     Equal values are merged first (map-side), bucket totals locate the wanted ranks,
-    and only the buckets that hold a wanted rank are sorted.
+    and only the buckets that hold a wanted rank are sorted. ``weight`` counts a row
+    several times.
     """
     column = F.col(value) if isinstance(value, str) else value
     merged = (
         df.where(finite(column))
         .groupBy(*group, column.alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_n"))
+        .agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_n"))
         .withColumn("_b", value_bucket(F.col("_v")))
     )
     totals = merged.groupBy(*group, "_b").agg(F.sum("_n").alias("_t"))

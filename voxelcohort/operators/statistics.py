@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from voxelcohort.functions import (
-    constant_rows,
     exact_quantiles,
     finite,
     hash_key,
@@ -238,8 +237,3 @@ def sensitivity_lines(rows: DataFrame, key: str, value: str = "delta_mean", pref
     """Markdown rows ``| metric | key | n | value |`` of fold or quartile sensitivity tables."""
     line = F.format_string(f"| %s | {prefix}%d | %d | %+.5f |", F.col("metric"), F.col(key), F.col("n"), F.col(value))
     return rows.select("metric", F.col(key).cast("int").alias("line_no"), line.alias("line"))
-
-
-def repeat_for(df: DataFrame, values: Sequence, name: str) -> DataFrame:
-    """Conditions applied to every row without a join."""
-    return constant_rows(df, values, name)

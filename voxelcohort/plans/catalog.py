@@ -1,6 +1,6 @@
 """All registered queries; importing this module fills the registry."""
 
-from voxelcohort.plans import catalog_geometry, catalog_masks, catalog_metrics, catalog_splits, catalog_statistics  # noqa: F401
+from voxelcohort.plans import catalog_geometry, catalog_masks, catalog_metrics, catalog_pixels, catalog_splits, catalog_statistics  # noqa: F401
 from voxelcohort.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "voxelcohort", cores: int | str = "*", **conf: str) -> SparkSession:
@@ -44,6 +45,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_side(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """Materialise a parameter table and broadcast it only if its counted size is small.
+
+    Larger tables are returned unhinted and join by shuffle, with the same result.
+    """
+    table = cut_lineage(df)
+    return F.broadcast(table) if table.limit(max_rows + 1).count() <= max_rows else table
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new, unused path in the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
