@@ -200,7 +200,7 @@ ex AS (SELECT f.range AS fold, smp.* FROM smp JOIN range(5) f ON f.range <> vf),
 par AS (SELECT fold, channel, quantile_cont(value, 0.005) AS clip_low, quantile_cont(value, 0.995) AS clip_high,
   CASE WHEN channel = 'ncct' THEN avg(value) ELSE quantile_cont(value, 0.5) END AS center,
   CASE WHEN channel = 'ncct' THEN stddev_pop(value) ELSE (quantile_cont(value, 0.75) - quantile_cont(value, 0.25)) / 1.349 END AS scale,
-  count(*) AS n_samples FROM ex GROUP BY ALL)"""
+  count(*) AS n_samples FROM ex GROUP BY fold, channel)"""
 
 
 def support_samples(spark, sf):
