@@ -2,13 +2,44 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
+from itertools import product
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxelcohort.operators import masks, metrics, models, preprocess, splits
 from voxelcohort.operators.features import FeatureConfig, nine_features
-from voxelcohort.operators.preprocess import preprocess
+from voxelcohort.session import cut_lineage
+
+# Fixed sensitivity grids.
+FEATURE_VARIANTS = {
+    "minimal_count_t20": ("paper_minimal", "threshold_count", 20.0),
+    "minimal_centered_t20": ("paper_minimal", "centered_run", 20.0),
+    "minimal_max_t20": ("paper_minimal", "max_run", 20.0),
+    **{
+        f"uint8_{short}_t{t}": ("robust_uint8", mode, float(t))
+        for short, mode in (("count", "threshold_count"), ("centered", "centered_run"), ("max", "max_run"))
+        for t in (10, 20, 40)
+    },
+}
+SPLIT_SEEDS = tuple(range(20))
+SVM_GRID = tuple(product(("standard", "minmax", "none"), (0.1, 1.0, 10.0), ("scale", 0.01, 0.1)))
+MORPHOLOGY_RADII, MORPHOLOGY_SCALERS = (0, 1, 2, 3, 5), ("standard", "none")
+LEAKAGE_SPLITS = {"pixel_70_30": (0.70, 0.0), "pixel_70_15_15": (0.70, 0.15)}
+HISTOGRAM_MODES = ("none", "first", "median_nearest")
+SCORES = ("dice", "precision", "recall", "auc")
+
+Fit = Callable[[DataFrame], models.PixelModel]
+
+
+def choose_slices(voxels: DataFrame, strategy: str = "max_lesion") -> DataFrame:
+    """Pixels ``(case_id, row, col, value, label)`` of one chosen slice a case."""
+    chosen = preprocess.pick_slice(voxels, strategy)
+    return voxels.join(chosen, ["case_id", "z"], "left_semi").select(
+        "case_id", F.col("y").alias("row"), F.col("x").alias("col"), "value", "label"
+    )
 
 
 def prepare_pixels(
@@ -19,6 +50,148 @@ def prepare_pixels(
 
     The brain filter stays behind the windows, which need whole images.
     """
-    filtered = preprocess(pixels, mode, median_size, image)
+    return _featured(preprocess.preprocess(pixels, mode, median_size, image), config, image)
+
+
+def _featured(filtered: DataFrame, config: FeatureConfig | None, image: Sequence[str] = ("case_id",)) -> DataFrame:
     out = nine_features(filtered, config, image).where("brain")
     return out.withColumn("label", (F.col("label").cast("int") > 0).cast("int"))
+
+
+def image_shapes(pixels: DataFrame) -> DataFrame:
+    return pixels.groupBy("case_id").agg((F.max("row") + 1).alias("height"), (F.max("col") + 1).alias("width"))
+
+
+def evaluate_scored(scored: DataFrame, shapes: DataFrame, close_radius: int, model: str) -> DataFrame:
+    """Per-case metrics of scored brain pixels after closing the predicted mask."""
+    keys = ["case_id", F.lit(0).alias("z"), F.col("row").alias("y"), F.col("col").alias("x")]
+    restored = masks.restore_mask(scored, scored, shapes, close_radius)
+    rows = metrics.overlap_metrics(scored.where("label = 1").select(*keys), restored.select(*keys), scored)
+    auc = metrics.roc_auc(scored, "score", "label").select("case_id", "auc")
+    return rows.join(auc, "case_id", "left").withColumn("model", F.lit(model))
+
+
+def train_eval(
+    pixels: DataFrame, split: DataFrame, fits: Mapping[str, Fit], mode: str = "paper_minimal",
+    config: FeatureConfig | None = None, target: int = 15_000, close_radius: int = 1, seed: int = 2026,
+    prepared: DataFrame | None = None,
+) -> DataFrame:
+    """Case metrics of each model on held-out cases; ``split``: ``(case_id, role)``.
+
+    Features are computed and materialised once; fitting sees only the balanced sample.
+    """
+    feats = cut_lineage(prepare_pixels(pixels, mode, config)) if prepared is None else prepared
+    train = feats.join(split.where("role = 'train'"), "case_id", "left_semi")
+    sample = cut_lineage(splits.balanced_sample(train, "label", ["case_id", "row", "col"], target, seed))
+    test = feats.join(split.where("role = 'test'"), "case_id", "left_semi")
+    shapes = image_shapes(pixels)
+    parts = [
+        evaluate_scored(cut_lineage(fit(sample).score(test).select("case_id", "row", "col", "label", "score", "prediction")),
+                        shapes, close_radius, name)
+        for name, fit in fits.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def pixel_leakage_eval(
+    pixels: DataFrame, fit: Fit, train_fraction: float, validation_fraction: float = 0.0, target: int = 2_000, seed: int = 2026
+) -> DataFrame:
+    """Random pixels of the same case on both sides: a leakage diagnostic, invalid as evaluation by design."""
+    feats = cut_lineage(prepare_pixels(pixels))
+    roles = cut_lineage(splits.pixel_partition(feats, ["row", "col"], train_fraction, validation_fraction, seed))
+    sample = cut_lineage(splits.balanced_sample(roles.where("role = 'train'"), "label", ["case_id", "row", "col"], target, seed))
+    scored = cut_lineage(fit(sample).score(roles.where("role = 'test'")).select("case_id", "label", "score", "prediction"))
+    rows = metrics.overlap_metrics_dense(scored, F.col("label") == 1, F.col("prediction") == 1)
+    return rows.join(metrics.roc_auc(scored, "score", "label").select("case_id", "auc"), "case_id").withColumn(
+        "model", F.lit("pixel_leakage")
+    )
+
+
+def histogram_matched(pixels: DataFrame, split: DataFrame, mode: str, config: FeatureConfig | None = None) -> DataFrame:
+    """Features after matching every brain histogram to a training reference case."""
+    filtered = preprocess.preprocess(pixels)
+    if mode != "none":
+        filtered = cut_lineage(filtered)
+        reference = preprocess.reference_case(filtered, split.where("role = 'train'"), mode)
+        brain = filtered.where("brain")
+        matched = preprocess.histogram_match(brain, brain.join(reference, "case_id", "left_semi").select("value"))
+        moved = matched.select("case_id", "row", "col", "matched")
+        filtered = filtered.join(moved, ["case_id", "row", "col"], "left").withColumn(
+            "value", F.coalesce("matched", F.lit(0.0))
+        ).drop("matched")
+    return cut_lineage(_featured(filtered, config))
+
+
+def histogram_eval(pixels: DataFrame, split: DataFrame, fit: Fit, mode: str, target: int = 15_000, seed: int = 2026) -> DataFrame:
+    prepared = histogram_matched(pixels, split, mode)
+    return train_eval(pixels, split, {f"histogram_{mode}": fit}, target=target, seed=seed, prepared=prepared)
+
+
+def summarize(rows: DataFrame) -> DataFrame:
+    """Mean and deviation of each score per model, one row a model."""
+    stats = metrics.finite_summary(rows, SCORES)
+    return stats.groupBy("model").agg(
+        F.max("n").alias("cases"),
+        *[F.max(F.when(F.col("metric") == m, F.col(s))).alias(f"{m}_{s}") for m in SCORES for s in ("mean", "std")],
+    )
+
+
+def morphology_sweep(scored: DataFrame, shapes: DataFrame, radii: Sequence[int] = MORPHOLOGY_RADII) -> DataFrame:
+    """One scored frame evaluated under every closing radius, no refit."""
+    parts = [summarize(evaluate_scored(scored, shapes, r, f"close_{r}")) for r in radii]
+    return reduce(DataFrame.unionByName, parts).withColumnRenamed("model", "condition")
+
+
+def run_sweep(spark: SparkSession, conditions: Mapping[str, Callable[[], DataFrame]], path: str) -> DataFrame:
+    """Run predeclared conditions, each appended as its own partition; finished ones are skipped.
+
+    Returns all summaries, best dice first, then by name.
+    """
+    try:
+        done = {r["condition"] for r in spark.read.parquet(path).select("condition").distinct().collect()}  # grid-sized
+    except Exception:
+        done = set()
+    for name, run in conditions.items():
+        if name not in done:
+            run().withColumn("condition", F.lit(name)).write.mode("append").partitionBy("condition").parquet(path)
+    return spark.read.parquet(path).orderBy(F.col("dice_mean").desc(), "condition")
+
+
+def feature_sweep(
+    spark: SparkSession, pixels: DataFrame, split: DataFrame, fit: Fit, path: str, target: int = 2_000,
+    variants: Mapping[str, tuple[str, str, float]] = FEATURE_VARIANTS,
+) -> DataFrame:
+    def condition(mode: str, run_mode: str, threshold: float) -> Callable[[], DataFrame]:
+        config = FeatureConfig(threshold=threshold, run_mode=run_mode)
+        return lambda: summarize(train_eval(pixels, split, {"svm": fit}, mode, config, target))
+
+    return run_sweep(spark, {name: condition(*v) for name, v in variants.items()}, path)
+
+
+def split_sweep(
+    spark: SparkSession, pixels: DataFrame, fit: Fit, path: str, seeds: Sequence[int] = SPLIT_SEEDS, target: int = 2_000
+) -> DataFrame:
+    """The same model under many patient splits; features are shared by all of them."""
+    prepared = cut_lineage(prepare_pixels(pixels))
+    cases = pixels.select("case_id").distinct()
+
+    def condition(seed: int) -> Callable[[], DataFrame]:
+        return lambda: summarize(train_eval(
+            pixels, splits.holdout_split(cases, seed=seed), {"svm": fit}, target=target, seed=seed, prepared=prepared))
+
+    return run_sweep(spark, {f"seed_{s:02d}": condition(s) for s in seeds}, path)
+
+
+def svm_sweep(
+    spark: SparkSession, pixels: DataFrame, split: DataFrame, path: str, grid: Sequence[tuple] = SVM_GRID,
+    target: int = 2_000, components: int = 256, max_iter: int = 100,
+) -> DataFrame:
+    """Scaler, C and gamma settings over shared features."""
+    prepared = cut_lineage(prepare_pixels(pixels))
+
+    def condition(scaler: str, c: float, gamma: float | str) -> Callable[[], DataFrame]:
+        config = models.RbfSvmConfig(c=c, gamma=gamma, scaler=scaler, components=components, max_iter=max_iter)
+        fit = lambda sample: models.rbf_svm_classifier(sample, config)
+        return lambda: summarize(train_eval(pixels, split, {"svm": fit}, target=target, prepared=prepared))
+
+    return run_sweep(spark, {f"{s}_C{c}_gamma{g}": condition(s, c, g) for s, c, g in grid}, path)
