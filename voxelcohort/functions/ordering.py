@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from voxelcohort.functions.expressions import finite
+from voxelcohort.session import small_side
 
 BUCKETS_PER_E_FOLD = 64
 SMALLEST_MAGNITUDE = 1e-30
@@ -94,7 +95,8 @@ def take_lowest(
     """The ``limit`` rows of each group with the smallest md5 ``key``.
 
     Buckets of the key's first hex digits that lie wholly beyond the limit are dropped
-    before anything is shuffled, so about ``limit`` rows a group move, not the group.
+    before anything is shuffled, so about ``limit`` rows a group move, not the group
+    (the kept buckets are broadcast once their counted number allows it).
     ``limit`` may be an expression over the per-bucket counts ``(group, _b, _n)``.
     """
     keyed = df.withColumn("_b", F.substring(key, 1, digits))
@@ -109,7 +111,7 @@ def take_lowest(
     )
     local = W.partitionBy(*group, "_b").orderBy(key, *ties)
     return (
-        keyed.join(kept, [*group, "_b"])
+        keyed.join(small_side(kept, 1_000_000), [*group, "_b"])
         .withColumn("_r", F.row_number().over(local) + F.col("_off"))
         .where(F.col("_r") <= F.col("_limit"))
         .drop("_b", "_off", "_limit", "_r")

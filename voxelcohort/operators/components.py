@@ -1,20 +1,24 @@
 """Connected components and hole filling on sparse masks ``(case_id, z, y, x)``.
 
-Voxels shrink to horizontal runs, runs to a graph of touching runs, and the graph is
-solved by parent hooking with pointer jumping: a logarithmic number of rounds, each a
-few equi-joins. A component is named by its first voxel in raster order (``pack_voxel``).
-2-D images use a constant ``z``.
+Voxels shrink to horizontal runs and runs to a graph of touching runs. Links inside one
+block of lines are solved block by block (a block is bounded, whatever the case size);
+what remains is the small graph between blocks, solved by parent hooking with pointer
+jumping: a logarithmic number of rounds, each a few equi-joins. A component is named by
+its first voxel in raster order (``pack_voxel``). 2-D images use a constant ``z``.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from voxelcohort.functions import pack_voxel, unpack_voxel
-from voxelcohort.session import cut_lineage
+from voxelcohort.session import cut_lineage, small_side
 
+BLOCK_Z_BITS, BLOCK_Y_BITS = 4, 6  # a block holds 16 slices by 64 rows of lines
 X_BIN = 32  # runs meet inside bins of this width, so a line never yields all its run pairs
 
 # Forward line offsets (dz, dy) with the reach along x, per connectivity.
@@ -68,9 +72,62 @@ def touching_runs(runs: DataFrame, connectivity: int) -> DataFrame:
     return left.join(right, ["case_id", "z", "y", "_bin"]).where(overlap & first_shared_bin).select("case_id", "a", "b")
 
 
+def _minimum_labels(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of a link list and the smallest node each can reach (hooking on arrays)."""
+    nodes, index = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = index[: len(u)], index[len(u):]
+    parent = np.arange(len(nodes))
+    while True:
+        grand = parent[parent]
+        best = grand.copy()
+        np.minimum.at(best, a, grand[b])
+        np.minimum.at(best, b, grand[a])
+        moved = np.minimum(parent, best)
+        np.minimum.at(moved, parent, best)
+        if np.array_equal(moved, parent):
+            return nodes, nodes[parent]
+        parent = moved
+
+
+def _solve_block(links: pd.DataFrame) -> pd.DataFrame:
+    nodes, labels = _minimum_labels(links["a"].to_numpy(), links["b"].to_numpy())
+    return pd.DataFrame({"case_id": links["case_id"].iloc[0], "node": nodes, "label": labels})
+
+
 def connected_labels(edges: DataFrame) -> DataFrame:
     """Smallest node of the component of every node that has an edge: ``(case_id, node, label)``.
 
+    Nodes are packed run starts. Links within a block of lines are contracted first; only
+    links between blocks enter the distributed rounds.
+    """
+    block = lambda c: F.struct(
+        F.shiftright(c, 2 * 21 + BLOCK_Z_BITS).alias("zb"),
+        F.shiftright(c, 21).bitwiseAND((1 << 21) - 1).bitwiseAND(-(1 << BLOCK_Y_BITS)).alias("yb"),
+    )
+    links = cut_lineage(
+        edges.where("a <> b").withColumn("_block", block(F.col("a"))).withColumn("_inside", F.col("_block") == block(F.col("b")))
+    )
+    case_type = edges.schema["case_id"].dataType.simpleString()
+    local = cut_lineage(
+        links.where("_inside").select("case_id", "a", "b", "_block.zb", "_block.yb")
+        .groupBy("case_id", "zb", "yb")
+        .applyInPandas(_solve_block, f"case_id {case_type}, node long, label long")
+    )
+    between = links.where("not _inside").select("case_id", "a", "b")
+    if between.isEmpty():
+        return local
+    for end in ("a", "b"):
+        named = local.select("case_id", F.col("node").alias(end), F.col("label").alias("_to"))
+        between = between.join(named, ["case_id", end], "left").withColumn(end, F.coalesce("_to", end)).drop("_to")
+    merged = _hook_rounds(between.where("a <> b").distinct())
+    renamed = local.join(merged.select("case_id", F.col("node").alias("label"), F.col("label").alias("_to")), ["case_id", "label"], "left")
+    inside = renamed.select("case_id", "node", F.coalesce("_to", "label").alias("label"))
+    return inside.unionByName(merged.join(local.select("case_id", "node"), ["case_id", "node"], "left_anti"))
+
+
+def _hook_rounds(edges: DataFrame) -> DataFrame:
+    """Distributed hooking until no parent moves.
+
     A giant component concentrates parents on one label; that side of the join is the
     one adaptive execution splits, and the minimum per parent is combined map-side.
     """
@@ -139,13 +196,12 @@ def background_runs(runs: DataFrame) -> DataFrame:
     )
     for axis in ("z", "y", "x"):
         box = box.withColumn(f"{axis}_lo", F.col(f"{axis}_lo") - 1).withColumn(f"{axis}_hi", F.col(f"{axis}_hi") + 1)
+    box = small_side(box)
     slices = box.withColumn("z", F.explode(F.sequence("z_lo", "z_hi"))).repartition("case_id", "z")
     lines = slices.withColumn("y", F.explode(F.sequence("y_lo", "y_hi")))
     # A sentinel run just outside the box on the left starts the first gap of every line.
     starts = lines.select("case_id", "z", "y", (F.col("x_lo") - 1).alias("x0"), (F.col("x_lo") - 1).alias("x1"))
-    joined = starts.unionByName(runs.select("case_id", "z", "y", "x0", "x1")).join(
-        box.select("case_id", "z_lo", "z_hi", "y_lo", "y_hi", "x_lo", "x_hi"), "case_id"
-    )
+    joined = starts.unionByName(runs.select("case_id", "z", "y", "x0", "x1")).join(box, "case_id")
     line = W.partitionBy("case_id", "z", "y").orderBy("x0")
     gap_end = F.coalesce(F.lead("x0").over(line) - 1, F.col("x_hi"))
     on_edge = (

@@ -20,6 +20,7 @@ from voxelcohort.functions import (
     violations_of,
     violations_union,
 )
+from voxelcohort.session import small_side
 
 GEOMETRY_ATOL = 1e-5
 COHORT_2024_ATOL = 2e-5
@@ -164,12 +165,12 @@ def roi_violations(bbox: DataFrame, min_support: int = 128) -> DataFrame:
 
 
 def roi_crop(voxels: DataFrame, roi: DataFrame) -> DataFrame:
-    """Voxels inside the ROI, re-indexed from its start. The ROI table has one row a case;
-    Spark broadcasts it only when its measured size allows."""
+    """Voxels inside the ROI, re-indexed from its start. The ROI table (one row a case) is
+    broadcast only when its counted size allows."""
     inside = F.lit(True)
     for a in ("z", "y", "x"):
         inside = inside & (F.col(a) >= F.col(f"{a}_start")) & (F.col(a) < F.col(f"{a}_start") + F.col(f"{a}_len"))
-    out = voxels.join(roi, "case_id").where(inside)
+    out = voxels.join(small_side(roi), "case_id").where(inside)
     for a in ("z", "y", "x"):
         out = out.withColumn(a, F.col(a) - F.col(f"{a}_start"))
     return out.drop(*[f"{a}_{p}" for a in ("z", "y", "x") for p in ("start", "len")])

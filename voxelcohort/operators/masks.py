@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from voxelcohort.functions import finite, violation, violations_of, violations_union
 from voxelcohort.operators import components
+from voxelcohort.session import small_side
 
 # Fixed values of the head-tissue support rule (Hounsfield units, coverage limits).
 ENVELOPE_ABOVE = -500.0
@@ -62,7 +63,7 @@ def support_qc(support: DataFrame, head: DataFrame, shapes: DataFrame) -> DataFr
         ((F.col(a) == 0).cast("int") + (F.col(a) == F.col(d) - 1).cast("int"))
         for a, d in (("z", "depth"), ("y", "height"), ("x", "width"))
     )
-    per_case = support.join(shapes, "case_id").groupBy("case_id").agg(
+    per_case = support.join(small_side(shapes), "case_id").groupBy("case_id").agg(
         F.count(F.lit(1)).alias("n_support"),
         *[f(F.col(a)).alias(f"{a}_{n}") for a in ("z", "y", "x") for f, n in ((F.min, "min"), (F.max, "max"))],
         F.sum(faces).alias("border_voxels"),
@@ -148,7 +149,7 @@ def close_2d(mask: DataFrame, shapes: DataFrame, radius: int) -> DataFrame:
     shift = lambda df: df.withColumn("_o", stamp).select(
         "case_id", (F.col("row") + F.col("_o.dy")).alias("row"), (F.col("col") + F.col("_o.dx")).alias("col")
     )
-    dilated = shift(pixels).distinct().join(shapes.select("case_id", "height", "width"), "case_id").where(
+    dilated = shift(pixels).distinct().join(small_side(shapes.select("case_id", "height", "width")), "case_id").where(
         "`row` >= 0 and `row` < height and col >= 0 and col < width"
     )
     votes = shift(dilated.select(*keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))

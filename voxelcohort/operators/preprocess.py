@@ -65,7 +65,7 @@ def rescale_uint8(
     unit = (F.col("value") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
     scaled = F.when(F.col("brain") & (F.col("_hi") > F.col("_lo")), F.least(F.greatest(unit, F.lit(0.0)), F.lit(1.0)) * 255.0)
     return (
-        pixels.join(bounds, list(image), "left")
+        pixels.join(small_side(bounds), list(image), "left")
         .withColumn("value", F.coalesce(scaled, F.lit(0.0)))
         .drop("_lo", "_hi")
     )
@@ -75,7 +75,7 @@ def zscore_brain(pixels: DataFrame, image: Sequence[str] = ("case_id",)) -> Data
     """Brain pixels standardised by their population deviation; zero outside and in flat images."""
     stats = pixels.where("brain").groupBy(*image).agg(F.avg("value").alias("_m"), F.stddev_pop("value").alias("_s"))
     z = F.when(F.col("brain") & (F.col("_s") > 0), (F.col("value") - F.col("_m")) / F.col("_s"))
-    return pixels.join(stats, list(image), "left").withColumn("value", F.coalesce(z, F.lit(0.0))).drop("_m", "_s")
+    return pixels.join(small_side(stats), list(image), "left").withColumn("value", F.coalesce(z, F.lit(0.0))).drop("_m", "_s")
 
 
 def preprocess(pixels: DataFrame, mode: str = "paper_minimal", size: int = 3, image: Sequence[str] = ("case_id",)) -> DataFrame:
