@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from voxelcohort.functions import (
     exact_quantiles,
     finite,
+    order_bucket,
     pack_voxel,
     prefix_sums,
     require_empty,
@@ -88,3 +89,10 @@ def test_require_empty(spark):
     require_empty(spark.createDataFrame([], schema))
     with pytest.raises(ValueError, match="dup"):
         require_empty(spark.createDataFrame([("dup", "1", "")], schema))
+
+
+def test_order_bucket_for_text_ids(spark):
+    ids = [f"sub-stroke{i:04d}" for i in range(0, 3000, 7)] + ["sub-stroke", "sub-strokeX"]
+    df = spark.createDataFrame([(i,) for i in ids], "c string")
+    ranked = with_rank(df, [], ["c"], order_bucket(df, "c"), "r")
+    assert [r["c"] for r in ranked.orderBy("r").collect()] == sorted(ids)

@@ -13,6 +13,7 @@ from voxelcohort.functions.expressions import (
 )
 from voxelcohort.functions.ordering import (
     exact_quantiles,
+    order_bucket,
     prefix_sums,
     take_lowest,
     value_bucket,
@@ -21,6 +22,6 @@ from voxelcohort.functions.ordering import (
 
 __all__ = [
     "allclose", "closed_round", "constant_rows", "exact_quantiles", "finite", "hash_key", "pack_voxel",
-    "prefix_sums", "require_empty", "take_lowest", "unpack_voxel", "value_bucket",
+    "order_bucket", "prefix_sums", "require_empty", "take_lowest", "unpack_voxel", "value_bucket",
     "violation", "violations_of", "violations_union", "with_rank",
 ]

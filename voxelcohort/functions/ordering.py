@@ -9,10 +9,12 @@ window inside ``(group, bucket)`` only.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from os.path import commonprefix
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import NumericType
 
 from voxelcohort.functions.expressions import finite
 from voxelcohort.session import small_side
@@ -32,6 +34,19 @@ def value_bucket(value: Column) -> Column:
     return F.when(value > 0, size).when(value < 0, -size).otherwise(F.lit(0).cast("long"))
 
 
+def order_bucket(df: DataFrame, column: str) -> Column:
+    """Monotone bucket for the natural order of an id column, numeric or text.
+
+    Text ids are bucketed by the first characters behind the prefix they all share, which
+    the smallest and largest id determine.
+    """
+    if isinstance(df.schema[column].dataType, NumericType):
+        return value_bucket(F.col(column).cast("double"))
+    ends = df.agg(F.min(column).alias("lo"), F.max(column).alias("hi")).first()
+    shared = len(commonprefix([ends["lo"] or "", ends["hi"] or ""]))
+    return F.substring(column, shared + 1, 3)
+
+
 def _bucket_offsets(totals: DataFrame, group: Sequence[str], sums: Sequence[str]) -> DataFrame:
     before = W.partitionBy(*group).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     whole = W.partitionBy(*group)

@@ -12,9 +12,9 @@ from voxelcohort.functions import (
     constant_rows,
     finite,
     hash_key,
+    order_bucket,
     pack_voxel,
     take_lowest,
-    value_bucket,
     violation,
     violations_of,
     violations_union,
@@ -228,9 +228,9 @@ def stride_sample(
 
 
 def evenly_spaced_pick(cases: DataFrame, n: int) -> DataFrame:
-    """``n`` sorted numeric ids at positions ``i*(m-1) div (n-1)``, by integer arithmetic."""
+    """``n`` sorted ids at positions ``i*(m-1) div (n-1)``, by integer arithmetic."""
     ids = cases.select("case_id").distinct()
-    ranked = with_rank(ids, [], ["case_id"], value_bucket(F.col("case_id").cast("double")), name="_r", total="_m")
+    ranked = with_rank(ids, [], ["case_id"], order_bucket(ids, "case_id"), name="_r", total="_m")
     r, gaps = F.col("_r") - 1, F.greatest(F.col("_m") - 1, F.lit(1))
     i = F.ceil(r * (n - 1) / gaps)
     chosen = (r == 0) if n == 1 else (F.floor(i * gaps / (n - 1)) == r) & (i <= n - 1)
@@ -298,7 +298,7 @@ def missing_artifacts(cases: DataFrame, suffixes: Sequence[str], files: DataFram
 def shard_plan(files: DataFrame, per_shard: int = 10) -> DataFrame:
     """Consecutive groups of sorted subjects with file count, bytes and subject list."""
     per_case = files.groupBy("case_id").agg(F.count(F.lit(1)).alias("_files"), F.sum("size").alias("_bytes"))
-    ranked = with_rank(per_case, [], ["case_id"], value_bucket(F.col("case_id").cast("double")), name="_r")
+    ranked = with_rank(per_case, [], ["case_id"], order_bucket(per_case, "case_id"), name="_r")
     return (
         ranked.withColumn("shard", F.floor((F.col("_r") - 1) / per_shard))
         .groupBy("shard")

@@ -16,7 +16,7 @@ from voxelcohort.functions import (
     exact_quantiles,
     finite,
     hash_key,
-    value_bucket,
+    order_bucket,
     violation,
     violations_of,
     violations_union,
@@ -49,8 +49,8 @@ def bootstrap_means(
 
     Draw i of a repetition picks row ``md5(rep|i|seed) mod n``; all value columns share draws.
     """
-    bucket = value_bucket(F.col(key).cast("double"))
-    numbered = with_rank(df.select(key, *values), [], [key], bucket, name="_i", total="_n").withColumn("_i", F.col("_i") - 1)
+    rows = df.select(key, *values)
+    numbered = with_rank(rows, [], [key], order_bucket(rows, key), name="_i", total="_n").withColumn("_i", F.col("_i") - 1)
     draws = _spread_repetitions(numbered.select("_i", "_n"), reps)
     picked = F.conv(F.substring(hash_key(["rep", "_i"], seed), 1, 12), 16, 10).cast("long") % F.col("_n")
     return (

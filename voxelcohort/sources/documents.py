@@ -33,7 +33,7 @@ def file_case_id(path: Column) -> Column:
 
 def read_fold_summaries(spark: SparkSession, path: str) -> DataFrame:
     """Per-case rows of nested fold summary files (one JSON document a file)."""
-    text = spark.read.option("wholetext", "true").text(path)
+    text = spark.read.text(path, wholetext=True)
     return parse_fold_summaries(text.withColumn("fold", F.regexp_extract(F.input_file_name(), r"fold_?(\d+)", 1).try_cast("int")))
 
 
@@ -63,7 +63,7 @@ def summary_violations(rows: DataFrame, known: DataFrame) -> DataFrame:
 
 def read_splits(spark: SparkSession, path: str) -> DataFrame:
     """Split file ``[{train: [], val: []}]`` as ``(fold, role, pos, case_id)``."""
-    return parse_splits(spark.read.option("wholetext", "true").text(path))
+    return parse_splits(spark.read.text(path, wholetext=True))
 
 
 def parse_splits(documents: DataFrame, text: str = "value", keep: Sequence[str] = ()) -> DataFrame:

@@ -127,8 +127,9 @@ def assemble_cases(
 
 def acute_model_inputs(cases: DataFrame, allowed: Sequence[str]) -> DataFrame:
     """Available allow-listed channels of each case, long form."""
-    pairs = ", ".join(f"'{c}', `{c}`" for c in allowed)
-    return cases.selectExpr("case_id", f"stack({len(allowed)}, {pairs}) as (channel, path)").where("path is not null")
+    present = [c for c in allowed if c in cases.columns]
+    pairs = ", ".join(f"'{c}', `{c}`" for c in present)
+    return cases.selectExpr("case_id", f"stack({len(present)}, {pairs}) as (channel, path)").where("path is not null")
 
 
 def session_resolve(files: DataFrame, phase: int) -> DataFrame:
