@@ -93,15 +93,14 @@ def trace_violations(trace: DataFrame, roles: DataFrame, epochs: int) -> DataFra
 
 def trace_inputs_violations(roles: DataFrame, expected_cases: int | None = None) -> DataFrame:
     """Training and held-out ids must both exist and stay apart."""
-    per_case = roles.groupBy("case_id").agg(F.count_distinct("role").alias("n"), F.min("role").alias("role"))
-    n = per_case.agg(
-        F.count_if(F.col("role") == "train").alias("train"), F.count_if(F.col("role") == "val").alias("val"), F.count(F.lit(1)).alias("all")
-    )
+    has = lambda r: F.bool_or(F.col("role") == r)
+    per_case = roles.groupBy("case_id").agg(has("train").alias("t"), has("val").alias("v"))
+    n = per_case.agg(F.count_if("t").alias("train"), F.count_if("v").alias("val"), F.count(F.lit(1)).alias("all"))
     rules = [
         (F.col("train") == 0, "no_training_case", F.lit("roles"), F.lit("")),
         (F.col("val") == 0, "no_held_out_case", F.lit("roles"), F.lit("")),
     ]
     if expected_cases is not None:
         rules.append((F.col("all") != expected_cases, "case_count", F.lit("roles"), F.col("all")))
-    both = violations_of(per_case, [(F.col("n") > 1, "case_in_both_roles", F.col("case_id"), F.lit(""))])
+    both = violations_of(per_case, [(F.col("t") & F.col("v"), "case_in_both_roles", F.col("case_id"), F.lit(""))])
     return violations_union([violations_of(n, rules), both])
