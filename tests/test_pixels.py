@@ -197,3 +197,12 @@ def test_apply_normalization_replaces_and_caps(spark):
     assert [r["value"] for r in out] == [0.0, 0.0, 0.0, -8.0, 8.0, 0.0]
     audit = preprocess.normalization_audit(preprocess.apply_normalization(vox, params)).first()
     assert (audit["nonfinite_in"], audit["over_cap_out"], audit["nonfinite_out"]) == (3, 0, 0)
+
+
+def test_sketch_is_close_to_the_exact_fit(spark):
+    samples = spark.range(40_000).selectExpr("concat('s', id % 4) as case_id", "'mtt' as channel", "double((id * 7919) % 40009) as value")
+    folds = spark.createDataFrame([(f"s{i}", i) for i in range(4)], "case_id string, fold int")
+    exact = {r["fold"]: r for r in preprocess.fit_normalization(samples, folds, 4).collect()}
+    for r in preprocess.fit_normalization_sketch(samples, folds, 4).collect():
+        assert abs(r["median"] - exact[r["fold"]]["center"]) < 0.02 * 40_009 and r["n_samples"] == 30_000
+        assert abs(r["clip_low"] - exact[r["fold"]]["clip_low"]) < 0.02 * 40_009

@@ -22,6 +22,7 @@ from voxelcohort.functions import (
 )
 from voxelcohort.operators.components import label_components
 from voxelcohort.operators.masks import mask_intersect
+from voxelcohort.operators.statistics import bootstrap_mean_ci
 from voxelcohort.session import cut_lineage
 
 VOXEL_KEY = ["case_id", "z", "y", "x"]
@@ -251,15 +252,17 @@ def to_long(df: DataFrame, metrics: Sequence[str], keep: Sequence[str]) -> DataF
     return df.selectExpr(*keep, f"stack({len(metrics)}, {pairs}) as (metric, value)")
 
 
-def metric_summary(df: DataFrame, metrics: Sequence[str], by: str = "fold") -> DataFrame:
+def metric_summary(
+    df: DataFrame, metrics: Sequence[str], by: str = "fold", bootstrap_reps: int | None = None, key: str = "case_id",
+    seed: int = 2026,
+) -> DataFrame:
     """Per metric, overall and per fold: n, mean, sample deviation, quartiles, extremes.
 
     Every row is repeated once for the overall group, so one pass serves both levels
-    (``fold`` -1 is overall).
+    (``scope`` -1 is overall). ``bootstrap_reps`` adds an interval of each mean.
     """
-    long = to_long(df, metrics, [by]).withColumn(
-        "scope", F.explode(F.array(F.lit(-1).cast("long"), F.col(by).cast("long")))
-    )
+    scoped = df.withColumn("scope", F.explode(F.array(F.lit(-1).cast("long"), F.col(by).cast("long"))))
+    long = to_long(scoped, metrics, ["scope"])
     stats = long.groupBy("metric", "scope").agg(
         F.count("value").alias("n"),
         F.avg("value").alias("mean"),
@@ -268,7 +271,10 @@ def metric_summary(df: DataFrame, metrics: Sequence[str], by: str = "fold") -> D
         F.max("value").alias("max"),
     )
     quartiles = exact_quantiles(long, ["metric", "scope"], "value", {"q1": 0.25, "median": 0.5, "q3": 0.75})
-    return stats.join(quartiles, ["metric", "scope"])
+    out = stats.join(quartiles, ["metric", "scope"])
+    if bootstrap_reps is None:
+        return out
+    return out.join(bootstrap_mean_ci(scoped, metrics, key, bootstrap_reps, seed=seed, group=["scope"]), ["metric", "scope"])
 
 
 def finite_summary(df: DataFrame, metrics: Sequence[str], by: str = "model") -> DataFrame:

@@ -43,35 +43,39 @@ def _spread_repetitions(df: DataFrame, reps: int) -> DataFrame:
 
 
 def bootstrap_means(
-    df: DataFrame, values: Sequence[str], key: str = "case_id", reps: int = 10_000, seed: int = 2026
+    df: DataFrame, values: Sequence[str], key: str = "case_id", reps: int = 10_000, seed: int = 2026,
+    group: Sequence[str] = (),
 ) -> DataFrame:
-    """Means of ``values`` in each resample of n rows with replacement: ``(rep, <values>)``.
+    """Means of ``values`` in each resample of n rows with replacement: ``(<group>, rep, <values>)``.
 
-    Draw i of a repetition picks row ``md5(rep|i|seed) mod n``; all value columns share draws.
+    Draw i of a repetition picks row ``md5(rep|i|seed) mod n`` of its group; all value columns
+    share draws. Draws of one row are counted before they meet the values.
     """
-    rows = df.select(key, *values)
-    numbered = with_rank(rows, [], [key], order_bucket(rows, key), name="_i", total="_n").withColumn("_i", F.col("_i") - 1)
-    draws = _spread_repetitions(numbered.select("_i", "_n"), reps)
+    group = list(group)
+    rows = df.select(*group, key, *values)
+    numbered = with_rank(rows, group, [key], order_bucket(rows, key), name="_i", total="_n").withColumn("_i", F.col("_i") - 1)
+    draws = _spread_repetitions(numbered.select(*group, "_i", "_n"), reps)
     picked = F.conv(F.substring(hash_key(["rep", "_i"], seed), 1, 12), 16, 10).cast("long") % F.col("_n")
     return (
-        draws.select("rep", picked.alias("_i"))
-        .groupBy("rep", "_i").agg(F.count(F.lit(1)).alias("_k"))
-        .join(numbered.select("_i", *values), "_i")
-        .groupBy("rep")
+        draws.select(*group, "rep", picked.alias("_i"))
+        .groupBy(*group, "rep", "_i").agg(F.count(F.lit(1)).alias("_k"))
+        .join(numbered.select(*group, "_i", *values), [*group, "_i"])
+        .groupBy(*group, "rep")
         .agg(*[(F.sum(F.col(v) * F.col("_k")) / F.sum("_k")).alias(v) for v in values])
     )
 
 
 def bootstrap_mean_ci(
-    df: DataFrame, values: Sequence[str], key: str = "case_id", reps: int = 10_000, alpha: float = 0.05, seed: int = 2026
+    df: DataFrame, values: Sequence[str], key: str = "case_id", reps: int = 10_000, alpha: float = 0.05, seed: int = 2026,
+    group: Sequence[str] = (),
 ) -> DataFrame:
-    """Percentile interval of the mean per value column: ``(metric, ci_low, ci_high)``."""
+    """Percentile interval of the mean per value column: ``(<group>, metric, ci_low, ci_high)``."""
     if reps < 1:
         raise ValueError("reps must be positive")
-    means = bootstrap_means(df, values, key, reps, seed)
+    means = bootstrap_means(df, values, key, reps, seed, group)
     pairs = ", ".join(f"'{v}', `{v}`" for v in values)
-    long = means.selectExpr(f"stack({len(values)}, {pairs}) as (metric, value)")
-    return exact_quantiles(long, ["metric"], "value", {"ci_low": alpha / 2, "ci_high": 1 - alpha / 2})
+    long = means.selectExpr(*group, f"stack({len(values)}, {pairs}) as (metric, value)")
+    return exact_quantiles(long, [*group, "metric"], "value", {"ci_low": alpha / 2, "ci_high": 1 - alpha / 2})
 
 
 def sign_flip_p(

@@ -221,6 +221,11 @@ def fit_normalization(spark, sf):
     return rounded(out, "clip_low", "clip_high", "center", "scale").fillna(-1.0, ["z_cap"])
 
 
+@query("fit_normalization_sketch")
+def fit_normalization_sketch(spark, sf):
+    return preprocess.fit_normalization_sketch(support_samples(spark, sf), val_folds_of(spark, sf))
+
+
 NORM_SQL = FIT_SQL + """,
 nz AS (SELECT l.case_id, l.channel, z, y, x, isfinite(value) AS was_finite, base BETWEEN -100 AND 150 AS support, par.fold,
   (least(greatest(CASE WHEN isfinite(value) THEN value ELSE center END, clip_low), clip_high) - center) / scale AS zz
