@@ -3,6 +3,7 @@ import pytest
 
 from voxelcohort.operators import models
 from voxelcohort.plans import classifier
+from voxelcohort.session import scratch_path
 
 
 @pytest.fixture(scope="module")
@@ -52,7 +53,8 @@ def test_mlp_learns(rings):
     assert models.MlpConfig().hidden == (100, 100, 100) and models.MlpConfig().max_iter == 500
 
 
-def test_train_eval_scores_held_out_cases_only(spark):
+@pytest.fixture(scope="module")
+def lesions(spark):
     rng = np.random.default_rng(1)
     rows = []
     for case in range(5):
@@ -62,7 +64,19 @@ def test_train_eval_scores_held_out_cases_only(spark):
                 hit = abs(r - lesion[0]) <= 1 and abs(c - lesion[1]) <= 1
                 rows.append((f"c{case}", r, c, 60.0 + float(rng.random()) if hit else 10.0 + float(rng.random()), int(hit)))
     pixels = spark.createDataFrame(rows, "case_id string, row int, col int, value double, label int")
-    split = spark.createDataFrame([(f"c{i}", "train" if i < 3 else "test") for i in range(5)], "case_id string, role string")
+    return pixels, spark.createDataFrame([(f"c{i}", "train" if i < 3 else "test") for i in range(5)], "case_id string, role string")
+
+
+def test_train_eval_scores_held_out_cases_only(lesions):
+    pixels, split = lesions
     fit = lambda s: models.rbf_svm_classifier(s, models.RbfSvmConfig(components=64, max_iter=40))
     out = classifier.train_eval(pixels, split, {"svm": fit}, target=100).collect()
     assert {r["case_id"] for r in out} == {"c3", "c4"} and all(r["dice"] > 0.5 and r["auc"] > 0.9 for r in out)
+
+
+def test_diagnostic_sweeps(spark, lesions):
+    pixels, split = lesions
+    leak = classifier.leakage_sweep(spark, pixels, scratch_path(spark, "leak"), 50, 32, 10, {"pixel_70_30": (0.7, 0.0)}, ["none"]).collect()
+    assert [r["condition"] for r in leak] == ["pixel_70_30_none"] and leak[0]["cases"] == 5
+    hist = classifier.histogram_sweep(spark, pixels, split, scratch_path(spark, "hist"), 50, 32, 10, ["first"], ["none"]).collect()
+    assert [r["condition"] for r in hist] == ["first_none"] and hist[0]["cases"] == 2

@@ -141,6 +141,10 @@ def test_keyed_csv_and_sinks(spark):
     assert sorted(map(tuple, back.collect())) == [("a", 1, "NCCT", 0.5), ("b", 0, "NCCT", 0.25)]
     assert checks(inventory.keyed_table_violations(back, back.select("case_id"), ["NCCT", "MTT"], 4)) == [("key_missing", "a/MTT"), ("key_missing", "b/MTT"), ("row_count", "table")]
     assert inventory.required_columns(back, ["dice", "auc"]) == ["auc"]
+    table = scratch_path(spark, "cases")
+    sinks.overwrite_partitions(df, table, ["fold"])
+    sinks.overwrite_partitions(df.where("fold = 1").withColumn("dice", F.lit(0.75)), table, ["fold"])
+    assert sorted((r["case_id"], r["dice"]) for r in spark.read.parquet(table).collect()) == [("a", 0.75), ("b", 0.25)]
     lines = spark.createDataFrame([(2, "b"), (1, "a")], "line_no int, line string")
     text = scratch_path(spark, "txt")
     sinks.write_lines(lines, text)

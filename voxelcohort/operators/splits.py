@@ -261,22 +261,17 @@ def reconcile_inventory(expected: DataFrame, actual: DataFrame, folds: DataFrame
     key = ["fold", "arm", "file_name"]
     present = actual.groupBy(*key, "group", "case_id").agg(F.count(F.lit(1)).alias("copies"))
     plan = expected.select(*key, F.col("group").alias("planned"))
-    both = plan.join(present, key, "full_outer")
-    held_out = folds.where("role = 'val'").select("fold", "case_id")
-    leaks = present.join(held_out, ["fold", "case_id"])
+    held_out = folds.where("role = 'val'").select("fold", "case_id").distinct().withColumn("_held", F.lit(True))
+    both = plan.join(present, key, "full_outer").join(held_out, ["fold", "case_id"], "left")
     name = F.concat_ws("/", "fold", "arm", "file_name")
-    group, planned = F.col("group"), F.col("planned")
-    return violations_union([
-        violations_of(both, [
-            (group.isNull(), "missing", name, planned),
-            (planned.isNull(), "extra", name, group),
-            (planned != group, "wrong_group", name, group),
-            (F.col("copies") > 1, "duplicate", name, F.col("copies")),
-        ]),
-        violations_of(leaks, [
-            (group == "labelsTr", "heldout_label", name, group),
-            (group == "imagesTr", "heldout_image", name, group),
-        ]),
+    group, planned, held = F.col("group"), F.col("planned"), F.col("_held")
+    return violations_of(both, [
+        (group.isNull(), "missing", name, planned),
+        (planned.isNull(), "extra", name, group),
+        (planned != group, "wrong_group", name, group),
+        (F.col("copies") > 1, "duplicate", name, F.col("copies")),
+        (held & (group == "labelsTr"), "heldout_label", name, group),
+        (held & (group == "imagesTr"), "heldout_image", name, group),
     ])
 
 

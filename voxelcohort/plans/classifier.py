@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from voxelcohort.operators import masks, metrics, models, preprocess, splits
 from voxelcohort.operators.features import FeatureConfig, nine_features
-from voxelcohort.session import cut_lineage
+from voxelcohort.session import cut_lineage, read_if_present
 
 # Fixed sensitivity grids.
 FEATURE_VARIANTS = {
@@ -147,10 +147,8 @@ def run_sweep(spark: SparkSession, conditions: Mapping[str, Callable[[], DataFra
 
     Returns all summaries, best dice first, then by name.
     """
-    try:
-        done = {r["condition"] for r in spark.read.parquet(path).select("condition").distinct().collect()}  # grid-sized
-    except Exception:
-        done = set()
+    saved = read_if_present(spark, path)
+    done = set() if saved is None else {r["condition"] for r in saved.select("condition").distinct().collect()}  # grid-sized
     for name, run in conditions.items():
         if name not in done:
             run().withColumn("condition", F.lit(name)).write.mode("append").partitionBy("condition").parquet(path)
@@ -195,3 +193,34 @@ def svm_sweep(
         return lambda: summarize(train_eval(pixels, split, {"svm": fit}, target=target, prepared=prepared))
 
     return run_sweep(spark, {f"{s}_C{c}_gamma{g}": condition(s, c, g) for s, c, g in grid}, path)
+
+
+def _svm(scaler: str, components: int, max_iter: int) -> Fit:
+    config = models.RbfSvmConfig(scaler=scaler, components=components, max_iter=max_iter)
+    return lambda sample: models.rbf_svm_classifier(sample, config)
+
+
+def leakage_sweep(
+    spark: SparkSession, pixels: DataFrame, path: str, target: int = 2_000, components: int = 256, max_iter: int = 100,
+    partitions: Mapping[str, tuple[float, float]] = LEAKAGE_SPLITS, scalers: Sequence[str] = ("standard", "none"),
+) -> DataFrame:
+    """Every pixel split under every scaler; labelled invalid by design like the single run."""
+    def condition(fractions: tuple[float, float], scaler: str) -> Callable[[], DataFrame]:
+        return lambda: summarize(pixel_leakage_eval(pixels, _svm(scaler, components, max_iter), *fractions, target))
+
+    return run_sweep(spark, {f"{n}_{s}": condition(f, s) for n, f in partitions.items() for s in scalers}, path)
+
+
+def histogram_sweep(
+    spark: SparkSession, pixels: DataFrame, split: DataFrame, path: str, target: int = 15_000, components: int = 256,
+    max_iter: int = 100, modes: Sequence[str] = HISTOGRAM_MODES, scalers: Sequence[str] = ("standard", "none"),
+) -> DataFrame:
+    """Every histogram reference rule under every scaler; matched features are shared by the scalers."""
+    conditions = {}
+    for mode in modes:
+        prepared = histogram_matched(pixels, split, mode)
+        for scaler in scalers:
+            fit = _svm(scaler, components, max_iter)
+            conditions[f"{mode}_{scaler}"] = lambda fit=fit, prepared=prepared: summarize(
+                train_eval(pixels, split, {"svm": fit}, target=target, prepared=prepared))
+    return run_sweep(spark, conditions, path)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +55,16 @@ def small_side(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     return F.broadcast(table) if table.limit(max_rows + 1).count() <= max_rows else table
 
 
+def read_if_present(spark: SparkSession, path: str) -> DataFrame | None:
+    """The parquet table at ``path``, or nothing where none was written yet."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new, unused path in the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"

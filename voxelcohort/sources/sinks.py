@@ -24,3 +24,8 @@ def write_tables(
 def write_lines(lines: DataFrame, path: str, order: str = "line_no", text: str = "line") -> None:
     """Report lines as text files in reading order across part files."""
     lines.orderBy(order).select(text).write.mode("overwrite").text(path)
+
+
+def overwrite_partitions(df: DataFrame, path: str, partition_by: Sequence[str]) -> None:
+    """Replace only the partitions present in ``df``, so recomputed cases supersede their old rows."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)

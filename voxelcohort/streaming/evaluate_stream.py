@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from voxelcohort.operators import incremental, metrics
-from voxelcohort.session import cut_lineage
+from voxelcohort.session import cut_lineage, read_if_present
 
 PREDICTION_SCHEMA = "case_id long, z long, y long, x long"
 
@@ -29,11 +29,8 @@ def evaluate_new_cases_stream(
             "case_id", F.concat_ws(",", "z", "y", "x").alias("name"), F.lit(1).alias("size"), F.lit("").alias("mtime")
         )
         current = incremental.input_signature(inputs).select("case_id", "signature")
-        try:
-            saved = spark.read.parquet(out).select("case_id", "signature", "schema", "status")
-        except Exception:
-            saved = spark.createDataFrame([], "case_id long, signature string, schema string, status string")
-        todo = cut_lineage(incremental.stale_cases(current, saved, schema_version))
+        saved = read_if_present(spark, out)
+        todo = cut_lineage(current if saved is None else incremental.stale_cases(current, saved, schema_version))
         if todo.isEmpty():
             return
         only = lambda df: df.join(todo.select("case_id"), "case_id", "left_semi")
