@@ -57,6 +57,7 @@ def test_random_masks_match_flood_fill(spark, connectivity):
 def test_links_between_blocks_need_many_rounds(spark, monkeypatch, parts):
     monkeypatch.setattr(components, "BLOCK_Z_BITS", 1)
     monkeypatch.setattr(components, "BLOCK_Y_BITS", 1)
+    monkeypatch.setattr(components, "LINKS_PER_BATCH", 50)
     monkeypatch.setattr(components, "X_BIN", 4)
     rng = np.random.default_rng(5)
     snake = [(z, y, x) for z in range(9) for y in range(9) for x in range(9) if (x % 2 == 0 and (y > 0 or (x // 2) % 2)) or (x % 2 and y == (8 if (x // 2) % 2 == 0 else 0))]

@@ -19,6 +19,7 @@ from voxelcohort.functions import pack_voxel, unpack_voxel
 from voxelcohort.session import cut_lineage, small_side
 
 BLOCK_Z_BITS, BLOCK_Y_BITS = 4, 6  # a block holds 16 slices by 64 rows of lines
+LINKS_PER_BATCH = 250_000  # about this many links meet in one task call
 X_BIN = 32  # runs meet inside bins of this width, so a line never yields all its run pairs
 
 # Forward line offsets (dz, dy) with the reach along x, per connectivity.
@@ -89,16 +90,21 @@ def _minimum_labels(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarra
         parent = moved
 
 
-def _solve_block(links: pd.DataFrame) -> pd.DataFrame:
-    nodes, labels = _minimum_labels(links["a"].to_numpy(), links["b"].to_numpy())
-    return pd.DataFrame({"case_id": links["case_id"].iloc[0], "node": nodes, "label": labels})
+def _solve_links(links: pd.DataFrame) -> pd.DataFrame:
+    """Labels of a batch of blocks; nodes of different cases never mix."""
+    codes, cases = pd.factorize(links["case_id"])
+    ids, index = np.unique(np.concatenate([links["a"], links["b"]]), return_inverse=True)
+    keyed = np.concatenate([codes, codes]).astype("int64") * len(ids) + index
+    nodes, labels = _minimum_labels(keyed[: len(links)], keyed[len(links):])
+    return pd.DataFrame({"case_id": cases[nodes // len(ids)], "node": ids[nodes % len(ids)], "label": ids[labels % len(ids)]})
 
 
 def connected_labels(edges: DataFrame) -> DataFrame:
     """Smallest node of the component of every node that has an edge: ``(case_id, node, label)``.
 
-    Nodes are packed run starts. Links within a block of lines are contracted first; only
-    links between blocks enter the distributed rounds.
+    Nodes are packed run starts. Links within a block of lines are contracted first, whole
+    blocks batched by hash so that the number of batches grows with the links; only links
+    between blocks enter the distributed rounds.
     """
     block = lambda c: F.struct(
         F.shiftright(c, 2 * 21 + BLOCK_Z_BITS).alias("zb"),
@@ -107,11 +113,14 @@ def connected_labels(edges: DataFrame) -> DataFrame:
     links = cut_lineage(
         edges.where("a <> b").withColumn("_block", block(F.col("a"))).withColumn("_inside", F.col("_block") == block(F.col("b")))
     )
+    inside = links.where("_inside")
+    spread = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    batches = max(spread, -(-inside.count() // LINKS_PER_BATCH))
     case_type = edges.schema["case_id"].dataType.simpleString()
     local = cut_lineage(
-        links.where("_inside").select("case_id", "a", "b", "_block.zb", "_block.yb")
-        .groupBy("case_id", "zb", "yb")
-        .applyInPandas(_solve_block, f"case_id {case_type}, node long, label long")
+        inside.select("case_id", "a", "b", F.pmod(F.hash("case_id", "_block"), F.lit(batches)).alias("_batch"))
+        .groupBy("_batch")
+        .applyInPandas(_solve_links, f"case_id {case_type}, node long, label long")
     )
     between = links.where("not _inside").select("case_id", "a", "b")
     if between.isEmpty():
@@ -121,8 +130,8 @@ def connected_labels(edges: DataFrame) -> DataFrame:
         between = between.join(named, ["case_id", end], "left").withColumn(end, F.coalesce("_to", end)).drop("_to")
     merged = _hook_rounds(between.where("a <> b").distinct())
     renamed = local.join(merged.select("case_id", F.col("node").alias("label"), F.col("label").alias("_to")), ["case_id", "label"], "left")
-    inside = renamed.select("case_id", "node", F.coalesce("_to", "label").alias("label"))
-    return inside.unionByName(merged.join(local.select("case_id", "node"), ["case_id", "node"], "left_anti"))
+    contracted = renamed.select("case_id", "node", F.coalesce("_to", "label").alias("label"))
+    return contracted.unionByName(merged.join(local.select("case_id", "node"), ["case_id", "node"], "left_anti"))
 
 
 def _hook_rounds(edges: DataFrame) -> DataFrame:

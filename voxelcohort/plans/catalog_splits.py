@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from voxelcohort.operators import splits
 from voxelcohort.plans.registry import query
 from voxelcohort.plans.views import cte, table, view
+from voxelcohort.session import cut_lineage
 
 SEED = 2026
 FOLDS_SQL = f"""folds0 AS (SELECT c_custkey AS case_id,
@@ -52,7 +53,7 @@ tampered AS (
 
 
 def tampered_folds(spark, sf):
-    good = folds_of(spark, sf)
+    good = cut_lineage(folds_of(spark, sf))
     val = good.where("role = 'val'")
     return (
         good.where("not (case_id % 97 = 5)")
@@ -187,10 +188,10 @@ actual AS (SELECT fold, arm, case_id, CASE WHEN "group" = 'imagesTs' AND case_id
   UNION ALL SELECT fold, 'multi', case_id, 'labelsTr', case_id || '.nii.gz' FROM folds WHERE role = 'val' AND case_id % 47 = 5)"""
 
 
-def actual_files(spark, sf):
-    plan = splits.fold_file_plan(folds_of(spark, sf), ARMS)
+def actual_files(folds):
+    plan = splits.fold_file_plan(folds, ARMS)
     moved = F.when((F.col("group") == "imagesTs") & (F.col("case_id") % 37 == 3), "imagesTr").otherwise(F.col("group"))
-    leaked = folds_of(spark, sf).where("role = 'val' and case_id % 47 = 5").selectExpr(
+    leaked = folds.where("role = 'val' and case_id % 47 = 5").selectExpr(
         "fold", "'multi' as arm", "case_id", "'labelsTr' as `group`", "concat(case_id, '.nii.gz') as file_name")
     return (
         plan.where("not (case_id % 41 = 1 and arm = 'single')").withColumn("group", moved)
@@ -212,8 +213,8 @@ UNION ALL SELECT 'duplicate', concat_ws('/', fold, arm, file_name), CAST(copies
 UNION ALL SELECT 'heldout_label', concat_ws('/', fold, arm, file_name), "group" FROM l WHERE "group" = 'labelsTr'
 UNION ALL SELECT 'heldout_image', concat_ws('/', fold, arm, file_name), "group" FROM l WHERE "group" = 'imagesTr'""")
 def reconcile_inventory(spark, sf):
-    folds = folds_of(spark, sf)
-    return splits.reconcile_inventory(splits.fold_file_plan(folds, ARMS), actual_files(spark, sf), folds)
+    folds = cut_lineage(folds_of(spark, sf))
+    return splits.reconcile_inventory(splits.fold_file_plan(folds, ARMS), actual_files(folds), folds)
 
 
 @query("inventory_count_violations", f"""
@@ -224,9 +225,9 @@ SELECT 'declared_count' AS "check", concat_ws('/', coalesce(d.fold, c.fold), coa
   CAST(coalesce(n, 0) AS VARCHAR) AS detail
 FROM d FULL OUTER JOIN c ON d.fold = c.fold AND d.arm = c.arm AND d."group" = c."group" WHERE declared IS DISTINCT FROM n""")
 def inventory_count_violations(spark, sf):
-    plan = splits.fold_file_plan(folds_of(spark, sf), ARMS)
-    declared = plan.groupBy("fold", "arm", "group").agg(F.count(F.lit(1)).alias("declared"))
-    return splits.inventory_count_violations(actual_files(spark, sf), declared)
+    folds = cut_lineage(folds_of(spark, sf))
+    declared = splits.fold_file_plan(folds, ARMS).groupBy("fold", "arm", "group").agg(F.count(F.lit(1)).alias("declared"))
+    return splits.inventory_count_violations(actual_files(folds), declared)
 
 
 @query("missing_artifacts", """
