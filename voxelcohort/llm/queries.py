@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelcohort.llm import line_crf
+from voxelcohort.llm import line_crf, toxicity
 from voxelcohort.llm.textgrid import need, table
 
 
@@ -22,7 +22,17 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= line_crf.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = need(table(spark, sf_dir, "documents"), doc_id="long", text="string")
+    labels = need(table(spark, sf_dir, "labels"), doc_id="long", toxic="int")
+    model = toxicity.fit(docs, labels, _remainder(4) != 2)
+    return toxicity.score(docs, model).select(
+        "doc_id", (_remainder(4) == 2).alias("held_out"), "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op6_toxicity": op6_toxicity,
 }
 ORACLES: dict[str, str] = {}
