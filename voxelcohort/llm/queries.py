@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelcohort.llm import line_crf, toxicity
+from voxelcohort.llm import line_crf, main_text, toxicity
 from voxelcohort.llm.textgrid import need, table
 
 
@@ -31,8 +31,14 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = need(table(spark, sf_dir, "pages"), page_id="long", url="string", html="string")
+    return main_text.main_text(pages, main_text.fit(pages))
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op6_toxicity": op6_toxicity,
+    "op7_html_extraction": op7_html_extraction,
 }
 ORACLES: dict[str, str] = {}
