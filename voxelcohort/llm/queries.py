@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelcohort.llm import line_crf, main_text, toxicity
+from voxelcohort.llm import code_index, line_crf, main_text, toxicity
 from voxelcohort.llm.textgrid import need, table
 
 
@@ -36,9 +36,15 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.main_text(pages, main_text.fit(pages))
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    return code_index.nearest(vectors, F.col("id") % 50 == 0)
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op6_toxicity": op6_toxicity,
     "op7_html_extraction": op7_html_extraction,
+    "op8_nearest_neighbours": op8_nearest_neighbours,
 }
 ORACLES: dict[str, str] = {}
