@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelcohort.llm import code_index, line_crf, main_text, toxicity
+from voxelcohort.llm import code_index, line_crf, main_text, toxicity, url_catalog
 from voxelcohort.llm.textgrid import need, table
 
 
@@ -43,8 +43,11 @@ def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op4_url_filters": url_catalog.op4_url_filters,
     "op6_toxicity": op6_toxicity,
     "op7_html_extraction": op7_html_extraction,
     "op8_nearest_neighbours": op8_nearest_neighbours,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_url_filters": url_catalog.OP4_SQL,
+}
