@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelcohort.llm import code_index, line_crf, main_text, toxicity, url_catalog
+from voxelcohort.llm import code_index, decontaminate, line_crf, main_text, toxicity, url_catalog
 from voxelcohort.llm.textgrid import need, table
 
 
@@ -41,13 +41,20 @@ def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code_index.nearest(vectors, F.col("id") % 50 == 0)
 
 
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = need(table(spark, sf_dir, "documents"), doc_id="long", text="string")
+    return decontaminate.leaks(docs, need(table(spark, sf_dir, "benchmark"), item_id="long", text="string"))
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op4_url_filters": url_catalog.op4_url_filters,
     "op6_toxicity": op6_toxicity,
     "op7_html_extraction": op7_html_extraction,
     "op8_nearest_neighbours": op8_nearest_neighbours,
+    "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 ORACLES: dict[str, str] = {
     "op4_url_filters": url_catalog.OP4_SQL,
+    "op10_benchmark_decontamination": decontaminate.OP10_SQL,
 }
