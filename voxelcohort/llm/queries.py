@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelcohort.llm import code_index, decontaminate, line_crf, main_text, toxicity, url_catalog
+from voxelcohort.llm import code_index, decontaminate, line_crf, main_text, surrogates, toxicity, url_catalog
 from voxelcohort.llm.textgrid import need, table
 
 
@@ -46,9 +46,18 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate.leaks(docs, need(table(spark, sf_dir, "benchmark"), item_id="long", text="string"))
 
 
+SURROGATE_KEY = "corpus tables"
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = need(table(spark, sf_dir, "documents"), doc_id="long", text="string")
+    return surrogates.replace(docs, SURROGATE_KEY)
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op4_url_filters": url_catalog.op4_url_filters,
+    "op5_pii": op5_pii,
     "op6_toxicity": op6_toxicity,
     "op7_html_extraction": op7_html_extraction,
     "op8_nearest_neighbours": op8_nearest_neighbours,
