@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelcohort.llm import code_index, decontaminate, line_crf, main_text, piece_sampling, surrogates, toxicity, url_catalog
+from voxelcohort.llm import code_index, decontaminate, line_crf, main_text, piece_sampling, repeats, surrogates, toxicity, url_catalog
 from voxelcohort.llm.textgrid import need, table
 
 
@@ -41,6 +41,10 @@ def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code_index.nearest(vectors, F.col("id") % 50 == 0)
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest_repeats(need(table(spark, sf_dir, "documents"), doc_id="long", text="string"))
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = need(table(spark, sf_dir, "documents"), doc_id="long", text="string")
     return decontaminate.leaks(docs, need(table(spark, sf_dir, "benchmark"), item_id="long", text="string"))
@@ -67,6 +71,7 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op7_html_extraction": op7_html_extraction,
     "op8_nearest_neighbours": op8_nearest_neighbours,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 ORACLES: dict[str, str] = {
