@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelcohort.llm import code_index, decontaminate, line_crf, main_text, piece_sampling, repeats, surrogates, toxicity, url_catalog
+from voxelcohort.llm import code_index, decontaminate, jaccard_join, line_crf, main_text, piece_sampling, repeats, surrogates, toxicity, url_catalog
 from voxelcohort.llm.textgrid import need, table
 
 
@@ -50,6 +50,10 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate.leaks(docs, need(table(spark, sf_dir, "benchmark"), item_id="long", text="string"))
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(need(table(spark, sf_dir, "documents"), doc_id="long", text="string"))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = need(table(spark, sf_dir, "documents"), doc_id="long", text="string")
     return piece_sampling.encode_digest(docs, piece_sampling.load_vocabulary(), F.col("doc_id"))
@@ -65,6 +69,7 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_url_filters": url_catalog.op4_url_filters,
     "op5_pii": op5_pii,

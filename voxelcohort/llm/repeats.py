@@ -23,14 +23,13 @@ ignored.
 from __future__ import annotations
 
 import hashlib
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelcohort.llm import textgrid
+from voxelcohort.llm import textgrid, units
 from voxelcohort.llm.piece_sampling import _ranges
 from voxelcohort.llm.textgrid import PLACE_STEP, mix
 from voxelcohort.session import scratch_path
@@ -197,10 +196,7 @@ def _met(names: DataFrame, path: str, later: bool) -> DataFrame:
 
 
 def _marked(held: DataFrame, marks: DataFrame, how: str) -> DataFrame:
-    """Documents with the list of their marks; the documents stay where they are, only marks move."""
-    unit = F.shiftright("rid", 33).alias("unit")
-    lists = marks.select(unit, "rid", "mark").groupBy("unit", "rid").agg(F.collect_list("mark").alias("marks"))
-    return held.join(lists.hint("shuffle_merge"), ["unit", "rid"], how)
+    return units.with_lists(held, marks, F.col("mark"), "marks", how)
 
 
 def remove_repeats(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -215,13 +211,8 @@ def digest_repeats(docs: DataFrame, doc: str = "doc_id", text: str = "text") ->
 
 def _final(docs: DataFrame, doc: str, text: str, digest: bool) -> DataFrame:
     spark = docs.sparkSession
-    name, root = f"units_{uuid.uuid4().hex}", scratch_path(spark, "repeats")
-    numbered = docs.select(F.col(doc).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("rid"))
-    units = max(1, docs.rdd.getNumPartitions())
-    # a unit is what one task reads: written by that task, so bucketing moves no row
-    (numbered.withColumn("unit", F.shiftright("rid", 33)).write.option("path", f"{root}/units").option("compression", "zstd")
-     .bucketBy(units, "unit").sortBy("unit", "rid").saveAsTable(name))
-    held = spark.table(name)
+    root = scratch_path(spark, "repeats")
+    held = units.hold(docs, doc, text, f"{root}/units")
     high = _met(_named(held, "high"), f"{root}/high", later=True)
     borders = _met(_named(_marked(held, high, "left"), "borders"), f"{root}/borders", later=False)
     whole = _met(_named(_marked(held, high.unionByName(borders), "inner"), "windows"), f"{root}/windows", later=True)
