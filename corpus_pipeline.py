@@ -13,6 +13,10 @@ from voxelcohort.session import scratch_path
 
 STAGES = [
     ("quality classifier", stages.keep_good),
+    ("n-gram Jaccard join", stages.keep_one_of_each),
+    ("benchmark decontamination", stages.drop_leaks),
+    ("PII", stages.replace_personal_data),
+    ("SentencePiece encoding and decoding", stages.encode_pieces),
 ]
 ORACLE_SQL = None
 

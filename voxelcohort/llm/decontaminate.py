@@ -14,6 +14,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxelcohort.llm import units
+from voxelcohort.session import cut_lineage, scratch_path
+
 # Word offsets that each mask compares (fixed values): weight 6 in a span of 10, the remaining positions are ignored.
 MASKS = ((0, 1, 3, 6, 7, 9), (0, 2, 3, 4, 8, 9))
 SPAN = 10
@@ -77,6 +80,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", item: str
     return ranked.select(doc, item, "best.doc_start", "best.equal_words", "best.window_words", "best.item_words")
 
 
+def without_leaks(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` without the rows that leak an item; texts are written once to the shared folder and not shuffled."""
+    held = units.hold(docs, doc, text, scratch_path(docs.sparkSession, "leaks"), whole=True)
+    found = cut_lineage(leaks(held.select("rid", "text"), benchmark, doc="rid").select("rid").distinct())
+    return units.without(held, found, docs.columns)
+
+
 _MASK_SQL = " UNION ALL ".join(
     f"SELECT {{key}}, {k} AS mask, i AS at_word, {' || chr(31) || '.join(f'w[i + {o + 1}]' for o in m)} AS seed FROM {{words}}, unnest(range(0, len(w) - {SPAN - 1})) AS t(i) WHERE len(w) >= {SPAN}"
     for k, m in enumerate(MASKS))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelcohort.llm import code_index, decontaminate, jaccard_join, line_crf, main_text, piece_sampling, repeats, surrogates, toxicity, url_catalog
+from voxelcohort.llm.stages import SURROGATE_KEY
 from voxelcohort.llm.textgrid import need, table
 
 
@@ -59,9 +60,6 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_sampling.encode_digest(docs, piece_sampling.load_vocabulary(), F.col("doc_id"))
 
 
-SURROGATE_KEY = "corpus tables"
-
-
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = need(table(spark, sf_dir, "documents"), doc_id="long", text="string")
     return surrogates.replace(docs, SURROGATE_KEY)
