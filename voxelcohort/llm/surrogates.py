@@ -173,19 +173,21 @@ def replace(docs: DataFrame, secret: str, text: str = "text", counted: str | Non
     """``docs`` with the entities of ``text`` replaced, and their number in ``counted`` (None: no such column)."""
     columns = [c for c in docs.columns if c != counted]
     none = F.array().cast("array<string>")
-    found = docs.select(*columns).withColumn("_found", F.coalesce(F.when(
-        F.col(text).rlike(MAYBE), F.regexp_extract_all(F.col(text), F.lit(PATTERN), F.lit(0))), none))
-    clean, private = found.filter(F.size("_found") == 0), found.filter(F.size("_found") > 0)
+    # the row travels as one struct, so that no column of it can clash with a helper column
+    found = docs.select(F.struct(*[docs[c] for c in columns]).alias("row")).withColumn("text", F.col("row")[text].cast("string"))
+    found = found.withColumn("found", F.coalesce(F.when(
+        F.col("text").rlike(MAYBE), F.regexp_extract_all(F.col("text"), F.lit(PATTERN), F.lit(0))), none))
+    clean, private = found.filter(F.size("found") == 0), found.filter(F.size("found") > 0)
     # what is replaced follows from the text alone, so equal texts share one row here and need no row id
-    texts = cut_lineage(private.select(F.sha2(F.col(text), 256).alias("_text"), "_found").groupBy("_text").agg(F.min("_found").alias("_found")))
-    mentions = texts.select("_text", F.posexplode("_found").alias("at", "mention")).withColumn("kind", _kind(F.col("mention")))
+    texts = cut_lineage(private.select(F.sha2("text", 256).alias("hash"), "found").groupBy("hash").agg(F.min("found").alias("found")))
+    mentions = texts.select("hash", F.posexplode("found").alias("at", "mention")).withColumn("kind", _kind(F.col("mention")))
     mentions = mentions.withColumn("lead", _lead(F.col("kind"), F.col("mention")))
     mentions = mentions.withColumn("value", F.substring(F.col("mention"), F.length("lead") + 1, F.length("mention")))
     table = assign(cut_lineage(mentions.select("kind", "value").distinct()), secret)
-    named = mentions.join(table, ["kind", "value"]).select("_text", F.struct("at", F.concat("lead", "surrogate").alias("new")).alias("one"))
-    new = named.groupBy("_text").agg(F.array_sort(F.collect_list("one")).alias("_new"))
-    rest = F.split(F.col(text), PATTERN, -1)
-    rebuilt = F.array_join(F.zip_with(rest, F.col("_new.new"), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    changed = private.withColumn("_text", F.sha2(F.col(text), 256)).join(new, "_text").withColumn(text, rebuilt)
-    count = [F.size("_found").alias(counted)] if counted else []
-    return clean.select(*columns, *count).unionByName(changed.select(*columns, *count))
+    named = mentions.join(table, ["kind", "value"]).select("hash", F.struct("at", F.concat("lead", "surrogate").alias("new")).alias("one"))
+    new = named.groupBy("hash").agg(F.array_sort(F.collect_list("one")).alias("new"))
+    rebuilt = F.array_join(F.zip_with(F.split("text", PATTERN, -1), F.col("new.new"), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    changed = private.withColumn("hash", F.sha2("text", 256)).join(new, "hash").withColumn("text", rebuilt)
+    result = [F.col("text").alias(c) if c == text else F.col("row")[c].alias(c) for c in columns]
+    result += [F.size("found").alias(counted)] if counted else []
+    return clean.select(*result).unionByName(changed.select(*result))
