@@ -173,7 +173,8 @@ def _named(held: DataFrame, what: str) -> DataFrame:
                 border, around = elected_borders(block.hashes, block.row, block.offset)
                 if what == "borders":
                     place = np.unique(border[open_])
-                    yield _emit(around[place], place, 0, block.row[place], block.offset, own_ids, own_rids)
+                    # a border only selects what is looked at next, so 48 bits of its name are enough
+                    yield _emit(around[place] >> np.uint64(16), place, 0, block.row[place], block.offset, own_ids, own_rids)
                 else:
                     met = np.zeros(len(block.hashes), dtype=bool)
                     met[block.borders] = True

@@ -22,11 +22,13 @@ def hold(docs: DataFrame, doc: str, text: str, path: str, whole: bool = False) -
     """
     kept = F.struct(*[F.col(c) for c in docs.columns]) if whole else F.struct(F.col(text).cast("string").alias(text))
     numbered = docs.select(F.col(doc).cast("long").alias("id"), kept.alias("row"), F.monotonically_increasing_id().alias("rid"))
-    # a table bucketed by unit serves joins on (unit, rid) as it lies
-    docs.sparkSession.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    # a table bucketed by unit serves joins on (unit, rid) as it lies, if it has no fewer buckets than a shuffle has parts
+    conf = docs.sparkSession.conf
+    conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    buckets = max(docs.rdd.getNumPartitions(), int(conf.get("spark.sql.shuffle.partitions")))
     name = f"units_{uuid.uuid4().hex}"
     (numbered.withColumn("unit", unit_of(F.col("rid"))).write.option("path", path).option("compression", "zstd")
-     .bucketBy(max(1, docs.rdd.getNumPartitions()), "unit").sortBy("unit", "rid").saveAsTable(name))
+     .bucketBy(buckets, "unit").sortBy("unit", "rid").saveAsTable(name))
     held = docs.sparkSession.table(name).withColumn("text", F.coalesce(F.col("row")[text].cast("string"), F.lit("")))
     return held if whole else held.drop("row")
 
