@@ -156,6 +156,12 @@ def _search(vectors: DataFrame, queries: DataFrame, n: int, n_queries: int, turn
     return rows.groupBy("xb", "qb").cogroup(asked.groupBy("xb", "qb")).applyInArrow(searched, "query_id long, vec_id long, score double")
 
 
+def _sample(rows: DataFrame, n: int) -> pa.Table:
+    """``n`` rows by the hash of their id, in the order of the ids; only ids are sorted."""
+    chosen = rows.select("id").orderBy(F.xxhash64("id"), "id").limit(n)
+    return rows.join(F.broadcast(chosen), "id").select("id", "v").toArrow().sort_by("id")
+
+
 def nearest(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding", bits: int = CODE_BITS) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found for every row for which ``is_query`` holds.
 
@@ -170,9 +176,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id
     d, n, n_queries = sizes[0]["d"], sizes[0]["n"], sizes[0]["q"]
     held = held.filter(F.size("v") == d)
     queries = held.filter(is_query)
-    by_hash = (F.xxhash64("id"), F.col("id"))
-    turn = learn_rotations(_matrix(held.orderBy(*by_hash).limit(SAMPLE_VECTORS).select("v").toArrow()["v"]), bits)
-    probes = queries.orderBy(*by_hash).limit(PROBE_QUERIES).toArrow()
+    turn = learn_rotations(_matrix(_sample(held, SAMPLE_VECTORS)["v"]), bits)
+    probes = _sample(queries, PROBE_QUERIES)
     far = _probe(held, probes["id"].to_numpy(), _matrix(probes["v"]), turn, k)
     radius = int(np.quantile(far, COVERED, method="higher")) if len(far) else bits
     first = cut_lineage(_ranked(_search(held, queries, n, n_queries, turn, radius, k), k))

@@ -106,7 +106,9 @@ def _keys(name: str, marks: tuple[str, ...]) -> list[str]:
 def fit(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, key: str = "page_id", page: str = "html") -> dict[str, float]:
     """Weight of each tag kind: log-odds of standing inside marked content, at most 0, from a bounded sample of pages
     that mark their content. Tags that were never seen weigh ``default``."""
-    sample = pages.filter(F.col(page).rlike("(?i)<(article|main)[\\s>]")).select(key, page).orderBy(F.xxhash64(key), key).limit(sample_pages)
+    marked = pages.filter(F.col(page).rlike("(?i)<(article|main)[\\s>]"))
+    chosen = marked.select(key).distinct().orderBy(F.xxhash64(key), key).limit(sample_pages)  # bounded, so small enough to broadcast
+    sample = pages.join(F.broadcast(chosen), key).select(F.col(page).cast("string"))
 
     def counted(batches):
         inside, outside = Counter(), Counter()
@@ -119,7 +121,7 @@ def fit(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, key: str = "page_id"
         yield pa.RecordBatch.from_pydict({"key": pa.array(names, pa.string()), "inside": pa.array([inside[k] for k in names], pa.int64()), "outside": pa.array([outside[k] for k in names], pa.int64())})
 
     rows = (
-        sample.select(F.col(page).cast("string")).mapInArrow(counted, "key string, inside long, outside long")
+        sample.mapInArrow(counted, "key string, inside long, outside long")
         .groupBy("key").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))
         .orderBy(F.desc(F.col("inside") + F.col("outside")), "key").limit(WEIGHT_KEYS).collect()
     )
