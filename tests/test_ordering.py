@@ -96,3 +96,20 @@ def test_order_bucket_for_text_ids(spark):
     df = spark.createDataFrame([(i,) for i in ids], "c string")
     ranked = with_rank(df, [], ["c"], order_bucket(df, "c"), "r")
     assert [r["c"] for r in ranked.orderBy("r").collect()] == sorted(ids)
+
+
+def test_null_groups_and_values_keep_their_rows(spark):
+    rows = [(None, 1.0), (None, 2.0), (1, None), (1, float("inf")), (1, float("-inf")), (1, float("nan")), (1, 0.5)]
+    df = spark.createDataFrame(rows, "g long, v double")
+    ranked = with_rank(df, ["g"], ["v"], value_bucket(F.col("v"))).collect()
+    assert sorted((r["g"] or 0, r["rank"], str(r["v"])) for r in ranked) == [
+        (0, 1, "1.0"), (0, 2, "2.0"), (1, 1, "None"), (1, 2, "-inf"), (1, 3, "0.5"), (1, 4, "inf"), (1, 5, "nan")]
+
+
+def test_id_buckets_spread_and_follow_the_order(spark):
+    numbers = spark.range(9_000_000_000, 9_000_060_000).withColumnRenamed("id", "k")
+    texts = spark.range(60_000).select(F.expr("concat(if(id % 2 = 0, 'sub-', 'patient'), lpad(id, 6, '0'))").alias("k"))
+    for df, least in ((numbers, 2_000), (texts, 200)):
+        sizes = df.groupBy(order_bucket(df, "k").alias("b")).agg(F.count("*").alias("n"), F.min("k").alias("lo"), F.max("k").alias("hi")).orderBy("b").collect()
+        assert len(sizes) >= least and max(r["n"] for r in sizes) < 3_000
+        assert all(a["hi"] < b["lo"] for a, b in zip(sizes, sizes[1:]))

@@ -106,3 +106,9 @@ def test_pairing_missing_sides_and_sizes(arms):
 def test_report_lines(spark):
     df = spark.createDataFrame([("dice", 0.17383, 0.22083, 0.047, 0.01, -0.002, 0.03, 0.1225)], "metric string, a_mean double, b_mean double, delta_mean double, ci_high double, ci_low double, p double, holm_p double")
     assert st.report_lines(df, {"dice": "Dice"}).first()["line"] == "| Dice | 0.17383 | 0.22083 | +0.04700 | [-0.00200, +0.01000] | 0.03000 | 0.12250 |"
+
+
+def test_repetitions_are_spread_over_tasks(spark):
+    rows = spark.range(50).select(F.col("id").alias("case_id"))
+    spread = st._spread_repetitions(rows, 10_000, "case_id").groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(spread) >= 6 and sum(r["count"] for r in spread) == 50 * 10_000

@@ -9,18 +9,20 @@ window inside ``(group, bucket)`` only.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from os.path import commonprefix
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
-from pyspark.sql.types import NumericType
+from pyspark.sql.types import IntegralType, NumericType
 
 from voxelcohort.functions.expressions import finite
 from voxelcohort.session import small_side
 
 BUCKETS_PER_E_FOLD = 64
 SMALLEST_MAGNITUDE = 1e-30
+BEYOND = 1 << 40
+ID_BUCKETS, ID_SAMPLE, ID_SPLITS = 4_096, 4_096, 256
 _SHIFT = 4423  # makes the bucket of SMALLEST_MAGNITUDE positive
 
 
@@ -29,22 +31,45 @@ def value_bucket(value: Column) -> Column:
 
     float32 data has at most about 12 million distinct values per e-fold, hence under
     200 thousand per bucket after equal values are merged.
+
+    Null stays null (the first bucket in Spark's order); negative infinity comes before, infinity and NaN after all
+    finite numbers, as in Spark's order.
     """
     size = F.floor(F.log(F.greatest(F.abs(value), F.lit(SMALLEST_MAGNITUDE))) * BUCKETS_PER_E_FOLD) + _SHIFT
-    return F.when(value > 0, size).when(value < 0, -size).otherwise(F.lit(0).cast("long"))
+    return (
+        F.when(value.isNull(), F.lit(None).cast("long")).when(F.isnan(value), F.lit(BEYOND + 1)).when(value == float("inf"), F.lit(BEYOND))
+        .when(value == float("-inf"), F.lit(-BEYOND)).when(value > 0, size).when(value < 0, -size).otherwise(F.lit(0).cast("long"))
+    )
 
 
 def order_bucket(df: DataFrame, column: str) -> Column:
     """Monotone bucket for the natural order of an id column, numeric or text.
 
-    Text ids are bucketed by the first characters behind the prefix they all share, which
-    the smallest and largest id determine.
+    Whole numbers get equal steps between the smallest and the largest. Text ids get split points from a bounded sample
+    by hash, so ids of several naming schemes spread as they come.
     """
-    if isinstance(df.schema[column].dataType, NumericType):
+    kind = df.schema[column].dataType
+    if isinstance(kind, IntegralType):
+        ends = df.agg(F.min(column).alias("lo"), F.max(column).alias("hi")).first()
+        if ends["lo"] is None:
+            return F.lit(None).cast("long")
+        step = max(1, -(-(ends["hi"] - ends["lo"] + 1) // ID_BUCKETS))
+        return F.floor((F.col(column).cast("decimal(20,0)") - F.lit(ends["lo"])) / F.lit(step)).cast("long")
+    if isinstance(kind, NumericType):
         return value_bucket(F.col(column).cast("double"))
-    ends = df.agg(F.min(column).alias("lo"), F.max(column).alias("hi")).first()
-    shared = len(commonprefix([ends["lo"] or "", ends["hi"] or ""]))
-    return F.substring(column, shared + 1, 3)
+    sample = df.select(column).dropna().distinct().orderBy(F.md5(F.col(column).cast("string")), column).limit(ID_SAMPLE)
+    found = sorted((r[0] for r in sample.collect()), key=lambda x: x.encode())  # Spark orders strings by their bytes
+    splits = found[ID_SAMPLE // ID_SPLITS::ID_SAMPLE // ID_SPLITS] if len(found) == ID_SAMPLE else found[1:ID_SPLITS]
+    if not splits:
+        return F.when(F.col(column).isNotNull(), F.lit(0).cast("long"))
+    return F.when(F.col(column).isNotNull(), F.size(F.filter(F.lit(splits), lambda x: x <= F.col(column))).cast("long"))
+
+
+def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on equal keys where null meets null, so rows of a null group or bucket are not lost."""
+    named = right.withColumnsRenamed({k: f"_same_{k}" for k in keys})
+    met = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_same_{k}")) for k in keys])
+    return left.join(named, met).drop(*[f"_same_{k}" for k in keys])
 
 
 def _bucket_offsets(totals: DataFrame, group: Sequence[str], sums: Sequence[str]) -> DataFrame:
@@ -70,7 +95,7 @@ def with_rank(
     totals = keyed.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_n"))
     offsets = _bucket_offsets(totals, group, ["_n"])
     local = W.partitionBy(*group, "_b").orderBy(*order)
-    out = keyed.join(offsets, [*group, "_b"]).withColumn(name, F.row_number().over(local) + F.col("_off_n"))
+    out = join_same(keyed, offsets, [*group, "_b"]).withColumn(name, F.row_number().over(local) + F.col("_off_n"))
     if total:
         out = out.withColumn(total, F.col("_all_n"))
     return out.drop("_b", "_off_n", "_all_n")
@@ -90,7 +115,7 @@ def prefix_sums(
     per_bucket = keyed.groupBy(*group, "_b").agg(*[F.sum(c).alias(f"_t{i}") for i, c in enumerate(inputs)])
     offsets = _bucket_offsets(per_bucket, group, [f"_t{i}" for i in range(len(inputs))])
     local = W.partitionBy(*group, "_b").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    out = keyed.join(offsets, [*group, "_b"])
+    out = join_same(keyed, offsets, [*group, "_b"])
     for alias, source in sums.items():
         i = inputs.index(source)
         out = out.withColumn(alias, F.coalesce(F.sum(source).over(local), F.lit(0)) + F.col(f"_off_t{i}"))
@@ -126,7 +151,7 @@ def take_lowest(
     )
     local = W.partitionBy(*group, "_b").orderBy(key, *ties)
     return (
-        keyed.join(small_side(kept, 1_000_000), [*group, "_b"])
+        join_same(keyed, small_side(kept, 1_000_000), [*group, "_b"])
         .withColumn("_r", F.row_number().over(local) + F.col("_off"))
         .where(F.col("_r") <= F.col("_limit"))
         .drop("_b", "_off", "_limit", "_r")
@@ -179,7 +204,7 @@ def exact_quantiles(
     )
     inside = W.partitionBy(*group, "_b").orderBy("_v")
     hits = (
-        merged.join(wanted, [*group, "_b"])
+        join_same(merged, wanted, [*group, "_b"])
         .withColumn("_cum", F.sum("_n").over(inside))
         .withColumn("_want", F.filter("_want", lambda q: (q["rank"] < F.col("_cum")) & (q["rank"] >= F.col("_cum") - F.col("_n"))))
         .where(F.size("_want") > 0)

@@ -28,14 +28,16 @@ TIE = 1e-12
 SCORE_ENDPOINTS = ("dice", "lesion_f1")
 
 
-def _spread_repetitions(df: DataFrame, reps: int) -> DataFrame:
-    """Every row once per repetition, the work split by blocks of repetitions.
+def _spread_repetitions(df: DataFrame, reps: int, key: str) -> DataFrame:
+    """Every row once per repetition, the work split by blocks of repetitions and by rows.
 
     The shuffle moves ``rows * reps / REP_BLOCK`` rows; the rest is expanded locally and
-    summed per repetition before the next shuffle.
+    summed per repetition before the next shuffle. The number of parts is stated, since
+    adaptive execution would merge the small parts that are about to grow.
     """
     blocks = -(-reps // REP_BLOCK)
-    spread = df.withColumn("_blk", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition("_blk")
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
+    spread = df.withColumn("_blk", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition(parts, "_blk", key)
     first = F.col("_blk") * REP_BLOCK
     return spread.withColumn(
         "rep", F.explode(F.sequence(first, F.least(first + REP_BLOCK, F.lit(reps)) - 1))
@@ -54,7 +56,7 @@ def bootstrap_means(
     group = list(group)
     rows = df.select(*group, key, *values)
     numbered = with_rank(rows, group, [key], order_bucket(rows, key), name="_i", total="_n").withColumn("_i", F.col("_i") - 1)
-    draws = _spread_repetitions(numbered.select(*group, "_i", "_n"), reps)
+    draws = _spread_repetitions(numbered.select(*group, "_i", "_n"), reps, "_i")
     picked = F.conv(F.substring(hash_key(["rep", "_i"], seed), 1, 12), 16, 10).cast("long") % F.col("_n")
     return (
         draws.select(*group, "rep", picked.alias("_i"))
@@ -84,7 +86,7 @@ def sign_flip_p(
     """Two-sided sign-flip p-value of a zero mean delta: ``(metric, p)``, never exactly zero."""
     sign = F.when(F.substring(hash_key(["rep", key], seed), 1, 1) < "8", 1.0).otherwise(-1.0)
     flipped = (
-        _spread_repetitions(df.select(key, *deltas), reps).withColumn("_s", sign)
+        _spread_repetitions(df.select(key, *deltas), reps, key).withColumn("_s", sign)
         .groupBy("rep").agg(*[F.abs(F.sum(F.col("_s") * F.col(d)) / F.count(F.lit(1))).alias(d) for d in deltas])
     )
     pairs = ", ".join(f"'{d}', `{d}`" for d in deltas)

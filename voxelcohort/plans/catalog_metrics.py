@@ -181,12 +181,12 @@ def metric_summary(spark, sf):
 @query("metric_summary_ci", cte("arms") + """,
 sc AS (SELECT case_id, a_dice, b_dice, unnest([-1, fold]) AS scope FROM arms),
 num AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY case_id) - 1 AS i, count(*) OVER (PARTITION BY scope) AS n FROM sc),
-dr AS (SELECT scope, r.range AS rep, CAST(('0x' || substr(md5(concat_ws('|', r.range, i, '2026')), 1, 12)) AS BIGINT) % n AS i FROM num, range(200) r),
+dr AS (SELECT scope, r.range AS rep, CAST(('0x' || substr(md5(concat_ws('|', r.range, i, '2026')), 1, 12)) AS BIGINT) % n AS i FROM num, range(10000) r),
 bm AS (SELECT dr.scope, rep, avg(a_dice) AS a_dice, avg(b_dice) AS b_dice FROM dr JOIN num ON num.scope = dr.scope AND num.i = dr.i GROUP BY dr.scope, rep),
 u AS (SELECT 'a_dice' AS metric, scope, a_dice AS v FROM bm UNION ALL SELECT 'b_dice', scope, b_dice FROM bm)
 SELECT metric, CAST(scope AS BIGINT) AS scope, round(quantile_cont(v, 0.025), 6) AS ci_low, round(quantile_cont(v, 0.975), 6) AS ci_high FROM u GROUP BY ALL""")
 def metric_summary_ci(spark, sf):
-    out = metrics.metric_summary(view(spark, sf, "arms"), ("a_dice", "b_dice"), bootstrap_reps=200)
+    out = metrics.metric_summary(view(spark, sf, "arms"), ("a_dice", "b_dice"), bootstrap_reps=10_000)
     return rounded(out, "ci_low", "ci_high").select("metric", "scope", "ci_low", "ci_high")
 
 

@@ -11,7 +11,7 @@ from voxelcohort.plans.views import cte, table, view
 
 SEED = 2026
 METRICS = ("dice", "avd")
-BOOT, FLIPS = 400, 1000
+BOOT, FLIPS = 20_000, 100_000
 
 DELTAS_SQL = cte("arms") + """,
 d AS (SELECT case_id, fold, reference_volume_ml, a_dice, b_dice, a_avd, b_avd, b_dice - a_dice AS dice, b_avd - a_avd AS avd FROM arms)"""

@@ -29,10 +29,13 @@ def build_session(app: str = "voxelcohort", cores: int | str = "*", **conf: str)
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the configured checkpoint folder.
 
-    Only a session that names none (tests, local runs) gets a fresh local one.
+    Only a local session that names none (tests, local runs) gets a fresh local one; on a cluster executors could not
+    reach it, so there a missing setting is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not configured:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(configured)
     elif not spark.sparkContext.getCheckpointDir():
