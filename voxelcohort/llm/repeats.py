@@ -144,6 +144,10 @@ class _Block:
         self.borders = self.span[~long]
 
 
+def _in_document(name: np.ndarray, row: np.ndarray) -> np.ndarray:
+    return mix(name ^ (row.astype(np.uint64) * _SALT[37]))
+
+
 def _emit(name: np.ndarray, place: np.ndarray, size: np.ndarray | int, row: np.ndarray, offset: np.ndarray, ids: pa.Array, rids: np.ndarray):
     known = ~np.isnan(ids.to_numpy(zero_copy_only=False).astype(float))[row] if ids.null_count else np.ones(len(row), dtype=bool)
     code = ((place - offset[row]) << 32) + size
@@ -172,15 +176,21 @@ def _named(held: DataFrame, what: str) -> DataFrame:
                 open_ = np.flatnonzero(block.windows & ~block.proven)
                 border, around = elected_borders(block.hashes, block.row, block.offset)
                 if what == "borders":
+                    # one row for each name and document, however often a run repeats it
                     place = np.unique(border[open_])
+                    place = place[np.unique(_in_document(around[place], block.row[place]), return_index=True)[1]]
                     # a border only selects what is looked at next, so 48 bits of its name are enough
                     yield _emit(around[place] >> np.uint64(16), place, 0, block.row[place], block.offset, own_ids, own_rids)
                 else:
-                    met = np.zeros(len(block.hashes), dtype=bool)
-                    met[block.borders] = True
-                    place = open_[met[border[open_]]]
+                    met = _in_document(around[block.borders], block.row[block.borders])
+                    place = open_[np.isin(_in_document(around[border[open_]], block.row[open_]), met)]
                     name = _rolled(block.hashes, WINDOW, _SALT[36] | np.uint64(1))[place]
-                    yield _emit(name, place, WINDOW, block.row[place], block.offset, own_ids, own_rids)
+                    # equal windows next to each other, as in runs of one word, are one row over all their words
+                    head = np.ones(len(place), dtype=bool)
+                    head[1:] = (name[1:] != name[:-1]) | (place[1:] != place[:-1] + 1) | (block.row[place[1:]] != block.row[place[:-1]])
+                    at = np.flatnonzero(head)
+                    size = WINDOW - 1 + np.diff(np.append(at, len(place)))
+                    yield _emit(name[at], place[at], size, block.row[place[at]], block.offset, own_ids, own_rids)
 
     return held.select("id", "rid", "text", *(["marks"] if with_marks else [])).mapInArrow(named, _ROW)
 
