@@ -83,9 +83,9 @@ def test_coordinates_and_config(spark):
     last = lambda mode: features.coordinates(image(spark, a), mode).where("row = 2 and col = 3").first()
     assert (last("raw")["row_coord"], last("raw")["col_coord"]) == (2.0, 3.0)
     assert (last("normalized")["row_coord"], last("normalized")["col_coord"]) == (1.0, 1.0)
-    for bad in ({"window": 4}, {"run_mode": "x"}, {"coordinates": "x"}, {"boundary": "x"}):
+    for bad in ({"window": 4}, {"mode": "x"}, {"coordinate_mode": "x"}, {"boundary": "x"}):
         with pytest.raises(ValueError):
-            features.FeatureConfig(**bad)
+            features.nine_features(image(spark, a), **bad)
 
 
 def test_nine_features_invariant_under_partitioning(spark):

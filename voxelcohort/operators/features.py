@@ -8,7 +8,6 @@ Images must be dense rectangles (see ``masks.dense_violations``).
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,27 +20,10 @@ RUN_MODES = ("threshold_count", "centered_run", "max_run")
 FEATURE_NAMES = ("row_coord", "col_coord", "intensity", "box_mean", "binomial_mean", *DIRECTIONS)
 
 
-@dataclass(frozen=True)
-class FeatureConfig:
-    threshold: float = 20.0
-    window: int = 25
-    run_mode: str = "threshold_count"
-    coordinates: str = "raw"
-    boundary: str = "nearest"
-
-    def __post_init__(self) -> None:
-        if self.window < 1 or self.window % 2 == 0:
-            raise ValueError("window must be a positive odd number")
-        if self.run_mode not in RUN_MODES:
-            raise ValueError(f"run_mode must be one of {RUN_MODES}")
-        if self.coordinates not in ("raw", "normalized"):
-            raise ValueError("coordinates must be 'raw' or 'normalized'")
-        if self.boundary not in ("nearest", "reflect", "constant"):
-            raise ValueError("boundary must be 'nearest', 'reflect' or 'constant'")
-
-
 def coordinates(pixels: DataFrame, mode: str = "raw", image: Sequence[str] = ("case_id",)) -> DataFrame:
     """``row_coord`` and ``col_coord``: indices, or indices divided by the last index."""
+    if mode not in ("raw", "normalized"):
+        raise ValueError(f"no coordinates of kind {mode!r}; raw and normalized exist")
     if mode == "raw":
         return pixels.withColumn("row_coord", F.col("row").cast("double")).withColumn("col_coord", F.col("col").cast("double"))
     ends = pixels.groupBy(*image).agg(F.max("row").alias("_rmax"), F.max("col").alias("_cmax"))
@@ -55,6 +37,8 @@ def coordinates(pixels: DataFrame, mode: str = "raw", image: Sequence[str] = ("c
 
 def _weighted_triplet(value: Column, line, weights: tuple[int, int], boundary: str) -> Column:
     """side*left + middle*value + side*right; for one pixel, nearest and reflect repeat the edge."""
+    if boundary not in ("nearest", "reflect", "constant"):
+        raise ValueError(f"no boundary {boundary!r}; nearest, reflect and constant exist")
     side, middle = weights
     edge = F.lit(0.0) if boundary == "constant" else value
     left = F.coalesce(F.lag(value).over(line), edge)
@@ -104,7 +88,8 @@ def directional_run(
     ``threshold_count`` counts them, ``centered_run`` is the run through the pixel clipped to
     the window, ``max_run`` the longest run inside it. Outside the image counts as below.
     """
-    FeatureConfig(threshold, window, mode)
+    if mode not in RUN_MODES or window < 1 or window % 2 == 0:
+        raise ValueError(f"a run needs an odd window and a mode of {RUN_MODES}, not {window} and {mode!r}")
     keys, c = _line(direction, image)
     r = window // 2
     high = F.col("value") >= threshold
@@ -127,22 +112,21 @@ def directional_run(
     return around.withColumn(name, F.array_max(inside).cast("int")).drop("_p", "_cur", "_w")
 
 
-def nine_features(pixels: DataFrame, config: FeatureConfig | None = None, image: Sequence[str] = ("case_id",)) -> DataFrame:
+def nine_features(
+    pixels: DataFrame, image: Sequence[str] = ("case_id",), boundary: str = "nearest", coordinate_mode: str = "raw", **run_options,
+) -> DataFrame:
     """All nine features of every pixel; other columns pass through.
 
     Window order lets row-line and column-line stages share their exchange. A table already
     distributed by image (bucketed, or repartitioned by a caller who knows images are
     small) needs no exchange at all, since every window key contains the image keys.
+    ``run_options`` are those of ``directional_run``.
     """
-    cfg = config or FeatureConfig()
-    run = lambda df, name: directional_run(
-        df, DIRECTIONS[name], name, cfg.threshold, cfg.window, cfg.run_mode, image
-    )
-    out = run(pixels, "run_horizontal")
-    out = local_means(out, cfg.boundary, image)
+    out = directional_run(pixels, DIRECTIONS["run_horizontal"], "run_horizontal", image=image, **run_options)
+    out = local_means(out, boundary, image)
     for name in ("run_vertical", "run_45deg", "run_135deg"):
-        out = run(out, name)
-    return coordinates(out, cfg.coordinates, image).withColumn("intensity", F.col("value"))
+        out = directional_run(out, DIRECTIONS[name], name, image=image, **run_options)
+    return coordinates(out, coordinate_mode, image).withColumn("intensity", F.col("value"))
 
 
 def feature_input_violations(pixels: DataFrame, image: Sequence[str] = ("case_id",)) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelcohort.operators import masks, metrics, models, preprocess, splits
-from voxelcohort.operators.features import FeatureConfig, nine_features
+from voxelcohort.operators.features import nine_features
 from voxelcohort.session import cut_lineage, read_if_present
 
 # Fixed sensitivity grids.
@@ -43,18 +43,18 @@ def choose_slices(voxels: DataFrame, strategy: str = "max_lesion") -> DataFrame:
 
 
 def prepare_pixels(
-    pixels: DataFrame, mode: str = "paper_minimal", config: FeatureConfig | None = None,
+    pixels: DataFrame, mode: str = "paper_minimal", options: Mapping[str, object] | None = None,
     image: Sequence[str] = ("case_id",), median_size: int = 3,
 ) -> DataFrame:
     """Preprocess, nine features, then brain pixels only; ``label`` becomes 0 or 1.
 
     The brain filter stays behind the windows, which need whole images.
     """
-    return _featured(preprocess.preprocess(pixels, mode, median_size, image), config, image)
+    return _featured(preprocess.preprocess(pixels, mode, median_size, image), options, image)
 
 
-def _featured(filtered: DataFrame, config: FeatureConfig | None, image: Sequence[str] = ("case_id",)) -> DataFrame:
-    out = nine_features(filtered, config, image).where("brain")
+def _featured(filtered: DataFrame, options: Mapping[str, object] | None, image: Sequence[str] = ("case_id",)) -> DataFrame:
+    out = nine_features(filtered, image, **(options or {})).where("brain")
     return out.withColumn("label", (F.col("label").cast("int") > 0).cast("int"))
 
 
@@ -73,14 +73,14 @@ def evaluate_scored(scored: DataFrame, shapes: DataFrame, close_radius: int, mod
 
 def train_eval(
     pixels: DataFrame, split: DataFrame, fits: Mapping[str, Fit], mode: str = "paper_minimal",
-    config: FeatureConfig | None = None, target: int = 15_000, close_radius: int = 1, seed: int = 2026,
+    options: Mapping[str, object] | None = None, target: int = 15_000, close_radius: int = 1, seed: int = 2026,
     prepared: DataFrame | None = None,
 ) -> DataFrame:
     """Case metrics of each model on held-out cases; ``split``: ``(case_id, role)``.
 
     Features are computed and materialised once; fitting sees only the balanced sample.
     """
-    feats = cut_lineage(prepare_pixels(pixels, mode, config)) if prepared is None else prepared
+    feats = cut_lineage(prepare_pixels(pixels, mode, options)) if prepared is None else prepared
     train = feats.join(split.where("role = 'train'"), "case_id", "left_semi")
     sample = cut_lineage(splits.balanced_sample(train, "label", ["case_id", "row", "col"], target, seed))
     test = feats.join(split.where("role = 'test'"), "case_id", "left_semi")
@@ -107,7 +107,7 @@ def pixel_leakage_eval(
     )
 
 
-def histogram_matched(pixels: DataFrame, split: DataFrame, mode: str, config: FeatureConfig | None = None) -> DataFrame:
+def histogram_matched(pixels: DataFrame, split: DataFrame, mode: str, options: Mapping[str, object] | None = None) -> DataFrame:
     """Features after matching every brain histogram to a training reference case."""
     filtered = preprocess.preprocess(pixels)
     if mode != "none":
@@ -119,7 +119,7 @@ def histogram_matched(pixels: DataFrame, split: DataFrame, mode: str, config: Fe
         filtered = filtered.join(moved, ["case_id", "row", "col"], "left").withColumn(
             "value", F.coalesce("matched", F.lit(0.0))
         ).drop("matched")
-    return cut_lineage(_featured(filtered, config))
+    return cut_lineage(_featured(filtered, options))
 
 
 def histogram_eval(pixels: DataFrame, split: DataFrame, fit: Fit, mode: str, target: int = 15_000, seed: int = 2026) -> DataFrame:
@@ -160,8 +160,8 @@ def feature_sweep(
     variants: Mapping[str, tuple[str, str, float]] = FEATURE_VARIANTS,
 ) -> DataFrame:
     def condition(mode: str, run_mode: str, threshold: float) -> Callable[[], DataFrame]:
-        config = FeatureConfig(threshold=threshold, run_mode=run_mode)
-        return lambda: summarize(train_eval(pixels, split, {"svm": fit}, mode, config, target))
+        options = {"threshold": threshold, "mode": run_mode}
+        return lambda: summarize(train_eval(pixels, split, {"svm": fit}, mode, options, target))
 
     return run_sweep(spark, {name: condition(*v) for name, v in variants.items()}, path)
 

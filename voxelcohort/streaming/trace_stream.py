@@ -1,113 +1,52 @@
-"""The ordered-event contract on an unbounded stream, one small state per run."""
+"""The ordered-event contract on an unbounded stream: every arrival judges its runs anew by the batch rules.
 
-from __future__ import annotations
+Events are kept as they arrive; a micro-batch judges the runs it touches on all their events so far. So the answer does
+not depend on how arrivals were cut into batches, late events are judged like others, milestones are missing exactly as
+long as they are, and run and case ids may be of any type. Nothing is held in streaming state.
+"""
 
-from collections.abc import Iterator
+from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StreamingQuery
 
 from voxelcohort.operators import trace as contract
 
-OUTPUT_SCHEMA = "check string, key string, detail string"
-# Seen-case sets are bounded by the cohort; the rest are flags and counters.
-STATE_SCHEMA = (
-    "last_seq long, ckpt boolean, arch boolean, seal boolean, steps long, labels array<long>, images array<long>"
-)
-
-
-class _Run:
-    """Replays one run's events in order and names every broken rule."""
-
-    def __init__(self, state: tuple, epochs: int, n_train: int, n_outer: int):
-        self.last, self.ckpt, self.arch, self.seal, self.steps = state[:5]
-        self.labels, self.images = set(state[5] or ()), set(state[6] or ())
-        self.epochs, self.n_train, self.n_outer = epochs, n_train, n_outer
+# Events are filed by this many buckets of runs, so that a batch reads back the buckets of its runs only.
+RUN_BUCKETS = 64
+EVENT_COLUMNS = ("run_id", "seq", "type", "case_id", "epoch")
 
-    def state(self) -> tuple:
-        return (self.last, self.ckpt, self.arch, self.seal, self.steps, sorted(self.labels), sorted(self.images))
 
-    def event(self, run_id, seq: int, kind: str, case, epoch, role) -> Iterator[tuple[str, str, str]]:
-        key, shown = f"{run_id}/{seq}", "" if pd.isna(case) else str(int(case))
-        number = "" if pd.isna(epoch) else str(int(epoch))
-        if seq <= self.last:
-            yield "late_event", key, kind
-            return
-        self.last = int(seq)
-        checks: list[tuple[bool, str, str]] = []
-        if kind not in contract.ALLOWED:
-            checks = [(True, "event_prohibited", kind)]
-        elif kind in (contract.TRAIN_IMAGE, contract.TRAIN_LABEL):
-            checks = [(self.ckpt, "train_open_after_checkpoint", shown), (role != "train", "train_case_outside", shown)]
-            if kind == contract.TRAIN_LABEL and role == "train" and not self.ckpt:
-                self.labels.add(int(case))
-        elif kind == contract.STEP:
-            self.steps += 1
-            checks = [(self.ckpt, "step_after_checkpoint", number),
-                      (number != str(self.steps) or int(number) > self.epochs, "step_order", number)]
-        elif kind == contract.CHECKPOINT:
-            partial = len(self.labels) < self.n_train or self.steps != self.epochs
-            checks = [(self.ckpt, "checkpoint_repeated", ""), (number != str(self.epochs), "checkpoint_epoch", number),
-                      (not self.ckpt and partial, "checkpoint_incomplete", f"{len(self.labels)}+{self.steps}")]
-            self.ckpt = True
-        elif kind == contract.ARCHIVE:
-            checks = [(not self.ckpt, "archive_before_checkpoint", ""), (self.arch, "archive_repeated", "")]
-            self.arch = True
-        elif kind == contract.OUTER_IMAGE:
-            checks = [(not (self.ckpt and self.arch), "inference_before_archive", shown),
-                      (self.seal, "inference_after_seal", shown), (role != "val", "inference_case_outside", shown)]
-            if role == "val" and not self.seal:
-                self.images.add(int(case))
-        elif kind == contract.SEAL:
-            checks = [(not self.arch, "seal_before_archive", ""), (self.seal, "seal_repeated", ""),
-                      (not self.seal and len(self.images) < self.n_outer, "seal_incomplete", str(len(self.images)))]
-            self.seal = True
-        elif kind == contract.OUTER_LABEL:
-            checks = [(not self.seal, "label_before_seal", shown), (role != "val", "label_case_outside", shown)]
-        for broken, check, detail in checks:
-            if broken:
-                yield check, key, detail
+def judge_trace_stream(
+    stream: DataFrame, roles: DataFrame, epochs: int, path: str, checkpoint: str, once: bool = True
+) -> StreamingQuery:
+    """Judge ``(run_id, seq, type, case_id, epoch)`` events as they arrive; results are read by ``latest_violations``.
 
-    def unfinished(self, run_id) -> list[tuple[str, str, str]]:
-        marks = ((self.ckpt, contract.CHECKPOINT), (self.arch, contract.ARCHIVE), (self.seal, contract.SEAL))
-        return [("milestone_missing", str(run_id), name) for reached, name in marks if not reached]
-
-
-def trace_violations_stream(
-    stream: DataFrame, roles: DataFrame, epochs: int, watermark: str = "1 hour", idle_ms: int = 7 * 24 * 3600 * 1000
-) -> DataFrame:
-    """Violation rows of ``(run_id, seq, ts, type, case_id, epoch)`` events as they arrive.
-
-    Within a micro-batch a run's events are replayed in ``seq`` order; an event older than
-    one already replayed becomes a ``late_event`` row. A run idle for ``idle_ms`` of event
-    time reports its missing milestones and its state is dropped.
+    A micro-batch writes its own folders under ``path``, so one that is repeated after a failure replaces them.
+    ``once`` takes what is there and ends.
     """
-    role = roles.select("case_id", "role").distinct()
-    counts = role.agg(F.count_if(F.col("role") == "train").alias("t"), F.count_if(F.col("role") == "val").alias("v")).first()
-    n_train, n_outer = int(counts["t"]), int(counts["v"])
-
-    def replay(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        start = state.get if state.exists else (-1, False, False, False, 0, [], [])
-        run = _Run(start, epochs, n_train, n_outer)
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame(run.unfinished(key[0]), columns=["check", "key", "detail"])
-            return
-        rows = pd.concat(list(batches)).sort_values("seq")  # one run's share of one micro-batch
-        found = [
-            v for r in rows.itertuples(index=False) for v in run.event(key[0], r.seq, r.type, r.case_id, r.epoch, r.role)
-        ]
-        state.update(run.state())
-        newest = int(rows["ts"].max().timestamp() * 1000)
-        state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + idle_ms)
-        yield pd.DataFrame(found, columns=["check", "key", "detail"])
-
-    return (
-        stream.withWatermark("ts", watermark)
-        .join(role, "case_id", "left")
-        .select("run_id", "seq", "ts", "type", "case_id", "epoch", "role")
-        .groupBy("run_id")
-        .applyInPandasWithState(replay, OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
-    )
+    id_type = stream.schema["run_id"].dataType
+
+    def judge(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        arrived = batch.select(*EVENT_COLUMNS, F.pmod(F.xxhash64("run_id"), F.lit(RUN_BUCKETS)).alias("bucket"))
+        arrived.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/events/batch={number}")
+        events = spark.read.schema(arrived.drop("bucket").schema.add("batch", "long").add("bucket", "long")).parquet(f"{path}/events")
+        mine = events.where(F.col("batch") == number)
+        buckets = [r["bucket"] for r in mine.select("bucket").distinct().collect()]  # RUN_BUCKETS at most
+        runs = mine.select("run_id").distinct()
+        known = events.where(F.col("bucket").isin(buckets) & (F.col("batch") <= number)).join(runs, "run_id", "left_semi")
+        found = contract.trace_violations(known.select(*EVENT_COLUMNS), roles, epochs)
+        owner = F.when(F.col("check") == "milestone_missing", F.col("key")).otherwise(F.regexp_replace("key", "/[^/]*$", ""))
+        found.withColumn("run_id", owner.cast(id_type)).write.mode("overwrite").parquet(f"{path}/found/batch={number}")
+        runs.write.mode("overwrite").parquet(f"{path}/judged/batch={number}")
+
+    started = stream.writeStream.foreachBatch(judge).option("checkpointLocation", checkpoint)
+    return (started.trigger(availableNow=True) if once else started).start()
+
+
+def latest_violations(spark: SparkSession, path: str) -> DataFrame:
+    """Violation rows of every run by its latest judgement."""
+    newest = spark.read.parquet(f"{path}/judged").groupBy("run_id").agg(F.max("batch").alias("batch"))
+    return spark.read.parquet(f"{path}/found").join(newest, ["run_id", "batch"], "left_semi").select("check", "key", "detail")
