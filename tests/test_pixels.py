@@ -177,7 +177,8 @@ def test_fit_uses_training_cases_only(spark, fold_samples):
     # changing the held-out case's values leaves its own fold untouched
     moved = samples.withColumn("value", F.when(F.col("case_id") == "s4", F.col("value") * 1000).otherwise(F.col("value")))
     again = {(r["fold"], r["channel"]): r for r in preprocess.fit_normalization(moved, folds, 4).where("fold = 3").collect()}
-    assert again[(3, "ncct")] == got[(3, "ncct")]
+    for now, then in zip(again[(3, "ncct")], got[(3, "ncct")]):  # sums may differ in the last bit by the order of arrival
+        assert now == then or abs(now - then) <= 1e-12 * abs(then)
 
 
 def test_fit_violations(spark, fold_samples):
