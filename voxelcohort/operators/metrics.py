@@ -7,6 +7,7 @@ case list, so a case with two empty masks keeps its row.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -195,12 +196,16 @@ def lesion_f1_matched(
 
 def evaluate_cases(
     ref: DataFrame, pred: DataFrame, headers: DataFrame, brain: DataFrame | None = None,
-    connectivity: int = 26, lesion_f1: str = "matched",
+    connectivity: int = 26, lesion_f1: str = "matched", delivered: DataFrame | None = None,
 ) -> DataFrame:
     """One metric row a case: overlap, volumes, lesion counts and lesion-wise F1.
 
-    ``headers``: one row a case with ``spacing`` (and ``fold`` when known); it is the case list.
+    ``headers``: one row a case with ``spacing`` (and ``fold`` when known); it is the case list. With ``delivered``
+    (``case_id``) only those cases are scored; ``evaluate_violations`` reports the others. The row carries what
+    ``statistics.pair_arms`` compares, ``voxel_volume_ml`` and ``reference_lesion_count`` among it.
     """
+    if delivered is not None:
+        headers = headers.join(delivered.select("case_id").distinct(), "case_id", "left_semi")
     ref_labels = label_components(mask_intersect(ref, brain), connectivity)
     pred_labels = label_components(mask_intersect(pred, brain), connectivity)
     contacts = cut_lineage(contact_table(ref_labels, pred_labels))
@@ -212,14 +217,29 @@ def evaluate_cases(
     cases = headers.select("case_id", *[c for c in ("fold",) if c in headers.columns])
     counts = cases.join(sums, "case_id", "left").fillna(0, ["tp", "n_ref", "n_pred"])
     base = volume_metrics(counts.withColumn("dice", _dice(F.col("tp"), F.col("n_ref"), F.col("n_pred"))), headers)
+    base = base.join(headers.select("case_id", voxel_volume_ml(F.col("spacing")).alias("voxel_volume_ml")), "case_id")
     score = lesion_f1_matched if lesion_f1 == "matched" else lesion_f1_overlap
     return (
         base.drop("tp", "n_ref", "n_pred")
         .join(score(contacts, cases).select("case_id", "lesion_f1"), "case_id")
         .join(lesion_counts(contacts, cases), "case_id")
+        .withColumn("reference_lesion_count", F.col("ref_lesions"))
     )
 
 
+def evaluate_violations(headers: DataFrame, delivered: DataFrame, grids: DataFrame | None = None) -> DataFrame:
+    """What must be settled before scoring: undelivered or unknown cases, bad spacings, and unequal grids.
+
+    ``grids``: ``(case_id, image, shape)`` of every image that takes part (reference, prediction, brain mask).
+    """
+    unknown = delivered.select("case_id").distinct().join(headers.select("case_id"), "case_id", "left_anti")
+    found = [missing_predictions(headers, delivered), violation(unknown, "prediction_unknown", F.col("case_id"), F.lit("")), spacing_violations(headers)]
+    if grids is not None:
+        per_case = grids.groupBy("case_id").agg(F.count_distinct("shape").alias("n"))
+        found.append(violation(per_case.where("n > 1"), "grid_mismatch", F.col("case_id"), F.col("n")))
+    return reduce(DataFrame.unionByName, found)
+
+
 def missing_predictions(headers: DataFrame, delivered: DataFrame) -> DataFrame:
     """Cases without a delivered prediction (an empty mask is delivered, a lost file is not)."""
     gone = headers.select("case_id").join(delivered.select("case_id"), "case_id", "left_anti")

@@ -127,12 +127,40 @@ ev AS (SELECT c.case_id, c.case_id % 5 AS fold, CASE WHEN n_ref + n_pred = 0 THE
 
 
 @query("evaluate_cases", EVAL_SQL + f"""
-SELECT case_id, fold, round(dice, 6) AS dice, round(lesion_f1, 6) AS lesion_f1, ref_lesions, pred_lesions, lesion_count_difference, {VOLUME_SQL} FROM ev""")
+SELECT case_id, fold, round(dice, 6) AS dice, round(lesion_f1, 6) AS lesion_f1, ref_lesions, pred_lesions, lesion_count_difference, {VOLUME_SQL},
+  ref_lesions AS reference_lesion_count, CAST(4 AS DOUBLE) * (1 + case_id % 7) / 1000 AS voxel_volume_ml FROM ev""")
 def evaluate_cases(spark, sf):
     _, ref, pred, _ = masks_of(spark, sf)
     return rounded(metrics.evaluate_cases(ref, pred, case_headers(spark, sf)), "dice", "lesion_f1", *VOLUMES)
 
 
+@query("evaluate_violations", """
+WITH h AS (SELECT c_custkey AS case_id, c_custkey % 17 AS side FROM customer), dl AS (SELECT DISTINCT o_custkey AS case_id FROM orders WHERE o_orderstatus <> 'O' UNION SELECT -1)
+SELECT 'prediction_missing' AS "check", CAST(case_id AS VARCHAR) AS key, '' AS detail FROM h WHERE case_id NOT IN (SELECT case_id FROM dl)
+UNION ALL SELECT 'prediction_unknown', CAST(case_id AS VARCHAR), '' FROM dl WHERE case_id NOT IN (SELECT case_id FROM h)
+UNION ALL SELECT 'spacing', CAST(case_id AS VARCHAR), '0.0,1.0,1.0' FROM h WHERE side = 0
+UNION ALL SELECT 'grid_mismatch', CAST(o_custkey AS VARCHAR), CAST(count(DISTINCT o_orderkey % 3) AS VARCHAR) FROM orders GROUP BY o_custkey HAVING count(DISTINCT o_orderkey % 3) > 1""")
+def evaluate_violations(spark, sf):
+    from voxelcohort.plans.views import table
+    cases = table(spark, sf, "customer").select(F.col("c_custkey").alias("case_id"), F.array((F.col("c_custkey") % 17).cast("double"), F.lit(1.0), F.lit(1.0)).alias("spacing"))
+    orders = table(spark, sf, "orders")
+    delivered = orders.where("o_orderstatus <> 'O'").selectExpr("o_custkey as case_id").unionByName(spark.range(-1, 0).withColumnRenamed("id", "case_id"))
+    grids = orders.selectExpr("o_custkey as case_id", "o_orderkey as image", "o_orderkey % 3 as shape")
+    return metrics.evaluate_violations(cases, delivered, grids)
+
+
+@query("pair_evaluated", EVAL_SQL + """
+SELECT case_id, fold, round(n_ref * CAST(4 AS DOUBLE) * (1 + case_id % 7) / 1000, 6) AS reference_volume_ml, round(dice, 6) AS a_dice, CAST(1 AS DOUBLE) AS b_dice,
+  round(1 - dice, 6) AS delta_dice FROM ev""")
+def pair_evaluated(spark, sf):
+    """Scored predictions against scored references as second arm, from the evaluation straight into the pairing."""
+    from voxelcohort.operators import statistics
+    _, ref, pred, _ = masks_of(spark, sf)
+    arms = [metrics.evaluate_cases(ref, m, case_headers(spark, sf)) for m in (pred, ref)]
+    pairs, _ = statistics.pair_arms(*arms, ["dice"])
+    return rounded(pairs, "a_dice", "b_dice", "delta_dice", "reference_volume_ml")
+
+
 @query("missing_predictions", """
 SELECT 'prediction_missing' AS "check", CAST(c_custkey AS VARCHAR) AS key, '' AS detail FROM customer
 WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')""")

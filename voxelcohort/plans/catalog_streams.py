@@ -30,7 +30,8 @@ def trace_violations_stream_query(spark, sf):
 
 
 @query("evaluate_new_cases_stream", EVAL_SQL + f"""
-SELECT case_id, fold, round(dice, 6) AS dice, round(lesion_f1, 6) AS lesion_f1, ref_lesions, pred_lesions, lesion_count_difference, {VOLUME_SQL} FROM ev""")
+SELECT case_id, fold, round(dice, 6) AS dice, round(lesion_f1, 6) AS lesion_f1, ref_lesions, pred_lesions, lesion_count_difference, {VOLUME_SQL},
+  ref_lesions AS reference_lesion_count, CAST(4 AS DOUBLE) * (1 + case_id % 7) / 1000 AS voxel_volume_ml FROM ev""")
 def evaluate_new_cases_stream_query(spark, sf):
     _, ref, pred, cases = masks_of(spark, sf)
     incoming, out = scratch_path(spark, "incoming"), scratch_path(spark, "evaluated")
@@ -41,7 +42,8 @@ def evaluate_new_cases_stream_query(spark, sf):
 
 
 @query("evaluate_stale", EVAL_SQL + f"""
-SELECT case_id, fold, round(dice, 6) AS dice, round(lesion_f1, 6) AS lesion_f1, ref_lesions, pred_lesions, lesion_count_difference, {VOLUME_SQL} FROM ev WHERE case_id % 4 = 1""")
+SELECT case_id, fold, round(dice, 6) AS dice, round(lesion_f1, 6) AS lesion_f1, ref_lesions, pred_lesions, lesion_count_difference, {VOLUME_SQL},
+  ref_lesions AS reference_lesion_count, CAST(4 AS DOUBLE) * (1 + case_id % 7) / 1000 AS voxel_volume_ml FROM ev WHERE case_id % 4 = 1""")
 def evaluate_stale(spark, sf):
     voxels, ref, pred, _ = masks_of(spark, sf)
     current = incremental.input_signature(voxels.selectExpr("case_id", "k as name", "cast(pred as int) as size", "'' as mtime"))
