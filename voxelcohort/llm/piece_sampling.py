@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from voxelcohort.llm import textgrid
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-BLOCK = 4 << 20
+BLOCK = 2 << 20  # a block needs about 150 bytes of memory for each of its own
 FILTER_BITS = 20
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 SPACE_MARK = "▁"
@@ -75,7 +75,7 @@ def load_vocabulary(path: str = MODEL, temperature: float = 1.0) -> Vocabulary:
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    texts, weight, byte_ids, searchable = [], [], np.zeros(256, dtype=np.int64), []
+    texts, weight, byte_ids, searchable = [], [], np.zeros(256, dtype=np.int32), []
     for k in range(model.get_piece_size()):
         piece, rank = model.id_to_piece(k), -model.get_score(k)
         weight.append(-temperature * np.log(10 + min(rank, model.get_piece_size())))
@@ -89,7 +89,7 @@ def load_vocabulary(path: str = MODEL, temperature: float = 1.0) -> Vocabulary:
             searchable.append(k)
     begin = np.concatenate([[0], np.cumsum([len(x) for x in texts])])
     flat = np.frombuffer(b"".join(texts), dtype=np.uint8)
-    ids = np.array(searchable)
+    ids = np.array(searchable, dtype=np.int32)
     size = (begin[1:] - begin[:-1])[ids]
     keys, checks = (_span_keys(_prefix_hash(flat, b), _powers(len(flat), b), begin[ids], size) for b in BASES)
     order = np.argsort(keys)
@@ -109,7 +109,7 @@ def _edges(v: Vocabulary, data: np.ndarray, end_of: np.ndarray):
     prefixes = [_prefix_hash(data, b) for b in BASES]
     powers = [_powers(len(data), b) for b in BASES]
     found = []
-    start = np.arange(len(data))
+    start = np.arange(len(data), dtype=np.int32)
     for length in v.lengths:
         start = start[start + length <= end_of[start]]
         if not len(start):
@@ -121,7 +121,7 @@ def _edges(v: Vocabulary, data: np.ndarray, end_of: np.ndarray):
         hit = v.key[place] == keys
         at, place = at[hit], place[hit]
         sure = v.check[place] == _span_keys(prefixes[1], powers[1], at, length)
-        found.append((at[sure], np.full(int(sure.sum()), length), v.ids[place[sure]]))
+        found.append((at[sure], np.full(int(sure.sum()), length, dtype=np.int32), v.ids[place[sure]]))
     # characters without a piece of their own fall back to their bytes
     lead = (data & 0xC0) != 0x80
     width = np.where(data < 0x80, 1, np.where(data < 0xE0, 2, np.where(data < 0xF0, 3, 4)))
@@ -130,8 +130,8 @@ def _edges(v: Vocabulary, data: np.ndarray, end_of: np.ndarray):
         whole = at[(size == width[at]) & lead[at]]
         for k in range(4):
             known[whole[width[whole] > k] + k] = True
-    loose = np.flatnonzero(~known[:len(data)])
-    found.append((loose, np.ones(len(loose), dtype=np.int64), v.byte_ids[data[loose]]))
+    loose = np.flatnonzero(~known[:len(data)]).astype(np.int32)
+    found.append((loose, np.ones(len(loose), dtype=np.int32), v.byte_ids[data[loose]]))
     at, size, piece = (np.concatenate([f[k] for f in found]) for k in range(3))
     order = np.argsort(at + size, kind="stable")
     return at[order], (at + size)[order], piece[order]
