@@ -147,7 +147,9 @@ def test_pieces_decode_to_the_text_and_do_not_depend_on_partitions(spark, vocabu
     again = piece_sampling.encode(docs.repartition(1).orderBy(F.desc("doc_id")), vocabulary, F.col("doc_id"))
     pieces = {r["doc_id"]: r["pieces"] for r in once.collect()}
     assert pieces == {r["doc_id"]: r["pieces"] for r in again.collect()}
-    assert pieces != {r["doc_id"]: r["pieces"] for r in piece_sampling.encode(docs, vocabulary, F.col("doc_id"), seed=1).collect()}
+    words = spark.createDataFrame([(k, "several wonderful hello worlds " * 20) for k in range(3)], "doc_id long, text string")
+    drawn = {(seed, r["doc_id"]): tuple(r["pieces"]) for seed in (0, 1) for r in piece_sampling.encode(words, vocabulary, F.col("doc_id"), seed=seed).collect()}
+    assert len(set(drawn.values())) == 6
     decoded = {r["doc_id"]: r["text"] for r in piece_sampling.decode(once, vocabulary).collect()}
     assert decoded == {r["doc_id"]: r["text"] or "" for r in docs.collect()}
     digest = {r["doc_id"]: r for r in piece_sampling.encode_digest(docs, vocabulary, F.col("doc_id")).collect()}
