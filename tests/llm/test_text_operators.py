@@ -105,6 +105,18 @@ def test_main_text(page, text):
     assert main_text.extract(page, weights) == text
 
 
+POST = "one two three four five six seven eight nine ten eleven twelve"
+
+
+@pytest.mark.parametrize("extra", [
+    "<article class='comment-body'><p>nice post indeed</p></article>", "<aside><article><h3>teaser of another post</h3></article></aside>",
+    "<main> </main>", "<article class='comment-body'><p>first</p></article><aside><article>more to read</article></aside>",
+])
+def test_main_text_needs_no_mark_when_marks_hold_no_content(extra):
+    page = f"<body><nav><a>m n o</a></nav><div class='entry-content'><p>{POST}</p></div>{extra}</body>"
+    assert main_text.extract(page, {"default": -0.3, "nav": -2}) == POST
+
+
 def test_main_text_frames(spark):
     pages = [(k, "u", f"<nav>a b c</nav><article><p>text {k}</p></article><footer>z y x w v</footer>", "x") for k in range(20)] + [(20, None, None, "x"), (20, None, None, "x")]
     frame = spark.createDataFrame(pages, "page_id long, url string, html string, text string")

@@ -63,7 +63,7 @@ def _marks(attributes: str) -> list[str]:
 
 def _items(page: str):
     """("text", raw, in link, depth of disliked containers, inside article) and ("tag", keys) in page order."""
-    stack: list[tuple[str, bool]] = []
+    stack: list[tuple[str, bool, bool]] = []
     disliked = linked = marked = 0
     at = 0
     for m in TOKEN.finditer(page):
@@ -80,8 +80,8 @@ def _items(page: str):
             if name in CONTAINERS:
                 depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
                 if depth is not None:
-                    disliked -= sum(bad for _, bad in stack[depth:])
-                    marked -= sum(tag in LINKED for tag, _ in stack[depth:])
+                    disliked -= sum(bad for _, bad, _ in stack[depth:])
+                    marked -= sum(good for _, _, good in stack[depth:])
                     del stack[depth:]
             yield "tag", name, True, (), marked > 0
             continue
@@ -91,9 +91,10 @@ def _items(page: str):
         if name in CONTAINERS and not m[4].endswith("/"):
             bad = name in SEMANTIC and not (name == "header" and marked) or name not in LINKED and any(DISLIKED.match(x) for x in marks)
             bad = bad or name in LINKED and any(x.startswith(("comment", "related", "hidden")) for x in marks)
-            stack.append((name, bool(bad)))
+            good = name in LINKED and not bad and not disliked  # comments and teasers are no content, whatever their element
+            stack.append((name, bool(bad), good))
             disliked += bool(bad)
-            marked += name in LINKED
+            marked += good
         yield "tag", name, False, tuple(marks), marked > 0
     if at < len(page):
         yield "text", page[at:], linked > 0, disliked, marked > 0
@@ -132,7 +133,7 @@ def fit(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, key: str = "page_id"
 def extract(page: str, weights: dict[str, float]) -> str:
     """The text of the best run: scan once, keeping the start of the best run that ends here."""
     items = list(_items(page))
-    has_content = any(x[0] == "tag" and x[4] for x in items)
+    has_content = any(kind == "text" and marked and not disliked and entities.unescape(value).split() for kind, value, _, disliked, marked in items)
     default = weights.get("default", -0.3)
     best = run = 0.0
     first, span, debt = 0, (0, 0), 0.0
