@@ -117,6 +117,21 @@ def test_main_text_needs_no_mark_when_marks_hold_no_content(extra):
     assert main_text.extract(page, {"default": -0.3, "nav": -2}) == POST
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    (f"<div class='layout has-sidebar'><article><p>{POST}</p></article><div class='sidebar'>x y</div></div>", POST),
+    (f"<div id='page-with-menu'><div class='menu'><a>x y</a></div><div class='post'><p>{POST}</p></div></div>", POST),
+    (f"<div class='modal'><article><h1>T</h1><p>a b</p></article></div><div>{POST}</div>", "T\na b"),
+    (f"<div class='overlay'><div><p>{POST}</p></div><div class='site-footer'>x y z</div></div>", POST),
+    *[(f"<article><p>a b c</p><section id='{name}'><p>{POST}</p></section><p>d e</p></article>", f"a b c\n{POST}\nd e")
+      for name in ("discussion", "related-work", "legal-history", "search-results")],
+    (f"<article class='post comments-open has-related'><p>{POST}</p></article>", POST),
+    (f"<div class='post'><p>{POST}</p></div><div class='comments-area'><p>{POST} {POST} {POST}</p></div>", POST),
+    (f"<div class='post'><p>{POST}</p></div><div class='comment-list'><p>x y z</p></div><div id='footer'><p>x y z</p></div>", POST),
+])
+def test_main_text_marks_drop_no_part_of_the_article(page, text):
+    assert main_text.extract(f"<body>{page}</body>", {"default": -0.3}) == text
+
+
 def test_main_text_frames(spark):
     pages = [(k, "u", f"<nav>a b c</nav><article><p>text {k}</p></article><footer>z y x w v</footer>", "x") for k in range(20)] + [(20, None, None, "x"), (20, None, None, "x")]
     frame = spark.createDataFrame(pages, "page_id long, url string, html string, text string")

@@ -39,6 +39,11 @@ DISLIKED = re.compile(
     r"sponsor(?:ed)?|promos?|promotion|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|subscription|"
     r"signup|login|search|form|comments?|commentlist|replies|reply|respond|disqus|discussion|share|sharing|social|related|recommended|"
     r"recommendations|pagination|pager|widgets?|copyright|legal|disclaimer|toolbar|skip|contentinfo|complementary|hidden)$")
+# Compound classes outside marked content: "site-footer", "comment-list"; but "has-sidebar" says something about what stands around it.
+SHAPES = re.compile(r"^(?:area|bar|block|body|box|buttons?|card|container|content|items?|links?|list|panel|posts?|row|section|wrap|wrapper)$")
+STATES = frozenset("has with no without non layout overflow".split())
+# What may be longer than the article itself; other marks never drop more than half of the page's words.
+LENGTHY = re.compile(r"^(?:comments?|commentlist|replies|reply|respond|disqus|discussion|cookies?|consent|gdpr|legal|disclaimer|hidden)$")
 LINKED = frozenset(("article", "main"))
 
 TOKEN = re.compile(
@@ -61,12 +66,76 @@ def _marks(attributes: str) -> list[str]:
     return [x for x in dict.fromkeys(found) if x]
 
 
+def _drops(attributes: str, name: str, inside: bool) -> list[str]:
+    """What the marks of a container hold against it: whole class tokens and role values; outside marked content also whole
+    ids and compound classes of a disliked word and a shape. Marked elements fall to comments, related and hidden only."""
+    found = []
+    for kind, a, b, c in ATTRIBUTE.findall(attributes):
+        kind, value = kind.lower(), (a or b or c).lower()
+        if kind not in ("class", "id", "role"):
+            found += _marks(f'{kind}="{value}"')
+        elif kind != "id" or not inside:
+            for token in value.split():
+                parts = [x for x in PART.split(token) if x]
+                if DISLIKED.match(token):
+                    found.append(token)
+                elif kind == "class" and len(parts) > 1 and (not inside or name in LINKED) and not STATES.intersection(parts):
+                    found += [x for x in (parts[-1], parts[0] if SHAPES.match(parts[-1]) else "") if DISLIKED.match(x)][:1]
+    return [x for x in found if x.startswith(("comment", "related", "hidden"))] if name in LINKED else found
+
+
+def _spared(page: str, tokens: list[re.Match]) -> set[int]:
+    """Containers, by their number in page order, that no mark drops: those around a main, around an article with a first
+    heading, or around most words of the page. Words of links and of SEMANTIC elements do not count."""
+    stack: list[int] = []
+    names, parents, words, found, lengthy = [], [], [], [], []
+    linked = apart = total = at = 0
+    for m in [*tokens, None]:
+        end = m.start() if m else len(page)
+        if end > at and not linked and not apart:
+            n = len(page[at:end].split())
+            total += n
+            if stack:
+                words[stack[-1]] += n
+        if m is None:
+            break
+        at = m.end()
+        name = (m[3] or "").lower()
+        if name == "a":
+            linked = not m[2]
+        elif name == "h1" and not m[2] and not apart:
+            for i in stack[:next((k for k, i in enumerate(stack) if names[i] == "article"), 0)]:
+                found[i] = True
+        elif name in CONTAINERS and m[2]:
+            depth = next((k for k in range(len(stack) - 1, -1, -1) if names[stack[k]] == name), None)
+            if depth is not None:
+                apart -= sum(names[i] in SEMANTIC for i in stack[depth:])
+                del stack[depth:]
+        elif name in CONTAINERS and not m[4].endswith("/"):
+            if name == "main" and not apart:
+                for i in stack:
+                    found[i] = True
+            parents.append(stack[-1] if stack else -1)
+            stack.append(len(names))
+            names.append(name)
+            words.append(0)
+            found.append(False)
+            lengthy.append(bool(m[4]) and any(LENGTHY.match(x) for x in _drops(m[4], name, False)))
+            apart += name in SEMANTIC
+    for i in range(len(names) - 1, -1, -1):
+        if parents[i] >= 0:
+            words[parents[i]] += words[i]
+    return {i for i, n in enumerate(words) if found[i] or n * 10 > total * (9 if lengthy[i] else 5)}
+
+
 def _items(page: str):
     """("text", raw, in link, depth of disliked containers, inside article) and ("tag", keys) in page order."""
     stack: list[tuple[str, bool, bool]] = []
-    disliked = linked = marked = 0
+    disliked = linked = marked = opened = 0
     at = 0
-    for m in TOKEN.finditer(page):
+    tokens = list(TOKEN.finditer(page))
+    spared = _spared(page, tokens)
+    for m in tokens:
         if m.start() > at:
             yield "text", page[at:m.start()], linked > 0, disliked, marked > 0
         at = m.end()
@@ -89,11 +158,12 @@ def _items(page: str):
         if name == "a":
             linked = 1
         if name in CONTAINERS and not m[4].endswith("/"):
-            bad = name in SEMANTIC and not (name == "header" and marked) or name not in LINKED and any(DISLIKED.match(x) for x in marks)
-            bad = bad or name in LINKED and any(x.startswith(("comment", "related", "hidden")) for x in marks)
+            bad = name in SEMANTIC and not (name == "header" and marked)
+            bad = bad or opened not in spared and bool(m[4]) and bool(_drops(m[4], name, marked > 0))
+            opened += 1
             good = name in LINKED and not bad and not disliked  # comments and teasers are no content, whatever their element
-            stack.append((name, bool(bad), good))
-            disliked += bool(bad)
+            stack.append((name, bad, good))
+            disliked += bad
             marked += good
         yield "tag", name, False, tuple(marks), marked > 0
     if at < len(page):
