@@ -132,6 +132,15 @@ def test_main_text_marks_drop_no_part_of_the_article(page, text):
     assert main_text.extract(f"<body>{page}</body>", {"default": -0.3}) == text
 
 
+@pytest.mark.parametrize("before", [
+    "<svg/>", "<svg class='icon' aria-label='a > b' />", "<math/><svg viewBox='0 0 1 1'/>", "<svg><path/></svg>", "<button-group><i>x</i></button-group>", "<title-bar>x</title-bar>",
+    "<object-view>x</object-view>", "<script>var a;</script>", "<button>press</button>",
+])
+def test_main_text_icons_and_custom_elements_end_where_they_end(before):
+    page = f"<body>{before}<article><p>{POST}</p></article><svg><text>x</text></svg></body>"
+    assert main_text.extract(page, {"default": -0.3}) == POST
+
+
 def test_main_text_frames(spark):
     pages = [(k, "u", f"<nav>a b c</nav><article><p>text {k}</p></article><footer>z y x w v</footer>", "x") for k in range(20)] + [(20, None, None, "x"), (20, None, None, "x")]
     frame = spark.createDataFrame(pages, "page_id long, url string, html string, text string")

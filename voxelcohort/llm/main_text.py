@@ -47,7 +47,8 @@ LENGTHY = re.compile(r"^(?:comments?|commentlist|replies|reply|respond|disqus|di
 LINKED = frozenset(("article", "main"))
 
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*'|[\"'])*)>",
+    r"<!--.*?(?:-->|\Z)|<(?:svg|math)(?=[\s/])(?>[^>\"']+|\"[^\"]*\"|'[^']*'|[\"'])*(?<=/)>|"
+    rf"<({RAW})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*'|[\"'])*)>",
     re.S | re.I)
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 PART = re.compile(r"[^a-z0-9]+")
