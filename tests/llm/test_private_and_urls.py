@@ -43,6 +43,18 @@ def test_surrogates_keep_type_format_and_reference(spark):
     assert sorted(r["text"] for r in surrogates.replace(docs.filter("doc_id = 1"), "other").collect())[0] != new
 
 
+def test_surrogates_find_each_kind_where_nothing_else_is(spark):
+    values = [
+        "a.b@corp.example.com", "10.1.2.3", "DE44 5001 0517 5407 3249 31", "4111 1111 1111 1111", "078-05-1120", "+1 (212) 555-0143", "0123456789abcdef0123456789abcdef",
+        "Mr. John Smith", "Frau Anna Orlova", '"correcthorsebatterystaple"', "'Correct_Horse-Battery+Staple/='", '"ABCDEFGHIJKLMNOPQRST=="',
+    ]
+    docs = spark.createDataFrame([(k, f"password = {v} and so on") for k, v in enumerate(values)], "doc_id long, text string")
+    out = {r["doc_id"]: (r["n_entities"], r["text"]) for r in surrogates.replace(docs, "k").collect()}
+    assert [k for k, v in enumerate(values) if out[k][0] != 1 or v.strip("\"'") in out[k][1]] == []
+    near = spark.createDataFrame([(1, 'a "quite short" quote, "nineteenletterslong" too')], "doc_id long, text string")
+    assert surrogates.replace(near, "k").first()["n_entities"] == 0
+
+
 def test_surrogates_stay_distinct_when_proposals_collide(spark):
     names = [("male", f"A{chr(97 + i)} B{chr(97 + j)}") for i in range(26) for j in range(26)]
     table = surrogates.assign(spark.createDataFrame(names, "kind string, value string"), "k").collect()

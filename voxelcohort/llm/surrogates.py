@@ -35,7 +35,7 @@ KINDS = {
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
 # Texts that can hold an entity at all; a cheap test that spares most texts the full pattern.
-MAYBE = rf"[0-9@]|(?:{_MALE}|{_FEMALE})\.? \p{{Lu}}"
+MAYBE = rf"[0-9@]|(?:{_MALE}|{_FEMALE})\.? \p{{Lu}}|[\"'][0-9A-Za-z_\-+/]{{20}}"
 # Names to draw from, by gender and script (fixed values).
 NAMES = {
     ("male", "latin"): "James Robert Thomas Daniel Martin Peter Simon Victor Oscar Hugo Felix Adam Lucas Bruno Emil Anton".split(),
