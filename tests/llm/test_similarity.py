@@ -63,6 +63,17 @@ def test_jaccard_components_equal_all_pairs(spark, rows):
     assert got == brute_components(rows)
 
 
+@pytest.mark.parametrize("block", [7, 1024])
+def test_jaccard_counts_all_links_of_a_group(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard_join, "BLOCK", block, raising=False)
+    rows = [(k, " ".join(f"p{j}" if j != k else f"q{k}" for j in range(70))) for k in range(40)] + small_sets(3)[40:] + [(200, "p1 p2"), (201, "p1 p2"), (202, None)]
+    sets = {k: shingles(t) for k, t in rows}
+    near = lambda a, b: a != b and 100 * len(a & b) >= 75 * len(a | b) > 0
+    want = {k: sum(near(s, x) for x in set(sets.values())) for k, s in sets.items()}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r["doc_id"]: r["n_links"] for r in jaccard_join.near_duplicates(docs).collect()} == want and max(want.values()) == 39
+
+
 def test_jaccard_keeps_one_and_handles_nulls(spark):
     docs = corpus.frame(spark, 4)
     want = {c for _, c in brute_components([r[:2] for r in corpus.rows(4)]).values()}
