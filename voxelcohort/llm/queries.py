@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelcohort.llm import code_index, decontaminate, jaccard_join, line_crf, main_text, piece_sampling, repeats, surrogates, toxicity, url_catalog
+from voxelcohort.llm import code_index, decontaminate, jaccard_join, language_id, line_crf, main_text, phrases, piece_sampling, repeats, spelling, surrogates, toxicity, url_catalog
 from voxelcohort.llm.stages import SURROGATE_KEY
 from voxelcohort.llm.textgrid import need, table
 
@@ -65,6 +65,21 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.replace(docs, SURROGATE_KEY)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = need(table(spark, sf_dir, "documents"), doc_id="long", text="string")
+    return spelling.variants(spelling.word_counts(docs, every=97))
+
+
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(need(table(spark, sf_dir, "documents"), lang="string", text="string"))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = need(table(spark, sf_dir, "documents"), doc_id="long", text="string", lang="string")
+    model = language_id.fit(docs, _remainder(4) != 2)
+    return language_id.predict(docs.select("doc_id", "text"), model).select("doc_id", (_remainder(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -76,8 +91,13 @@ QUERIES = {
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_phrase_collocations": op12_phrase_collocations,
+    "op13_language_id": op13_language_id,
 }
 ORACLES: dict[str, str] = {
     "op4_url_filters": url_catalog.OP4_SQL,
     "op10_benchmark_decontamination": decontaminate.OP10_SQL,
+    "op11_spelling_variants": spelling.OP11_SQL,
+    "op12_phrase_collocations": phrases.OP12_SQL,
 }
