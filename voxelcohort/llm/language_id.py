@@ -79,7 +79,7 @@ def _slots(points: np.ndarray, begin: np.ndarray):
         rolled = np.zeros(end, dtype=np.uint64)
         for n in range(1, LONGEST + 1):
             whole = np.arange(end) + n <= last
-            reach = min(end, len(some) - n + 1)
+            reach = max(0, min(end, len(some) - n + 1))
             rolled[:reach] = (rolled[:reach] ^ (rolled[:reach] >> np.uint64(29))) * PLACE_STEP + some[n - 1:n - 1 + reach]
             whole[reach:] = False
             if n == 1:
