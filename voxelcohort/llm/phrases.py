@@ -36,12 +36,12 @@ from voxelcohort.session import cut_lineage
 LONGEST = 5
 LEAST = 100
 TOP = 2_000
-BLOCK_BYTES = 2_097_152
+BLOCK_BYTES = 1_048_576
 FILTER_BITS = 1 << 25
 # A leading pair met more often than this is routed by all words; pointers sorted at once; entries held before emission.
-HOT_PAIR = 500_000
-SORTED_ROWS = 1_000_000
-HELD_ROWS = 600_000
+HOT_PAIR = 200_000
+SORTED_ROWS = 400_000
+HELD_ROWS = 250_000
 RANK_PARTS = 64
 
 _ENDS = np.zeros(256, dtype=bool)
