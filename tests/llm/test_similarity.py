@@ -71,7 +71,7 @@ def test_jaccard_counts_all_links_of_a_group(spark, monkeypatch, block):
     near = lambda a, b: a != b and 100 * len(a & b) >= 75 * len(a | b) > 0
     want = {k: sum(near(s, x) for x in set(sets.values())) for k, s in sets.items()}
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    assert {r["doc_id"]: r["n_links"] for r in jaccard_join.near_duplicates(docs).collect()} == want and max(want.values()) == 39
+    assert {r["doc_id"]: r["n_links"] for r in jaccard_join.link_counts(docs).collect()} == want and max(want.values()) == 39
 
 
 def test_jaccard_keeps_one_and_handles_nulls(spark):
