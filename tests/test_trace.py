@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from voxelcohort.operators import trace as contract
 from voxelcohort.session import scratch_path
+from voxelcohort.streaming.trace_state import violations_so_far, watch_trace_stream
 from voxelcohort.streaming.trace_stream import judge_trace_stream, latest_violations
 
 EPOCHS, TRAIN, OUTER = 5, list(range(8)), list(range(100, 103))
@@ -82,3 +83,47 @@ def test_stream_equals_batch_however_events_arrive(spark, text):
     judge_trace_stream(stream, role, EPOCHS, path, scratch_path(spark, "trace-cp")).awaitTermination()
     got = sorted(map(tuple, latest_violations(spark, path).collect()))
     assert got == sorted(map(tuple, contract.trace_violations(df, role, EPOCHS).collect())) and got
+
+
+def test_state_judges_each_event_once_and_equals_batch(spark):
+    """Files in time order with neighbours swapped across them, late events reported, missing milestones after silence."""
+    runs = {0: good(), **{i + 1: f(good()) for i, (f, _) in enumerate(TAMPERINGS.values())}}
+    at = F.timestamp_seconds(F.col("seq") * 60)
+    df = frame(spark, runs).withColumn("run_id", F.concat(F.lit("site/run-"), "run_id")).withColumn("case_id", F.concat(F.lit("sub-"), "case_id"))
+    role = roles(spark).withColumn("case_id", F.concat(F.lit("sub-"), "case_id"))
+    want = sorted(map(tuple, contract.trace_violations(df, role, EPOCHS).collect()))
+    df = df.withColumn("ts", at)
+    late = df.where("seq = 2").limit(1).withColumn("seq", F.lit(-1).cast("long"))
+    beat = df.limit(1).withColumn("run_id", F.lit(None).cast("string")).withColumn("ts", F.timestamp_seconds(F.lit(10**7)))
+    incoming, path, state = (scratch_path(spark, f"state-{x}") for x in ("in", "out", "cp"))
+    slot = F.floor((F.col("seq") + F.pmod(F.xxhash64("run_id", "seq"), F.lit(4))) / 6)  # up to four minutes out of order
+    for part in range(6):
+        df.where((slot == part) if part < 5 else slot >= part).coalesce(1).write.mode("append").parquet(incoming)
+    for last in (late, beat):
+        last.coalesce(1).write.mode("append").parquet(incoming)
+    source = lambda: spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(incoming)
+    query = watch_trace_stream(source(), role, EPOCHS, path, state, delay="6 minutes", idle="3 hours")
+    query.awaitTermination()
+    got = [tuple(r) for r in violations_so_far(spark, path).collect()]
+    late_rows = [r for r in got if r[0] == "late_event"]
+    assert len(late_rows) == 1 and late_rows[0][1].endswith("/-1")
+    assert sorted(r for r in got if r[0] != "late_event") == want
+    assert query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] == 0  # every run's state is gone
+    watch_trace_stream(source(), role, EPOCHS, path, state, delay="6 minutes", idle="3 hours").awaitTermination()
+    assert violations_so_far(spark, path).count() == len(got)  # a restart judges nothing again
+
+
+def test_state_of_an_empty_stream_and_unread_order(spark):
+    schema = "run_id string, seq long, ts timestamp, type string, case_id string, epoch int"
+    role = spark.createDataFrame([("a", "train"), ("b", "val")], "case_id string, role string")
+    incoming, path = scratch_path(spark, "state-in"), scratch_path(spark, "state-out")
+    rows = [("r", 5, 100, "train_step", None, 1), ("r", 3, 4000, "train_step", None, 2), ("r", None, 100, "train_step", None, 3), (None, None, 10**6, None, None, None)]
+    for row in rows[:1], rows[1:3], rows[3:]:
+        spark.createDataFrame(row, "run_id string, seq long, s long, type string, case_id string, epoch int").selectExpr(
+            "run_id", "seq", "timestamp_seconds(s) as ts", "type", "case_id", "epoch").coalesce(1).write.mode("append").parquet(incoming)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(incoming)
+    watch_trace_stream(stream, role, 1, path, scratch_path(spark, "state-cp"), delay="1 minute", idle="1 hour").awaitTermination()
+    got = sorted(map(tuple, violations_so_far(spark, path).collect()))
+    assert [r for r in got if r[0] == "sequence"] == [("sequence", "r/", ""), ("sequence", "r/3", "train_step")]
+    assert sum(r[0] == "milestone_missing" for r in got) == 3
+    assert violations_so_far(spark, scratch_path(spark, "nothing")).count() == 0

@@ -10,11 +10,12 @@ from voxelcohort.plans.catalog_masks import HEAD_SQL
 from voxelcohort.plans.catalog_metrics import EVAL_SQL, VOLUME_SQL, VOLUMES, case_headers, masks_of, rounded
 from voxelcohort.plans.catalog_pixels import val_folds_of
 from voxelcohort.plans.catalog_splits import SEED, channel_voxels
-from voxelcohort.plans.catalog_trace import EPOCHS, MISSING_SQL, ROW_RULES_SQL, TRACE_SQL, roles_of, trace_rows
+from voxelcohort.plans.catalog_trace import EPOCHS, MISSING_SQL, ROW_RULES_SQL, TRACE_COLUMNS, TRACE_SQL, roles_of, trace_rows
 from voxelcohort.plans.registry import query
 from voxelcohort.plans.views import table
 from voxelcohort.session import scratch_path
 from voxelcohort.streaming.evaluate_stream import evaluate_new_cases_stream
+from voxelcohort.streaming.trace_state import violations_so_far, watch_trace_stream
 from voxelcohort.streaming.trace_stream import judge_trace_stream, latest_violations
 
 
@@ -29,6 +30,30 @@ def trace_violations_stream_query(spark, sf):
     return latest_violations(spark, path)
 
 
+# Events of the first half that are delivered last, behind the watermark.
+LATE = "event_id % 97 = 5 AND 2 * event_id < (SELECT max(event_id) FROM events)"
+
+
+@query("trace_violations_state", TRACE_SQL.replace("FROM events)", f"FROM events WHERE NOT ({LATE}))", 1) + ROW_RULES_SQL + MISSING_SQL + f"""
+UNION ALL SELECT 'late_event', concat(user_id, '/', event_id), {TRACE_COLUMNS[3].rsplit(" AS ", 1)[0]} FROM events WHERE {LATE}""")
+def trace_violations_state_query(spark, sf):
+    """The event table in five arrivals that overlap in time, a sixth with late events, then a mark that time has passed."""
+    events = table(spark, sf, "events")
+    last = events.agg(F.max("event_id")).first()[0]
+    rows = events.selectExpr(*TRACE_COLUMNS, "timestamp_seconds(event_id * 60) as ts", f"event_id % 97 = 5 and 2 * event_id < {last} as late")
+    incoming, path, state = (scratch_path(spark, f"trace-{name}") for name in ("incoming", "found", "state"))
+    part = F.least(F.floor((F.col("seq") + F.pmod(F.xxhash64("seq"), F.lit(40))) * 5 / (last + 1)), F.lit(4))
+    for k in range(5):
+        rows.where(~F.col("late") & (part == k)).drop("late").coalesce(1).write.mode("append").parquet(incoming)
+    rows.where("late").drop("late").coalesce(1).write.mode("append").parquet(incoming)
+    passed = rows.drop("late").limit(1).selectExpr("cast(null as long) as run_id", *rows.columns[1:-2], "timestamp_seconds(2000000000) as ts")
+    passed.coalesce(1).write.mode("append").parquet(incoming)
+    stream = spark.readStream.schema(passed.schema).option("maxFilesPerTrigger", 1).parquet(incoming)
+    roles = roles_of(rows.where("not late"))
+    watch_trace_stream(stream, roles, EPOCHS, path, state, delay="1 hour", idle="3650 days").awaitTermination()
+    return violations_so_far(spark, path)
+
+
 @query("evaluate_new_cases_stream", EVAL_SQL + f"""
 SELECT case_id, fold, round(dice, 6) AS dice, round(lesion_f1, 6) AS lesion_f1, ref_lesions, pred_lesions, lesion_count_difference, {VOLUME_SQL},
   ref_lesions AS reference_lesion_count, CAST(4 AS DOUBLE) * (1 + case_id % 7) / 1000 AS voxel_volume_ml FROM ev""")
