@@ -1,7 +1,10 @@
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from voxelcohort.operators import models
+from voxelcohort.operators.batch_models import Condition, fit_svms, fourier_features, scaling, score_svms
 from voxelcohort.plans import classifier
 from voxelcohort.session import scratch_path
 
@@ -80,3 +83,60 @@ def test_diagnostic_sweeps(spark, lesions):
     assert [r["condition"] for r in leak] == ["pixel_70_30_none"] and leak[0]["cases"] == 5
     hist = classifier.histogram_sweep(spark, pixels, split, scratch_path(spark, "hist"), 50, 32, 10, ["first"], ["none"]).collect()
     assert [r["condition"] for r in hist] == ["first_none"] and hist[0]["cases"] == 2
+
+
+def test_batched_svms_reach_the_hinge_loss_of_single_fits(spark, rings):
+    rows, df = rings
+    grid = [Condition(f"{s}_{g}", d, models.RbfSvmConfig(components=60, max_iter=200, scaler=s, gamma=g)) for s in ("standard", "minmax", "none") for g in ("scale", 0.5) for d in ("all",)]
+    grid.append(Condition("half", "half", models.RbfSvmConfig(components=60, max_iter=200)))
+    data = df.withColumn("data", F.lit("all")).unionByName(df.where("f1 < 0.3").withColumn("data", F.lit("half")))
+    fitted = fit_svms(data.repartition(5), grid, ["f1", "f2"])
+    assert sorted(m["condition"] for m in fitted) == sorted(c.name for c in grid)
+    scored = score_svms(data, grid, fitted, ["f1", "f2", "label"], ["f1", "f2"])
+    counts = {r["condition"]: (r["n"], r["a"]) for r in scored.groupBy("condition").agg(F.count("*").alias("n"), F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("a")).collect()}
+    assert counts["half"][0] == df.where("f1 < 0.3").count() and counts["none_0.5"] == (600, pytest.approx(counts["none_0.5"][1]))
+    assert counts["standard_scale"][1] > 0.93 and counts["none_0.5"][1] > 0.93
+    # the linear SVM of the library minimises the same loss on the same lifted inputs
+    x = np.array([r[:2] for r in rows])
+    shift, scale = scaling(x, "standard")
+    model = next(m for m in fitted if m["condition"] == "standard_scale")
+    assert np.allclose(model["shift"], shift) and np.allclose(model["scale"], scale)
+    table = fourier_features((x - shift) / scale, model["gamma"], 60, grid[0].config.seed)
+    sign = np.where([r[3] for r in rows], 1.0, -1.0)
+    loss = lambda w, b: np.maximum(1 - sign * (table @ w + b), 0).mean() + w @ w / (2 * len(sign))
+    single = models.rbf_svm_classifier(df, grid[0].config, ["f1", "f2"]).model
+    w = np.array(model["weights"])
+    assert loss(w[:-1], w[-1]) <= 1.03 * loss(np.array(single.coefficients), single.intercept) + 0.005
+
+
+def test_batched_fit_does_not_depend_on_partitions(rings):
+    _, df = rings
+    grid = [Condition("a", "all", models.RbfSvmConfig(components=20, max_iter=50))]
+    one, two = (fit_svms(df.withColumn("data", F.lit("all")).repartition(n), grid, ["f1", "f2"])[0] for n in (1, 7))
+    assert one["weights"] == two["weights"]
+    with pytest.raises(ValueError):
+        fit_svms(df, [*grid, *grid], ["f1", "f2"])
+
+
+def test_sweep_runs_only_what_is_missing(spark, lesions):
+    pixels, split = lesions
+    path, small = scratch_path(spark, "svm"), dict(target=50, components=32, max_iter=20)
+    first = classifier.svm_sweep(spark, pixels, split, path, [("none", 1.0, "scale")], **small).collect()
+    both = classifier.svm_sweep(spark, pixels, split, path, [("none", 1.0, "scale"), ("standard", 1.0, 0.1)], **small).collect()
+    assert len(first) == 1 and {r["condition"] for r in both} == {"none_C1.0_gammascale", "standard_C1.0_gamma0.1"}
+    assert first[0] in both and all(r["cases"] == 2 for r in both)
+    assert [r["dice_mean"] for r in both] == sorted((r["dice_mean"] for r in both), reverse=True)
+
+
+def test_conditions_are_evaluated_like_single_runs(spark, lesions):
+    pixels, split = lesions
+    data = classifier.with_roles(classifier.prepare_pixels(pixels), split).withColumn("data", F.lit("all"))
+    grid = [Condition(s, "all", models.RbfSvmConfig(scaler=s, components=32, max_iter=30)) for s in ("standard", "none")]
+    scored = classifier.scored_conditions(data, grid, 100)
+    shapes = classifier.image_shapes(pixels)
+    together = {(r["model"], r["case_id"]): (r["dice"], r["auc"]) for r in classifier.evaluate_conditions(scored, shapes, (0, 2)).collect()}
+    for s in ("standard", "none"):
+        for radius in (0, 2):
+            alone = classifier.evaluate_scored(scored.where(F.col("condition") == s), shapes, radius, s).collect()
+            assert {(f"{s}_close_{radius}", r["case_id"]): (r["dice"], r["auc"]) for r in alone}.items() <= together.items()
+    assert len(together) == 8

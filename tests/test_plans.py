@@ -29,7 +29,7 @@ def test_registry():
     assert set(oracles) <= set(queries) and len(queries) > 110
     unchecked = set(catalog.QUERIES) - set(catalog.ORACLES)  # corpus operators have brute-force tests of their own
     assert unchecked == {"inventory_scan", "content_digest", "mlp_score", "svm_score", "train_eval", "pixel_leakage_eval", "histogram_eval",
-                         "fit_normalization_sketch", "morphology_sweep", "split_sweep", "svm_sweep", "feature_sweep"}
+                         "fit_normalization_sketch", "morphology_sweep", "split_sweep", "svm_sweep", "feature_sweep", "leakage_sweep", "histogram_sweep"}
 
 
 def close(x, y):

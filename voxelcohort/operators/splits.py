@@ -165,19 +165,19 @@ def pixel_partition(
 
 
 def balanced_sample(
-    df: DataFrame, label: str, keys: Sequence[str], target: int = 15_000, seed: int = 2026
+    df: DataFrame, label: str, keys: Sequence[str], target: int = 15_000, seed: int = 2026, group: Sequence[str] = ()
 ) -> DataFrame:
-    """Equal numbers of both classes, at most ``target`` each, without replacement."""
+    """Equal numbers of both classes, at most ``target`` each, without replacement, in each ``group`` by itself."""
     if target < 1:
         raise ValueError("target must be positive")
-    everything = W.partitionBy()
+    everything = W.partitionBy(*group)
 
     def per_class(totals: DataFrame) -> Column:
         sizes = [F.sum(F.when(F.col("_class") == c, F.col("_n")).otherwise(0)).over(everything) for c in (1, 0)]
         return F.least(F.lit(target), *sizes)
 
     flagged = df.withColumn("_class", F.col(label).cast("int")).withColumn("_h", hash_key(keys, seed))
-    return take_lowest(flagged, ["_class"], "_h", keys, per_class).drop("_class", "_h")
+    return take_lowest(flagged, [*group, "_class"], "_h", keys, per_class).drop("_class", "_h")
 
 
 def class_violations(df: DataFrame, label: str) -> DataFrame:

@@ -1,10 +1,11 @@
-"""Classifier queries over the given tables (reduced iterations, whole tables)."""
+"""Classifier queries over the given tables, with the grids, iterations and components of the operators' defaults."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from voxelcohort.operators import models, splits
+from voxelcohort.operators.batch_models import Condition
 from voxelcohort.plans import classifier
 from voxelcohort.plans.catalog_metrics import rounded
 from voxelcohort.plans.catalog_pixels import PREPARED_SQL
@@ -13,8 +14,8 @@ from voxelcohort.plans.views import view
 from voxelcohort.session import cut_lineage, scratch_path
 
 TARGET = 2000
-MLP = models.MlpConfig(max_iter=15)
-SVM = models.RbfSvmConfig(components=64, max_iter=15)
+MLP = models.MlpConfig()
+SVM = models.RbfSvmConfig()
 
 
 def fit_mlp(sample):
@@ -49,21 +50,24 @@ def scaler_minmax(spark, sf):
     return rounded(models.scaler_table(prepared, ["intensity"], "minmax"), "shift_intensity", "scale_intensity")
 
 
-def balanced(spark, sf):
-    prepared = cut_lineage(classifier.prepare_pixels(pixels_of(spark, sf)))
-    return prepared, cut_lineage(splits.balanced_sample(prepared, "label", ["case_id", "row", "col"], TARGET))
+def held_out(spark, sf):
+    """A balanced sample of the training cases, and the pixels of the test cases."""
+    pixels = pixels_of(spark, sf)
+    prepared = cut_lineage(classifier.with_roles(classifier.prepare_pixels(pixels), split_of(pixels)))
+    sample = splits.balanced_sample(prepared.where("role = 'train'"), "label", ["case_id", "row", "col"], TARGET)
+    return cut_lineage(sample), prepared.where("role = 'test'")
 
 
 @query("mlp_score")
 def mlp_score(spark, sf):
-    prepared, sample = balanced(spark, sf)
-    return fit_mlp(sample).score(prepared).select("case_id", "row", "col", "score", "prediction")
+    sample, test = held_out(spark, sf)
+    return fit_mlp(sample).score(test).select("case_id", "row", "col", "score", "prediction")
 
 
 @query("svm_score")
 def svm_score(spark, sf):
-    prepared, sample = balanced(spark, sf)
-    return fit_svm(sample).score(prepared).select("case_id", "row", "col", "score", "prediction")
+    sample, test = held_out(spark, sf)
+    return fit_svm(sample).score(test).select("case_id", "row", "col", "score", "prediction")
 
 
 @query("train_eval")
@@ -87,28 +91,37 @@ def histogram_eval(spark, sf):
 @query("morphology_sweep")
 def morphology_sweep(spark, sf):
     pixels = pixels_of(spark, sf)
-    prepared, sample = balanced(spark, sf)
-    scored = cut_lineage(fit_svm(sample).score(prepared).select("case_id", "row", "col", "label", "score", "prediction"))
-    return classifier.morphology_sweep(scored, classifier.image_shapes(pixels))
+    conditions = [Condition(s, "all", models.RbfSvmConfig(scaler=s)) for s in classifier.MORPHOLOGY_SCALERS]
+    data = cut_lineage(classifier.with_roles(classifier.prepare_pixels(pixels), split_of(pixels)).withColumn("data", F.lit("all")))
+    return classifier.morphology_sweep(classifier.scored_conditions(data, conditions, TARGET), classifier.image_shapes(pixels))
 
 
 @query("split_sweep")
 def split_sweep(spark, sf):
-    return classifier.split_sweep(spark, pixels_of(spark, sf), fit_svm, scratch_path(spark, "split-sweep"), (0, 1), TARGET)
+    return classifier.split_sweep(spark, pixels_of(spark, sf), SVM, scratch_path(spark, "split-sweep"), target=TARGET)
 
 
 @query("svm_sweep")
 def svm_sweep(spark, sf):
     pixels = pixels_of(spark, sf)
-    grid = (("standard", 1.0, "scale"), ("none", 1.0, "scale"))
-    return classifier.svm_sweep(spark, pixels, split_of(pixels), scratch_path(spark, "svm-sweep"), grid, TARGET, 64, 15)
+    return classifier.svm_sweep(spark, pixels, split_of(pixels), scratch_path(spark, "svm-sweep"), target=TARGET)
 
 
 @query("feature_sweep")
 def feature_sweep(spark, sf):
     pixels = pixels_of(spark, sf)
-    variants = {k: classifier.FEATURE_VARIANTS[k] for k in ("minimal_count_t20", "uint8_max_t40")}
-    return classifier.feature_sweep(spark, pixels, split_of(pixels), fit_svm, scratch_path(spark, "feature-sweep"), TARGET, variants)
+    return classifier.feature_sweep(spark, pixels, split_of(pixels), SVM, scratch_path(spark, "feature-sweep"), TARGET)
+
+
+@query("leakage_sweep")
+def leakage_sweep(spark, sf):
+    return classifier.leakage_sweep(spark, pixels_of(spark, sf), scratch_path(spark, "leakage-sweep"), TARGET)
+
+
+@query("histogram_sweep")
+def histogram_sweep(spark, sf):
+    pixels = pixels_of(spark, sf)
+    return classifier.histogram_sweep(spark, pixels, split_of(pixels), scratch_path(spark, "histogram-sweep"))
 
 
 @query("choose_slices", """

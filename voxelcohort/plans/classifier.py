@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelcohort.operators import masks, metrics, models, preprocess, splits
+from voxelcohort.operators.batch_models import Condition, fit_svms, score_svms
 from voxelcohort.operators.features import nine_features
 from voxelcohort.session import cut_lineage, read_if_present
 
@@ -136,48 +137,92 @@ def summarize(rows: DataFrame) -> DataFrame:
     )
 
 
+def evaluate_conditions(scored: DataFrame, shapes: DataFrame, radii: Sequence[int] = (1,)) -> DataFrame:
+    """Case metrics of ``(condition, case_id, row, col, label, score, prediction)``, all conditions in one plan.
+
+    Every (condition, case) is an image of its own. With several ``radii`` the closing radius joins the condition's name.
+    """
+    image = F.concat_ws("|", "condition", "case_id")
+    sized = scored.select("condition", "case_id").distinct().join(shapes, "case_id").withColumn("case_id", image).drop("condition")
+    images = scored.withColumn("case_id", image).drop("condition")
+    parts = []
+    for radius in radii:
+        rows = evaluate_scored(images, sized, radius, "")
+        name = F.substring_index("case_id", "|", 1)
+        rows = rows.withColumn("model", name if len(radii) == 1 else F.concat(name, F.lit(f"_close_{radius}")))
+        parts.append(rows.withColumn("case_id", F.expr("substr(case_id, instr(case_id, '|') + 1)")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def morphology_sweep(scored: DataFrame, shapes: DataFrame, radii: Sequence[int] = MORPHOLOGY_RADII) -> DataFrame:
-    """One scored frame evaluated under every closing radius, no refit."""
-    parts = [summarize(evaluate_scored(scored, shapes, r, f"close_{r}")) for r in radii]
-    return reduce(DataFrame.unionByName, parts).withColumnRenamed("model", "condition")
+    """Scored conditions evaluated under every closing radius, no refit."""
+    return summarize(evaluate_conditions(scored, shapes, radii)).withColumnRenamed("model", "condition")
 
 
-def run_sweep(spark: SparkSession, conditions: Mapping[str, Callable[[], DataFrame]], path: str) -> DataFrame:
-    """Run predeclared conditions, each appended as its own partition; finished ones are skipped.
+def best_first(summaries: DataFrame) -> DataFrame:
+    return summaries.orderBy(F.col("dice_mean").desc(), "condition")
 
-    Returns all summaries, best dice first, then by name.
+
+def run_sweep(spark: SparkSession, names: Sequence[str], run: Callable[[list[str]], DataFrame], path: str) -> DataFrame:
+    """Run the predeclared conditions that ``path`` does not hold yet, all in one job; returns all summaries, best first.
+
+    ``run`` takes names and gives summaries ``(condition, ...)``, which land in one partition a condition.
     """
     saved = read_if_present(spark, path)
     done = set() if saved is None else {r["condition"] for r in saved.select("condition").distinct().collect()}  # grid-sized
-    for name, run in conditions.items():
-        if name not in done:
-            run().withColumn("condition", F.lit(name)).write.mode("append").partitionBy("condition").parquet(path)
-    return spark.read.parquet(path).orderBy(F.col("dice_mean").desc(), "condition")
+    todo = [n for n in names if n not in done]
+    if todo:
+        run(todo).write.mode("append").partitionBy("condition").parquet(path)
+    return best_first(spark.read.parquet(path))
+
+
+def scored_conditions(data: DataFrame, conditions: Sequence[Condition], target: int, seed: int = 2026) -> DataFrame:
+    """Held-out scores of every condition; ``data``: ``(data, role, case_id, row, col, label, <features>)``."""
+    train = data.where("role = 'train'")
+    sample = splits.balanced_sample(train, "label", ["data", "case_id", "row", "col"], target, seed, group=["data"])
+    fitted = fit_svms(sample, conditions)
+    return cut_lineage(score_svms(data.where("role = 'test'"), conditions, fitted, ["case_id", "row", "col", "label"]))
+
+
+def _grid(data: DataFrame, shapes: DataFrame, conditions: Sequence[Condition], target: int, todo: Sequence[str]) -> DataFrame:
+    wanted = [c for c in conditions if c.name in todo]
+    needed = [c.data for c in wanted]
+    scored = scored_conditions(data.where(F.col("data").isin(needed)), wanted, target)
+    return summarize(evaluate_conditions(scored, shapes)).withColumnRenamed("model", "condition")
+
+
+def with_roles(feats: DataFrame, split: DataFrame) -> DataFrame:
+    return feats.join(split.select("case_id", "role"), "case_id")
 
 
 def feature_sweep(
-    spark: SparkSession, pixels: DataFrame, split: DataFrame, fit: Fit, path: str, target: int = 2_000,
+    spark: SparkSession, pixels: DataFrame, split: DataFrame, config: models.RbfSvmConfig, path: str, target: int = 2_000,
     variants: Mapping[str, tuple[str, str, float]] = FEATURE_VARIANTS,
 ) -> DataFrame:
-    def condition(mode: str, run_mode: str, threshold: float) -> Callable[[], DataFrame]:
-        options = {"threshold": threshold, "mode": run_mode}
-        return lambda: summarize(train_eval(pixels, split, {"svm": fit}, mode, options, target))
+    """Every feature variant; the images of all variants are one table."""
+    def run(todo: list[str]) -> DataFrame:
+        parts = [prepare_pixels(pixels, mode, {"threshold": threshold, "mode": run_mode}).withColumn("data", F.lit(name))
+                 for name, (mode, run_mode, threshold) in variants.items() if name in todo]
+        data = cut_lineage(with_roles(reduce(DataFrame.unionByName, parts), split))
+        return _grid(data, image_shapes(pixels), [Condition(n, n, config) for n in variants], target, todo)
 
-    return run_sweep(spark, {name: condition(*v) for name, v in variants.items()}, path)
+    return run_sweep(spark, list(variants), run, path)
 
 
 def split_sweep(
-    spark: SparkSession, pixels: DataFrame, fit: Fit, path: str, seeds: Sequence[int] = SPLIT_SEEDS, target: int = 2_000
+    spark: SparkSession, pixels: DataFrame, config: models.RbfSvmConfig, path: str, seeds: Sequence[int] = SPLIT_SEEDS, target: int = 2_000
 ) -> DataFrame:
     """The same model under many patient splits; features are shared by all of them."""
-    prepared = cut_lineage(prepare_pixels(pixels))
-    cases = pixels.select("case_id").distinct()
+    names = {f"seed_{s:02d}": s for s in seeds}
 
-    def condition(seed: int) -> Callable[[], DataFrame]:
-        return lambda: summarize(train_eval(
-            pixels, splits.holdout_split(cases, seed=seed), {"svm": fit}, target=target, seed=seed, prepared=prepared))
+    def run(todo: list[str]) -> DataFrame:
+        prepared = cut_lineage(prepare_pixels(pixels))
+        cases = cut_lineage(pixels.select("case_id").distinct())
+        parts = [splits.holdout_split(cases, seed=names[n]).select("case_id", "role").withColumn("data", F.lit(n)) for n in todo]
+        data = prepared.join(cut_lineage(reduce(DataFrame.unionByName, parts)), "case_id")
+        return _grid(data, image_shapes(pixels), [Condition(n, n, config) for n in names], target, todo)
 
-    return run_sweep(spark, {f"seed_{s:02d}": condition(s) for s in seeds}, path)
+    return run_sweep(spark, list(names), run, path)
 
 
 def svm_sweep(
@@ -185,19 +230,20 @@ def svm_sweep(
     target: int = 2_000, components: int = 256, max_iter: int = 100,
 ) -> DataFrame:
     """Scaler, C and gamma settings over shared features."""
-    prepared = cut_lineage(prepare_pixels(pixels))
+    conditions = [
+        Condition(f"{s}_C{c}_gamma{g}", "all", models.RbfSvmConfig(c=c, gamma=g, scaler=s, components=components, max_iter=max_iter))
+        for s, c, g in grid
+    ]
 
-    def condition(scaler: str, c: float, gamma: float | str) -> Callable[[], DataFrame]:
-        config = models.RbfSvmConfig(c=c, gamma=gamma, scaler=scaler, components=components, max_iter=max_iter)
-        fit = lambda sample: models.rbf_svm_classifier(sample, config)
-        return lambda: summarize(train_eval(pixels, split, {"svm": fit}, target=target, prepared=prepared))
+    def run(todo: list[str]) -> DataFrame:
+        data = cut_lineage(with_roles(prepare_pixels(pixels), split).withColumn("data", F.lit("all")))
+        return _grid(data, image_shapes(pixels), conditions, target, todo)
 
-    return run_sweep(spark, {f"{s}_C{c}_gamma{g}": condition(s, c, g) for s, c, g in grid}, path)
+    return run_sweep(spark, [c.name for c in conditions], run, path)
 
 
-def _svm(scaler: str, components: int, max_iter: int) -> Fit:
-    config = models.RbfSvmConfig(scaler=scaler, components=components, max_iter=max_iter)
-    return lambda sample: models.rbf_svm_classifier(sample, config)
+def _scalers(data: Sequence[str], scalers: Sequence[str], components: int, max_iter: int) -> list[Condition]:
+    return [Condition(f"{d}_{s}", d, models.RbfSvmConfig(scaler=s, components=components, max_iter=max_iter)) for d in data for s in scalers]
 
 
 def leakage_sweep(
@@ -205,10 +251,20 @@ def leakage_sweep(
     partitions: Mapping[str, tuple[float, float]] = LEAKAGE_SPLITS, scalers: Sequence[str] = ("standard", "none"),
 ) -> DataFrame:
     """Every pixel split under every scaler; labelled invalid by design like the single run."""
-    def condition(fractions: tuple[float, float], scaler: str) -> Callable[[], DataFrame]:
-        return lambda: summarize(pixel_leakage_eval(pixels, _svm(scaler, components, max_iter), *fractions, target))
+    conditions = _scalers(list(partitions), scalers, components, max_iter)
+
+    def run(todo: list[str]) -> DataFrame:
+        feats = cut_lineage(prepare_pixels(pixels))
+        parts = [splits.pixel_partition(feats, ["row", "col"], *fractions).withColumn("data", F.lit(name)) for name, fractions in partitions.items()]
+        data = cut_lineage(reduce(DataFrame.unionByName, parts))
+        scored = scored_conditions(data, [c for c in conditions if c.name in todo], target)
+        image = F.concat_ws("|", "condition", "case_id")
+        images = scored.withColumn("case_id", image)
+        rows = metrics.overlap_metrics_dense(images, F.col("label") == 1, F.col("prediction") == 1)
+        rows = rows.join(metrics.roc_auc(images, "score", "label").select("case_id", "auc"), "case_id")
+        return summarize(rows.withColumn("model", F.substring_index("case_id", "|", 1))).withColumnRenamed("model", "condition")
 
-    return run_sweep(spark, {f"{n}_{s}": condition(f, s) for n, f in partitions.items() for s in scalers}, path)
+    return run_sweep(spark, [c.name for c in conditions], run, path)
 
 
 def histogram_sweep(
@@ -216,11 +272,11 @@ def histogram_sweep(
     max_iter: int = 100, modes: Sequence[str] = HISTOGRAM_MODES, scalers: Sequence[str] = ("standard", "none"),
 ) -> DataFrame:
     """Every histogram reference rule under every scaler; matched features are shared by the scalers."""
-    conditions = {}
-    for mode in modes:
-        prepared = histogram_matched(pixels, split, mode)
-        for scaler in scalers:
-            fit = _svm(scaler, components, max_iter)
-            conditions[f"{mode}_{scaler}"] = lambda fit=fit, prepared=prepared: summarize(
-                train_eval(pixels, split, {"svm": fit}, target=target, prepared=prepared))
-    return run_sweep(spark, conditions, path)
+    conditions = _scalers(modes, scalers, components, max_iter)
+
+    def run(todo: list[str]) -> DataFrame:
+        parts = [histogram_matched(pixels, split, mode).withColumn("data", F.lit(mode)) for mode in modes]
+        data = with_roles(reduce(DataFrame.unionByName, parts), split)
+        return _grid(data, image_shapes(pixels), conditions, target, todo)
+
+    return run_sweep(spark, [c.name for c in conditions], run, path)
