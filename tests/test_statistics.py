@@ -44,11 +44,48 @@ def test_bootstrap_is_deterministic_and_matches_hash_draws(spark):
 def test_sign_flip_matches_enumeration(spark):
     d = [0.3, -0.1, 0.4, 0.2, 0.05]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(d)], "case_id long, v double")
-    sign = lambda r, i: 1 if hashlib.md5(f"{r}|{i}|2026".encode()).hexdigest()[0] < "8" else -1
+    bits = lambda k, i: bin(int(hashlib.md5(f"{k}|{i}|2026".encode()).hexdigest(), 16) | 1 << 128)[3:]
+    sign = lambda r, i: 1 if bits(r // 128, i)[r % 128] == "0" else -1
     tail = sum(abs(np.mean([sign(r, i) * v for i, v in enumerate(d)])) >= abs(np.mean(d)) - 1e-12 for r in range(600))
     assert st.sign_flip_p(df, ["v"], reps=600).first()["p"] == pytest.approx((tail + 1) / 601)
 
 
+def poisson_weight(rep, key, seed):
+    u = int(hashlib.md5(f"{rep // 8}|{key}|{seed}".encode()).hexdigest()[4 * (rep % 8):][:4], 16)
+    return sum(u >= bound for bound in st.POISSON_BOUNDS)
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_poisson_means_equal_keyed_weights(spark, parts):
+    """Groups, a null key, a null group and more repetitions than one block holds."""
+    rows = [(k, None if k % 5 == 0 else k % 2, 0.1 * k, float(k * k % 7)) for k in range(40)] + [(None, 1, 99.0, 99.0)]
+    df = spark.createDataFrame(rows, "case_id long, side int, a double, b double").repartition(parts)
+    reps = 8 * st.HASH_BLOCK + 13
+    got = {(r["side"], r["metric"]): (r["ci_low"], r["ci_high"]) for r in st.poisson_mean_ci(df, ["a", "b"], reps=reps, seed=7, group=["side"]).collect()}
+    for side in (None, 0, 1):
+        own = [r for r in rows if r[1] == side and r[0] is not None]
+        w = np.array([[poisson_weight(rep, r[0], 7) for r in own] for rep in range(reps)], dtype=float)
+        w = w[w.sum(axis=1) > 0]
+        for c, metric in ((2, "a"), (3, "b")):
+            means = w @ np.array([r[c] for r in own]) / w.sum(axis=1)
+            assert got[side, metric] == pytest.approx(tuple(np.quantile(means, [0.025, 0.975])))
+    assert len(got) == 6
+
+
+def test_poisson_weights_have_mean_and_variance_one():
+    w = st._poisson(np.frombuffer(b"".join(hashlib.md5(str(k).encode()).digest() for k in range(20_000)), dtype=np.uint8).reshape(-1, 16))
+    assert w.shape == (20_000, 8) and abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.02
+    assert abs(np.corrcoef(w.T) - np.eye(8)).max() < 0.03
+
+
+def test_resampling_shuffles_sums_not_draws(spark):
+    df = spark.range(2000).selectExpr("id as case_id", "double(id) as v")
+    plan = st.resampled_sums(df, ["v"], "case_id", 1024, 1, st._poisson, 8)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInPandas") == 1 and "Join" not in plan and plan.count("Exchange") == 2
+    assert st.resampled_sums(df, ["v"], "case_id", 1024, 1, st._poisson, 8).count() == 1024
+    assert st.poisson_mean_ci(df.limit(0), ["v"], reps=10).count() == 0
+
+
 def test_holm(spark):
     df = spark.createDataFrame([("a", 0.01), ("b", 0.04), ("c", 0.03), ("d", 0.5)], "metric string, p double")
     got = {r["metric"]: r["holm_p"] for r in st.holm_adjust(df).collect()}

@@ -6,10 +6,15 @@ seed only, so results do not depend on partitioning or on lost executors.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import hashlib
+import math
+from collections.abc import Callable, Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from voxelcohort.functions import (
@@ -80,23 +85,88 @@ def bootstrap_mean_ci(
     return exact_quantiles(long, [*group, "metric"], "value", {"ci_low": alpha / 2, "ci_high": 1 - alpha / 2})
 
 
+# Poisson(1) weights from 16 hash bits: a weight is the number of these bounds at or below them.
+POISSON_BOUNDS = tuple(int(65_536 * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))) for k in range(8))
+HASH_BLOCK = 64  # hashes of a row that one task turns into weights together
+
+
+def _poisson(digests: np.ndarray) -> np.ndarray:
+    """Eight weights from each 16-byte digest."""
+    return np.searchsorted(POISSON_BOUNDS, digests.view(">u2"), side="right").astype(float)
+
+
+def _signs(digests: np.ndarray) -> np.ndarray:
+    """128 signs from each 16-byte digest; a set bit is minus."""
+    return 1.0 - 2.0 * np.unpackbits(digests, axis=1)
+
+
+def resampled_sums(
+    df: DataFrame, values: Sequence[str], key: str, reps: int, seed: int, weights: Callable, per_hash: int, group: Sequence[str] = ()
+) -> DataFrame:
+    """``(<group>, rep, _w, <values>)``: the sum of weights and of weighted values in each repetition.
+
+    Repetitions ``per_hash * k`` and following take their weights from ``md5(k|key|seed)``, so a weight depends on nothing
+    but the row and the repetition. Tasks hold arrays of sums, one entry a repetition; only these sums are shuffled.
+    """
+    hashes = -(-reps // per_hash)
+    blocks = -(-hashes // HASH_BLOCK)
+    group, values = list(group), list(values)
+    rows = df.select(*group, F.col(key).cast("string").alias("_key"), *[F.col(v).cast("double").alias(v) for v in values])
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
+    spread = rows.withColumn("_blk", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition(parts, "_blk", "_key")
+    names = [*group, "rep", "_w", *values]
+    kinds = {c: spread.schema[c].dataType for c in group} | {"rep": T.LongType()}
+    schema = T.StructType([T.StructField(c, kinds.get(c, T.DoubleType())) for c in names])
+
+    def summed(frames):
+        held: dict = {}
+        for frame in frames:
+            for name, own in frame.groupby([*group, "_blk"], dropna=False, sort=False):
+                own = own[own["_key"].notna()]
+                table = np.column_stack([np.ones(len(own)), own[values].to_numpy(dtype=float)])
+                keys = [f"|{k}|{seed}".encode() for k in own["_key"]]
+                total = held.setdefault(name, np.zeros((HASH_BLOCK, per_hash, table.shape[1])))
+                for at in range(min(HASH_BLOCK, hashes - HASH_BLOCK * name[-1])):
+                    number = str(HASH_BLOCK * name[-1] + at).encode()
+                    raw = b"".join([hashlib.md5(number + k, usedforsecurity=False).digest() for k in keys])
+                    total[at] += weights(np.frombuffer(raw, dtype=np.uint8).reshape(-1, 16)).T @ table
+        for name, total in held.items():
+            flat = total.reshape(-1, total.shape[2])
+            rep = np.arange(len(flat)) + HASH_BLOCK * per_hash * name[-1]
+            out = pd.DataFrame(flat, columns=["_w", *values]).assign(rep=rep, **dict(zip(group, name)))
+            yield out.loc[rep < reps, names]
+
+    sums = spread.mapInPandas(summed, schema)
+    return sums.groupBy(*group, "rep").agg(*[F.sum(c).alias(c) for c in ("_w", *values)])
+
+
+def poisson_mean_ci(
+    df: DataFrame, values: Sequence[str], key: str = "case_id", reps: int = 10_000, alpha: float = 0.05, seed: int = 2026,
+    group: Sequence[str] = (),
+) -> DataFrame:
+    """Percentile interval of the mean per value column, ``(<group>, metric, ci_low, ci_high)``, by Poisson resampling: every
+    row is drawn Poisson(1) times instead of n rows being drawn, which needs no join and no ranks.
+
+    Rows with null key take no part; a repetition that draws nothing has no mean and is left out.
+    """
+    if reps < 1:
+        raise ValueError("reps must be positive")
+    sums = resampled_sums(df, values, key, reps, seed, _poisson, 8, group).where("_w > 0")
+    pairs = ", ".join(f"'{v}', `{v}` / _w" for v in values)
+    long = sums.selectExpr(*group, f"stack({len(values)}, {pairs}) as (metric, value)")
+    return exact_quantiles(long, [*group, "metric"], "value", {"ci_low": alpha / 2, "ci_high": 1 - alpha / 2})
+
+
 def sign_flip_p(
     df: DataFrame, deltas: Sequence[str], key: str = "case_id", reps: int = 100_000, seed: int = 2026
 ) -> DataFrame:
     """Two-sided sign-flip p-value of a zero mean delta: ``(metric, p)``, never exactly zero."""
-    sign = F.when(F.substring(hash_key(["rep", key], seed), 1, 1) < "8", 1.0).otherwise(-1.0)
-    flipped = (
-        _spread_repetitions(df.select(key, *deltas), reps, key).withColumn("_s", sign)
-        .groupBy("rep").agg(*[F.abs(F.sum(F.col("_s") * F.col(d)) / F.count(F.lit(1))).alias(d) for d in deltas])
-    )
-    pairs = ", ".join(f"'{d}', `{d}`" for d in deltas)
-    observed = df.agg(*[F.abs(F.avg(d)).alias(d) for d in deltas]).selectExpr(f"stack({len(deltas)}, {pairs}) as (metric, observed)")
-    long = flipped.selectExpr(f"stack({len(deltas)}, {pairs}) as (metric, value)")
-    return (
-        long.join(F.broadcast(observed), "metric")  # one row a metric
-        .groupBy("metric")
-        .agg(((F.count_if(F.col("value") >= F.col("observed") - TIE) + 1) / F.lit(float(reps + 1))).alias("p"))
-    )
+    flipped = resampled_sums(df, deltas, key, reps, seed, _signs, 128)
+    n = df.where(F.col(key).isNotNull()).agg(F.count(F.lit(1)).alias("_n"), *[F.abs(F.avg(d)).alias(f"_o_{d}") for d in deltas])
+    pairs = ", ".join(f"'{d}', abs(`{d}` / _n), `_o_{d}`" for d in deltas)
+    long = flipped.crossJoin(F.broadcast(n)).selectExpr(f"stack({len(deltas)}, {pairs}) as (metric, value, observed)")  # n is one row
+    tail = F.count_if(F.col("value") >= F.col("observed") - TIE)
+    return long.groupBy("metric").agg(((tail + 1) / F.lit(float(reps + 1))).alias("p"))
 
 
 def holm_adjust(df: DataFrame, p: str = "p", key: str = "metric") -> DataFrame:
@@ -168,7 +238,7 @@ def long_pairs(pairs: DataFrame, metrics: Sequence[str]) -> DataFrame:
 def paired_summary(
     pairs: DataFrame, metrics: Sequence[str], bootstrap_reps: int = 20_000, flip_reps: int = 100_000, seed: int = 2026
 ) -> DataFrame:
-    """Per metric: arm means, delta statistics, paired effect size, interval and p-values."""
+    """Per metric: arm means, delta statistics, paired effect size, interval (Poisson resampling) and p-values."""
     long = long_pairs(pairs, metrics)
     sd = F.stddev_samp("delta")
     stats = long.groupBy("metric").agg(
@@ -177,7 +247,7 @@ def paired_summary(
     )
     quartiles = exact_quantiles(long, ["metric"], "delta", {"delta_q1": 0.25, "delta_median": 0.5, "delta_q3": 0.75})
     deltas = pairs.select("case_id", *[F.col(f"delta_{m}").alias(m) for m in metrics])
-    interval = bootstrap_mean_ci(deltas, metrics, reps=bootstrap_reps, seed=seed)
+    interval = poisson_mean_ci(deltas, metrics, reps=bootstrap_reps, seed=seed)
     p = holm_adjust(sign_flip_p(deltas, metrics, reps=flip_reps, seed=seed + 100))
     return stats.join(quartiles, "metric").join(interval, "metric").join(p, "metric")
 

@@ -23,10 +23,22 @@ ci AS (SELECT 'dice' AS metric, quantile_cont(dice, 0.025) AS ci_low, quantile_c
   UNION ALL SELECT 'avd', quantile_cont(avd, 0.025), quantile_cont(avd, 0.975) FROM bm)"""
 
 
+# The same keyed weights: a weight counts the bounds at or below 16 bits of md5(block|case|seed), eight a hash.
+POISSON_SQL = f"""
+ph AS (SELECT d.*, r.range AS blk, md5(concat_ws('|', r.range, case_id, '{SEED}')) AS m FROM d, range({BOOT // 8}) r),
+pu AS (SELECT blk * 8 + j.range AS rep, dice, avd, CAST(('0x' || substr(m, 4 * j.range + 1, 4)) AS INTEGER) AS u FROM ph, range(8) j),
+pw AS (SELECT rep, dice, avd, {' + '.join(f'(u >= {b})::INT' for b in st.POISSON_BOUNDS)} AS w FROM pu),
+pm AS (SELECT rep, sum(w * dice) / sum(w) AS dice, sum(w * avd) / sum(w) AS avd FROM pw GROUP BY rep HAVING sum(w) > 0),
+ci AS (SELECT 'dice' AS metric, quantile_cont(dice, 0.025) AS ci_low, quantile_cont(dice, 0.975) AS ci_high FROM pm
+  UNION ALL SELECT 'avd', quantile_cont(avd, 0.025), quantile_cont(avd, 0.975) FROM pm)"""
+
+
 def flip_sql(seed: int) -> str:
     return f"""
-fl AS (SELECT r.range AS rep, abs(avg(s * dice)) AS dice, abs(avg(s * avd)) AS avd FROM (
-  SELECT d.*, CASE WHEN substr(md5(concat_ws('|', r.range, case_id, '{seed}')), 1, 1) < '8' THEN 1 ELSE -1 END AS s, r.range FROM d, range({FLIPS}) r) r GROUP BY 1),
+fh AS (SELECT d.*, r.range AS blk, md5(concat_ws('|', r.range, case_id, '{seed}')) AS m FROM d, range({-(-FLIPS // 128)}) r),
+fs AS (SELECT blk * 128 + j.range AS rep, dice, avd,
+  1 - 2 * (((strpos('0123456789abcdef', substr(m, CAST(j.range // 4 + 1 AS BIGINT), 1)) - 1) >> CAST(3 - j.range % 4 AS BIGINT)) & 1) AS s FROM fh, range(128) j),
+fl AS (SELECT rep, abs(avg(s * dice)) AS dice, abs(avg(s * avd)) AS avd FROM fs WHERE rep < {FLIPS} GROUP BY 1),
 pv AS (SELECT 'dice' AS metric, (count(*) FILTER (dice >= (SELECT abs(avg(dice)) FROM d) - 1e-12) + 1) / CAST({FLIPS + 1} AS DOUBLE) AS p FROM fl
   UNION ALL SELECT 'avd', (count(*) FILTER (avd >= (SELECT abs(avg(avd)) FROM d) - 1e-12) + 1) / CAST({FLIPS + 1} AS DOUBLE) FROM fl),
 holm AS (SELECT metric, p, least(1.0, max(step) OVER (ORDER BY p, metric ROWS UNBOUNDED PRECEDING)) AS holm_p
@@ -52,6 +64,11 @@ def bootstrap_mean_ci(spark, sf):
     return rounded(st.bootstrap_mean_ci(deltas(spark, sf), METRICS, reps=BOOT, seed=SEED), "ci_low", "ci_high")
 
 
+@query("poisson_mean_ci", DELTAS_SQL + "," + POISSON_SQL + " SELECT metric, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high FROM ci")
+def poisson_mean_ci(spark, sf):
+    return rounded(st.poisson_mean_ci(deltas(spark, sf), METRICS, reps=BOOT, seed=SEED), "ci_low", "ci_high")
+
+
 @query("sign_flip_p", DELTAS_SQL + "," + flip_sql(SEED) + " SELECT metric, round(p, 6) AS p FROM pv")
 def sign_flip_p(spark, sf):
     return rounded(st.sign_flip_p(deltas(spark, sf), METRICS, reps=FLIPS, seed=SEED), "p")
@@ -96,7 +113,7 @@ def pair_arms_violations(spark, sf):
     return st.pair_arms(left, right, METRICS, {f: 18 for f in range(5)})[1]
 
 
-PAIRED_SQL = DELTAS_SQL + "," + BOOT_SQL + "," + flip_sql(SEED + 100) + """,
+PAIRED_SQL = DELTAS_SQL + "," + POISSON_SQL + "," + flip_sql(SEED + 100) + """,
 l AS (SELECT 'dice' AS metric, a_dice AS a, b_dice AS b, dice AS delta FROM d UNION ALL SELECT 'avd', a_avd, b_avd, avd FROM d),
 ps AS (SELECT l.metric, count(*) AS n, avg(a) AS a_mean, avg(b) AS b_mean, avg(delta) AS delta_mean, avg(delta) / stddev_samp(delta) AS cohens_dz,
   quantile_cont(delta, 0.25) AS delta_q1, quantile_cont(delta, 0.5) AS delta_median, quantile_cont(delta, 0.75) AS delta_q3 FROM l GROUP BY l.metric),
