@@ -2,6 +2,7 @@
 
 import gzip
 import json
+import os
 import struct
 
 import numpy as np
@@ -14,7 +15,7 @@ from voxelcohort.operators import metrics
 from voxelcohort.plans import classifier
 from voxelcohort.session import scratch_path
 from voxelcohort.sources import documents, inventory, sinks, volumes
-from voxelcohort.streaming.evaluate_stream import evaluate_new_cases_stream
+from voxelcohort.streaming.evaluate_stream import current_rows, evaluate_new_cases_stream
 
 
 def paths(spark, names):
@@ -187,3 +188,32 @@ def test_sweep_skips_finished_conditions(spark):
     out = classifier.run_sweep(spark, {"a": make("a", 0.9), "b": make("b", 0.9), "c": make("c", 0.3)}, path)
     assert calls == ["a", "b", "c"] and [r["condition"] for r in out.collect()] == ["b", "c", "a"]
     assert len(classifier.FEATURE_VARIANTS) == 12 and len(classifier.SVM_GRID) == 27 and len(classifier.SPLIT_SEEDS) == 20
+
+
+def test_redelivered_case_leaves_one_row_and_a_repeated_batch_changes_nothing(spark, tmp_path):
+    ref = spark.createDataFrame([(c, 0, 0, x) for c in (1, 2) for x in (0, 1)], "case_id long, z long, y long, x long")
+    headers = spark.createDataFrame([(c, 0, [1.0, 1.0, 1.0]) for c in (1, 2)], "case_id long, fold int, spacing array<double>")
+    incoming, out, state = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")
+    deliver = lambda rows: spark.createDataFrame(rows, "case_id long, z long, y long, x long").coalesce(1).write.mode("append").parquet(incoming)
+    run = lambda: evaluate_new_cases_stream(spark, incoming, ref, headers, out, state).awaitTermination()
+    dice = lambda: {r["case_id"]: round(r["dice"], 3) for r in current_rows(spark, out).collect()}
+    assert current_rows(spark, out) is None
+    deliver([(1, 0, 0, 0), (1, 0, 0, 1), (2, 0, 0, 0)])
+    run()
+    assert dice() == {1: 1.0, 2: 0.667} and current_rows(spark, out).count() == 2
+    deliver([(2, 0, 0, 0), (2, 0, 0, 1)])  # another mask of case 2
+    run()
+    assert dice() == {1: 1.0, 2: 1.0} and current_rows(spark, out).count() == 2
+    before = sorted(map(str, current_rows(spark, out).collect()))
+    deliver([(2, 0, 0, 1), (2, 0, 0, 0)])  # the same mask once more
+    run()
+    assert sorted(map(str, current_rows(spark, out).collect())) == before
+    # the second batch as if it had failed before it was marked as done
+    os.remove(os.path.join(state, "commits", "2"))
+    os.remove(os.path.join(state, "commits", "1"))
+    for name in (".1.crc", ".2.crc"):
+        path = os.path.join(state, "commits", name)
+        if os.path.exists(path):
+            os.remove(path)
+    run()
+    assert sorted(map(str, current_rows(spark, out).collect())) == before

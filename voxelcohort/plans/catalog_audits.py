@@ -71,13 +71,13 @@ ta AS (SELECT case_id, channel, count(*) AS n_voxels, count(*) FILTER (isfinite(
   min(value) FILTER (isfinite(value)) AS min, max(value) FILTER (isfinite(value)) AS max, avg(value) FILTER (isfinite(value)) AS mean,
   stddev_pop(value) FILTER (isfinite(value)) AS std FROM long GROUP BY case_id, channel),
 tq AS (SELECT case_id, channel, quantile_cont(value, 0.001) AS q001, quantile_cont(value, 0.01) AS q01, quantile_cont(value, 0.5) AS median,
-  quantile_cont(value, 0.99) AS q99, quantile_cont(value, 0.999) AS q999 FROM long WHERE isfinite(value) AND (z * 64 + y * 8 + x) % 3 = 0 GROUP BY case_id, channel)"""
+  quantile_cont(value, 0.99) AS q99, quantile_cont(value, 0.999) AS q999 FROM long WHERE isfinite(value) GROUP BY case_id, channel)"""
 TENSOR_EXACT = ("min", "max", "q001", "q01", "median", "q99", "q999")
 TENSOR_COLS = ", ".join([f"round({c}, 10) + 0.0 AS {c}" for c in TENSOR_EXACT] + [f"round({c}, 6) + 0.0 AS {c}" for c in AUDIT_MOMENTS])
 
 
 def tensor_of(spark, sf):
-    return audits.tensor_audit(channel_voxels(spark, sf), (8, 8, 8), 200)
+    return audits.tensor_audit(channel_voxels(spark, sf))
 
 
 @query("tensor_audit", TENSOR_SQL + """

@@ -268,9 +268,8 @@ def fit_violations(spark, sf):
 @query("normalization_from_sample", LONG_SQL + f""",
 r AS (SELECT *, row_number() OVER (PARTITION BY case_id, channel ORDER BY md5(concat_ws('|', case_id, channel, z, y, x, '{SEED}')), z, y, x) AS p
   FROM long WHERE base BETWEEN -100 AND 150 AND isfinite(value)),
-ex AS (SELECT f.range AS fold, channel, value FROM r JOIN range(5) f ON f.range <> case_id % 5 WHERE p <= 64)
-SELECT CAST(fold AS INTEGER) AS fold, channel, round(quantile_cont(value, 0.5), 6) AS median, count(*) AS n_samples FROM ex WHERE channel <> 'ncct' GROUP BY ALL""")
+ex AS (SELECT f.range AS fold, channel, value FROM r JOIN range(5) f ON f.range <> case_id % 5 WHERE p <= 4096)
+SELECT CAST(fold AS INTEGER) AS fold, channel, round(CASE WHEN channel = 'ncct' THEN avg(value) ELSE quantile_cont(value, 0.5) END, 6) AS center, count(*) AS n_samples FROM ex GROUP BY fold, channel""")
 def normalization_from_sample(spark, sf):
-    sample = splits.support_sample(support_samples(spark, sf), 64, SEED)
-    out = preprocess.fit_normalization(sample, val_folds_of(spark, sf)).where("channel <> 'ncct'")
-    return rounded(out.selectExpr("fold", "channel", "center as median", "n_samples"), "median")
+    sample = splits.support_sample(support_samples(spark, sf), seed=SEED)
+    return rounded(preprocess.fit_normalization(sample, val_folds_of(spark, sf)).select("fold", "channel", "center", "n_samples"), "center")

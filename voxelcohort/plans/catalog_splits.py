@@ -140,10 +140,10 @@ long AS (SELECT case_id, z, y, x, k, ncct AS base, 'ncct' AS channel, ncct AS va
 r AS (SELECT *, row_number() OVER (PARTITION BY case_id, channel
   ORDER BY md5(concat_ws('|', case_id, channel, z, y, x, '{SEED}')), z, y, x) AS p
   FROM long WHERE base BETWEEN -100 AND 150 AND isfinite(value))
-SELECT case_id, channel, z, y, x, value FROM r WHERE p <= 64""")
+SELECT case_id, channel, z, y, x, value FROM r WHERE p <= 4096""")
 def support_sample(spark, sf):
     rows = channel_voxels(spark, sf, extra=("ncct as base",)).where("base between -100 and 150").drop("base")
-    return splits.support_sample(rows, 64, SEED)
+    return splits.support_sample(rows, seed=SEED)
 
 
 @query("stride_sample_finite", cte("vox3") + """,

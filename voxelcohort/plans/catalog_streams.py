@@ -14,7 +14,7 @@ from voxelcohort.plans.catalog_trace import EPOCHS, MISSING_SQL, ROW_RULES_SQL,
 from voxelcohort.plans.registry import query
 from voxelcohort.plans.views import table
 from voxelcohort.session import scratch_path
-from voxelcohort.streaming.evaluate_stream import evaluate_new_cases_stream
+from voxelcohort.streaming.evaluate_stream import current_rows, evaluate_new_cases_stream
 from voxelcohort.streaming.trace_state import violations_so_far, watch_trace_stream
 from voxelcohort.streaming.trace_stream import judge_trace_stream, latest_violations
 
@@ -63,7 +63,7 @@ def evaluate_new_cases_stream_query(spark, sf):
     delivered = cases.join(pred, "case_id", "left")  # a null voxel row delivers an empty mask
     delivered.repartition("case_id").write.parquet(incoming)
     evaluate_new_cases_stream(spark, incoming, ref, case_headers(spark, sf), out, scratch_path(spark, "eval-state")).awaitTermination()
-    return rounded(spark.read.parquet(out).drop("signature", "schema", "status", "batch"), "dice", "lesion_f1", *VOLUMES)
+    return rounded(current_rows(spark, out).drop("signature", "schema", "status", "batch"), "dice", "lesion_f1", *VOLUMES)
 
 
 @query("evaluate_stale", EVAL_SQL + f"""
@@ -81,10 +81,10 @@ def evaluate_stale(spark, sf):
 long AS (SELECT case_id, z, y, x, 'ncct' AS channel, ncct AS value FROM support UNION ALL SELECT case_id, z, y, x, 'tmax', tmax FROM support
   UNION ALL SELECT case_id, z, y, x, 'cbf', cbf FROM support UNION ALL SELECT case_id, z, y, x, 'cbv', cbv FROM support UNION ALL SELECT case_id, z, y, x, 'mtt', mtt FROM support),
 r AS (SELECT *, row_number() OVER (PARTITION BY case_id, channel ORDER BY md5(concat_ws('|', case_id, channel, z, y, x, '{SEED}')), z, y, x) AS p FROM long WHERE isfinite(value)),
-ex AS (SELECT f.range AS fold, channel, value FROM r JOIN range(5) f ON f.range <> case_id % 5 WHERE p <= 64)
+ex AS (SELECT f.range AS fold, channel, value FROM r JOIN range(5) f ON f.range <> case_id % 5 WHERE p <= 4096)
 SELECT CAST(fold AS INTEGER) AS fold, channel, round(quantile_cont(value, 0.005), 6) AS clip_low, round(quantile_cont(value, 0.995), 6) AS clip_high,
   round(CASE WHEN channel = 'ncct' THEN avg(value) ELSE quantile_cont(value, 0.5) END, 6) AS center, count(*) AS n_samples FROM ex GROUP BY fold, channel""")
 def calibrate(spark, sf):
-    made = calibration.calibrate(channel_voxels(spark, sf), val_folds_of(spark, sf), samples_per_case=64, seed=SEED)
+    made = calibration.calibrate(channel_voxels(spark, sf), val_folds_of(spark, sf), seed=SEED)
     out = made["params"].select("fold", "channel", "clip_low", "clip_high", "center", "n_samples")
     return rounded(out, "clip_low", "clip_high", "center")

@@ -163,13 +163,29 @@ def best_first(summaries: DataFrame) -> DataFrame:
     return summaries.orderBy(F.col("dice_mean").desc(), "condition")
 
 
-def run_sweep(spark: SparkSession, names: Sequence[str], run: Callable[[list[str]], DataFrame], path: str) -> DataFrame:
+def _finished(spark: SparkSession, path: str) -> set[str]:
+    saved = read_if_present(spark, path)
+    return set() if saved is None else {r["condition"] for r in saved.select("condition").distinct().collect()}  # grid-sized
+
+
+def run_sweep(spark: SparkSession, conditions: Mapping[str, Callable[[], DataFrame]], path: str) -> DataFrame:
+    """Run conditions that share nothing one by one, each appended as its own partition; finished ones are skipped.
+
+    Returns all summaries, best dice first, then by name.
+    """
+    done = _finished(spark, path)
+    for name, run in conditions.items():
+        if name not in done:
+            run().withColumn("condition", F.lit(name)).write.mode("append").partitionBy("condition").parquet(path)
+    return best_first(spark.read.parquet(path))
+
+
+def run_grid(spark: SparkSession, names: Sequence[str], run: Callable[[list[str]], DataFrame], path: str) -> DataFrame:
     """Run the predeclared conditions that ``path`` does not hold yet, all in one job; returns all summaries, best first.
 
     ``run`` takes names and gives summaries ``(condition, ...)``, which land in one partition a condition.
     """
-    saved = read_if_present(spark, path)
-    done = set() if saved is None else {r["condition"] for r in saved.select("condition").distinct().collect()}  # grid-sized
+    done = _finished(spark, path)
     todo = [n for n in names if n not in done]
     if todo:
         run(todo).write.mode("append").partitionBy("condition").parquet(path)
@@ -206,7 +222,7 @@ def feature_sweep(
         data = cut_lineage(with_roles(reduce(DataFrame.unionByName, parts), split))
         return _grid(data, image_shapes(pixels), [Condition(n, n, config) for n in variants], target, todo)
 
-    return run_sweep(spark, list(variants), run, path)
+    return run_grid(spark, list(variants), run, path)
 
 
 def split_sweep(
@@ -222,7 +238,7 @@ def split_sweep(
         data = prepared.join(cut_lineage(reduce(DataFrame.unionByName, parts)), "case_id")
         return _grid(data, image_shapes(pixels), [Condition(n, n, config) for n in names], target, todo)
 
-    return run_sweep(spark, list(names), run, path)
+    return run_grid(spark, list(names), run, path)
 
 
 def svm_sweep(
@@ -239,7 +255,7 @@ def svm_sweep(
         data = cut_lineage(with_roles(prepare_pixels(pixels), split).withColumn("data", F.lit("all")))
         return _grid(data, image_shapes(pixels), conditions, target, todo)
 
-    return run_sweep(spark, [c.name for c in conditions], run, path)
+    return run_grid(spark, [c.name for c in conditions], run, path)
 
 
 def _scalers(data: Sequence[str], scalers: Sequence[str], components: int, max_iter: int) -> list[Condition]:
@@ -264,7 +280,7 @@ def leakage_sweep(
         rows = rows.join(metrics.roc_auc(images, "score", "label").select("case_id", "auc"), "case_id")
         return summarize(rows.withColumn("model", F.substring_index("case_id", "|", 1))).withColumnRenamed("model", "condition")
 
-    return run_sweep(spark, [c.name for c in conditions], run, path)
+    return run_grid(spark, [c.name for c in conditions], run, path)
 
 
 def histogram_sweep(
@@ -279,4 +295,4 @@ def histogram_sweep(
         data = with_roles(reduce(DataFrame.unionByName, parts), split)
         return _grid(data, image_shapes(pixels), conditions, target, todo)
 
-    return run_sweep(spark, [c.name for c in conditions], run, path)
+    return run_grid(spark, [c.name for c in conditions], run, path)
