@@ -63,6 +63,14 @@ def test_jaccard_components_equal_all_pairs(spark, rows):
     assert got == brute_components(rows)
 
 
+def test_jaccard_rounds_lose_no_link(spark, monkeypatch):
+    """Chains of near copies, whose ends do not link, in lists that are all long enough for rounds."""
+    monkeypatch.setattr(jaccard_join, "LARGE_LIST", 1)
+    rows = [(k, " ".join(f"p{j}" for j in range(3 * k, 3 * k + 60))) for k in range(60)] + [(100 + k, " ".join(f"p{j}" for j in range(60) if j != k % 30)) for k in range(70)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == brute_components(rows)
+
+
 @pytest.mark.parametrize("block", [7, 1024])
 def test_jaccard_counts_all_links_of_a_group(spark, monkeypatch, block):
     monkeypatch.setattr(jaccard_join, "BLOCK", block, raising=False)
