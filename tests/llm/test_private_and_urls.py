@@ -86,7 +86,7 @@ def test_list_entries_are_judged_as_of_the_fetch(spark):
 def test_queries_follow_their_contracts(spark):
     contract = importlib.import_module("__spark_entry__")
     named, sf = contract.queries(), "/root/testdata/sf0.001"
-    assert [k for n in range(1, 11) for k in named if k.startswith(f"op{n}_")] == sorted((k for k in named if re.match(r"op\d+_", k)), key=lambda k: int(k[2:].split("_")[0]))
+    assert [k for n in range(1, 14) for k in named if k.startswith(f"op{n}_")] == sorted((k for k in named if re.match(r"op\d+_", k)), key=lambda k: int(k[2:].split("_")[0]))
     columns = {"op1": ["doc_id", "held_out", "score", "predicted"], "op2": ["doc_id", "n_shingles", "component_id"], "op6": ["doc_id", "held_out", "score", "predicted"],
                "op7": ["page_id", "url", "text", "n_chars"], "op8": ["query_id", "rank", "vec_id", "score"], "op9": ["doc_id", "n_words", "n_removed", "kept_sha256"]}
     for name in named:

@@ -1,6 +1,7 @@
 """Jaccard join, repeats, decontamination and nearest neighbours against brute force."""
 
 import hashlib
+import itertools
 import os
 import re
 import sys
@@ -138,37 +139,54 @@ def test_repeats_null_and_equal_ids(spark):
 
 
 def brute_leaks(docs, items):
+    """The rule alone: every shift, every window."""
     out = {}
     for d, text in docs:
         words = [w.lower() for w in WORD.findall(text or "")]
         for b, item in items:
             target = [w.lower() for w in WORD.findall(item or "")]
-            if len(target) < decontaminate.SPAN:
+            if not target:
                 continue
             size = min(decontaminate.WINDOW, len(target))
             for start in range(-len(target) + 1, len(words)):
                 equal = [0 <= start + j < len(words) and words[start + j] == w for j, w in enumerate(target)]
-                seeded = any(all(j + o < len(target) and equal[j + o] for o in mask) for mask in decontaminate.MASKS for j in range(len(target) - decontaminate.SPAN + 1))
+                if sum(equal) * 100 < size * decontaminate.EQUAL_PERCENT:
+                    continue
                 best = max(sum(equal[s:s + size]) for s in range(len(target) - size + 1))
-                if seeded and best * 100 >= size * decontaminate.EQUAL_PERCENT:
+                if best * 100 >= size * decontaminate.EQUAL_PERCENT:
                     out[d, b] = min(out.get((d, b), (0, 0)), (-best, start))
     return {k: (-best, start) for k, (best, start) in out.items()}
 
 
-def test_leaks_tolerate_substitutions(spark):
+@pytest.mark.parametrize("size", range(1, decontaminate.WINDOW + 1))
+def test_masks_reach_every_allowed_pattern(size):
+    masks = decontaminate.FAMILIES[decontaminate.family_of(size)]
+    replaced = size - -(-size * decontaminate.EQUAL_PERCENT // 100)
+    placed = [{p + k for k in mask} for mask in masks for p in range(size - mask[-1])]
+    assert placed
+    for pattern in itertools.combinations(range(size), replaced):
+        assert any(place.isdisjoint(pattern) for place in placed), pattern
+
+
+@pytest.mark.parametrize("broadcast", [decontaminate.BROADCAST_SEEDS, 0])
+def test_leaks_tolerate_substitutions(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", broadcast)
     rng = np.random.default_rng(5)
-    items = [(k, " ".join(f"b{int(x)}" for x in rng.integers(0, 400, n))) for k, n in enumerate((8, 10, 15, 24, 40, 40))] + [(6, None), (1, "b1 " * 9)]
+    sizes = (2, 4, 5, 7, 9, 10, 11, 15, 16, 20, 24, 40, 40)
+    items = [(k, " ".join(f"b{int(x)}" for x in rng.integers(0, 400, n))) for k, n in enumerate(sizes)] + [(20, None), (21, " \t"), (1, "b1 " * 9), (None, "b1 b2 b3")]
     docs = []
-    for k in range(60):
-        words = items[k % 6][1].split()
-        for _ in range(k % 7):
+    for k in range(130):
+        words = items[k % len(sizes)][1].split()
+        for _ in range(k // len(sizes) % 7):
             words[int(rng.integers(0, len(words)))] = "swap"
         docs.append((k, f"Pre fix {' '.join(words[:-1] if k % 5 == 0 else words).upper()}\tend of it"))
-    docs += [(60, None), (61, ""), (62, items[4][1]), (62, items[4][1])]
-    frame = spark.createDataFrame(docs, "doc_id long, text string").withColumn("_seed", F.lit(1))
-    bench = spark.createDataFrame(items, "item_id long, text string")
+    long = [f"x{int(x)}" for x in rng.integers(0, 50, 30_000)]
+    docs += [(200, None), (201, ""), (202, items[10][1]), (202, items[10][1]), (203, " ".join(long + items[4][1].split() + long[:99])), (204, items[4][1])]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").withColumn("_seed", F.lit(1)).withColumn("item_id", F.lit("x"))
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("_n", F.lit(7))
     got = {(r["doc_id"], r["item_id"]): (r["equal_words"], r["doc_start"]) for r in decontaminate.leaks(frame, bench).collect()}
-    assert got == brute_leaks(docs, items) and len(got) > 30
+    want = brute_leaks(docs, [x for x in items if x[0] is not None])
+    assert got == want and len(got) > 60 and {(203, 4), (204, 4)} <= set(got)
     kept = decontaminate.without_leaks(frame, bench)
     assert kept.columns == frame.columns and {r["doc_id"] for r in kept.collect()} == {d for d, _ in docs} - {d for d, _ in got}
     assert decontaminate.leaks(frame, bench.filter("false")).count() == 0 and decontaminate.leaks(frame.filter("false"), bench).count() == 0
