@@ -90,9 +90,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", item: str
     window = F.least(F.lit(WINDOW), F.size("_item"))
     # "1" for every item word that stands at its place in the document, "0" for the others; one row for each shift
     equal = F.array_join(F.transform(F.col("_item"), lambda w, i: F.when(w == under(i), "1").otherwise("0")), "")
+    # the aggregate keeps the comparison out of the filters below, which would repeat it for every seed of a shift
     aligned = (
         met.select(doc, item, "_start", window.alias("window_words"), F.size("_item").alias("item_words"), equal.alias("_equal"))
-        .distinct()
+        .groupBy(doc, item, "_start", "window_words", "item_words").agg(F.max("_equal").alias("_equal"))
     )
     ones = lambda flags: F.length(F.replace(flags, F.lit("0"), F.lit("")))
     best = F.array_max(F.transform(
