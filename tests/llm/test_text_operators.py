@@ -132,6 +132,31 @@ def test_main_text_marks_drop_no_part_of_the_article(page, text):
     assert main_text.extract(f"<body>{page}</body>", {"default": -0.3}) == text
 
 
+LINKS = "".join(f"<li><a href='{k}'>linked words number {k}</a></li>" for k in range(12))
+SIDE = "<p>words of side matter that go on and on</p>" * 30
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    (f"<main><h1>Title</h1></main><div class='entry'><p>{POST}</p></div>", f"Title\n{POST}"),
+    (f"<h1>Title</h1><span>By A</span><div><p>{POST}</p></div>", f"Title\nBy A\n{POST}"),
+    (f"<div class='post'><header><h1>Real title</h1></header><p>{POST}</p></div>", f"Real title\n{POST}"),
+    (f"<div><header><h1>Site</h1><nav><a>x</a></nav></header><p>{POST}</p></div>", POST),
+    (f"<div><header><h1>Site</h1></header><div><h1>Title</h1><p>{POST}</p></div></div>", f"Title\n{POST}"),
+    (f"<div><p>{POST}</p><p><a href='x'>read the whole study here</a></p></div>", f"{POST}\nread the whole study here"),
+    # a list of links is bridged where both parts outweigh it
+    (f"<div><p>{POST} {POST} {POST}</p><ul>{LINKS}</ul><p>{POST}</p><p>{POST} {POST}</p></div>",
+     "\n".join([f"{POST} {POST} {POST}", *[f"linked words number {k}" for k in range(12)], POST, f"{POST} {POST}"])),
+    *[(f"<{name}><p>{POST}</p><div id='comments'><p>great post</p></div><div id='sidebar'><p>about us</p></div></{name}>", POST) for name in ("main", "article")],
+    (f"<article><p>{POST}</p><div class='share-buttons'>share</div><div class='newsletter-signup'>sign up</div><p class='ad'>buy</p><p>end <span class='ad'>or <span>buy</span></span> here</p></article>",
+     f"{POST}\nend here"),
+    (f"<article><p class='ad'>buy<p>{POST}<ul><li class='ad'>buy<li>a</ul><p>b</article>", f"{POST}\na\nb"),
+    *[(f"<div class='post'><p>{POST}</p></div><div class='{name}'>{SIDE}</div>", POST) for name in ("comments", "sidebar", "related-posts")],
+    (f"<div class='entry-content'><p>{POST}</p></div><ol class='comment-list'>" + f"<li><article class='comment-body'>{SIDE}</article></li>" * 3 + "</ol>", POST),
+])
+def test_main_text_keeps_the_article_and_no_side_matter(page, text):
+    assert main_text.extract(f"<body>{page}</body>", {"default": -0.3}) == text
+
+
 @pytest.mark.parametrize("before", [
     "<svg/>", "<svg class='icon' aria-label='a > b' />", "<math/><svg viewBox='0 0 1 1'/>", "<svg><path/></svg>", "<button-group><i>x</i></button-group>", "<title-bar>x</title-bar>",
     "<object-view>x</object-view>", "<script>var a;</script>", "<button>press</button>",

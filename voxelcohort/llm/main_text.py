@@ -5,8 +5,13 @@ their content themselves (``article`` or ``main``); words of disliked containers
 scan finds the best contiguous run; the text of the run, without menus, headers, footers, sidebars, notices, adverts,
 forms and comments, is returned in blocks.
 
-Defined results: null, empty and text-free pages give ""; a ``br`` is white space inside its block; repeated rows are
-extracted alike; other columns are ignored; an unclosed comment or script runs to the end of the page.
+Marks are whole class tokens, ids and role values, and compound classes; they are believed wherever they leave a text in
+paragraphs, so a long thread of comments or a long list never becomes the article. A link in a paragraph counts half
+for it; lists of links count against a run up to ``BRIDGE`` and are kept where both sides outweigh them.
+
+Defined results: null, empty and text-free pages give ""; very long pages are scanned whole; of equal runs the first is
+taken; a ``br`` is white space inside its block; repeated rows are extracted alike; empty tables give empty results; other
+columns are ignored; an unclosed comment or script runs to the end of the page.
 """
 
 from __future__ import annotations
@@ -42,7 +47,15 @@ DISLIKED = re.compile(
 # Compound classes outside marked content: "site-footer", "comment-list"; but "has-sidebar" says something about what stands around it.
 SHAPES = re.compile(r"^(?:area|bar|block|body|box|buttons?|card|container|content|items?|links?|list|panel|posts?|row|section|wrap|wrapper)$")
 STATES = frozenset("has with no without non layout overflow".split())
-# What may be longer than the article itself; other marks never drop more than half of the page's words.
+# Disliked words that also name parts of an article; as an id inside marked content they say nothing.
+TOPICS = frozenset("discussion legal search form notice notices alert promotion subscription copyright disclaimer consent reply skip social overlay".split())
+# Classes that take a single paragraph, list item or phrase out of its block.
+ADVERT = frozenset("ad ads advert adverts advertisement advertisements adsense sponsored promo hidden newsletter".split())
+PHRASES = frozenset("p li span small strong em b i".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+# Words in paragraphs that marks have to leave; if they leave fewer, what holds most of the page is no side matter.
+PROSE = 10
+# What may hold most of a page without being its text.
 LENGTHY = re.compile(r"^(?:comments?|commentlist|replies|reply|respond|disqus|discussion|cookies?|consent|gdpr|legal|disclaimer|hidden)$")
 LINKED = frozenset(("article", "main"))
 
@@ -68,34 +81,38 @@ def _marks(attributes: str) -> list[str]:
 
 
 def _drops(attributes: str, name: str, inside: bool) -> list[str]:
-    """What the marks of a container hold against it: whole class tokens and role values; outside marked content also whole
-    ids and compound classes of a disliked word and a shape. Marked elements fall to comments, related and hidden only."""
+    """What the marks of a container hold against it: whole class tokens, ids and role values, compound classes of a disliked
+    word and a shape; inside marked content ids that name a topic do not count. Marked elements fall to comments, related
+    and hidden only."""
     found = []
     for kind, a, b, c in ATTRIBUTE.findall(attributes):
         kind, value = kind.lower(), (a or b or c).lower()
         if kind not in ("class", "id", "role"):
             found += _marks(f'{kind}="{value}"')
-        elif kind != "id" or not inside:
+        else:
             for token in value.split():
                 parts = [x for x in PART.split(token) if x]
                 if DISLIKED.match(token):
-                    found.append(token)
-                elif kind == "class" and len(parts) > 1 and (not inside or name in LINKED) and not STATES.intersection(parts):
+                    found += [] if kind == "id" and inside and token in TOPICS else [token]
+                elif kind == "class" and len(parts) > 1 and not STATES.intersection(parts):
                     found += [x for x in (parts[-1], parts[0] if SHAPES.match(parts[-1]) else "") if DISLIKED.match(x)][:1]
     return [x for x in found if x.startswith(("comment", "related", "hidden"))] if name in LINKED else found
 
 
 def _spared(page: str, tokens: list[re.Match]) -> set[int]:
-    """Containers, by their number in page order, that no mark drops: those around a main, around an article with a first
-    heading, or around most words of the page. Words of links and of SEMANTIC elements do not count."""
+    """Containers, by their number in page order, that nothing drops: those around a main or around an article with a first
+    heading; a header with the only first heading beside the text it heads; and, if marks leave less than ``PROSE`` words
+    in paragraphs, containers of most words of the page. Words of links and of SEMANTIC elements do not count."""
     stack: list[int] = []
-    names, parents, words, found, lengthy = [], [], [], [], []
-    linked = apart = total = at = 0
+    names, parents, words, found, bad, lengthy, heads = [], [], [], [], [], [], []
+    linked = apart = total = prose = within = at = firsts = 0
     for m in [*tokens, None]:
         end = m.start() if m else len(page)
         if end > at and not linked and not apart:
             n = len(page[at:end].split())
             total += n
+            if within and not any(bad[i] for i in stack):
+                prose += n
             if stack:
                 words[stack[-1]] += n
         if m is None:
@@ -104,46 +121,72 @@ def _spared(page: str, tokens: list[re.Match]) -> set[int]:
         name = (m[3] or "").lower()
         if name == "a":
             linked = not m[2]
-        elif name == "h1" and not m[2] and not apart:
-            for i in stack[:next((k for k, i in enumerate(stack) if names[i] == "article"), 0)]:
-                found[i] = True
+        elif name == "p":
+            within = not m[2]
+        elif name == "h1" and not m[2]:
+            firsts += 1
+            if stack and names[stack[-1]] == "header" and apart == 1 and not bad[stack[-1]]:
+                heads.append(stack[-1])
+            if not apart:
+                for i in stack[:next((k for k, i in enumerate(stack) if names[i] == "article"), 0)]:
+                    found[i] = True
         elif name in CONTAINERS and m[2]:
+            within = 0
             depth = next((k for k in range(len(stack) - 1, -1, -1) if names[stack[k]] == name), None)
             if depth is not None:
                 apart -= sum(names[i] in SEMANTIC for i in stack[depth:])
                 del stack[depth:]
         elif name in CONTAINERS and not m[4].endswith("/"):
+            within = 0
             if name == "main" and not apart:
                 for i in stack:
                     found[i] = True
+            if name in ("nav", "form", "menu"):  # a header with a menu is the site's
+                heads = [i for i in heads if i not in stack]
             parents.append(stack[-1] if stack else -1)
             stack.append(len(names))
             names.append(name)
             words.append(0)
             found.append(False)
-            lengthy.append(bool(m[4]) and any(LENGTHY.match(x) for x in _drops(m[4], name, False)))
+            drops = _drops(m[4], name, False) if m[4] else []
+            bad.append(bool(drops))
+            lengthy.append(any(LENGTHY.match(x) for x in drops))
             apart += name in SEMANTIC
     for i in range(len(names) - 1, -1, -1):
         if parents[i] >= 0:
             words[parents[i]] += words[i]
-    return {i for i, n in enumerate(words) if found[i] or n * 10 > total * (9 if lengthy[i] else 5)}
+    headers = {i for i in heads if firsts == 1 and parents[i] >= 0 and words[parents[i]] > 0}
+    return headers | {i for i, n in enumerate(words) if found[i] or prose < PROSE and n * 10 > total * (9 if lengthy[i] else 5)}
 
 
 def _items(page: str):
-    """("text", raw, in link, depth of disliked containers, inside article) and ("tag", keys) in page order."""
+    """("text", raw, kind of its block, depth of disliked containers, inside article) and ("tag", name, closing, marks, inside
+    article) in page order; the kind is 0, 1 in a link, 2 in a link of a paragraph, 3 in a heading."""
     stack: list[tuple[str, bool, bool]] = []
-    disliked = linked = marked = opened = 0
+    disliked = linked = marked = opened = muted = 0
+    mute = block = ""
     at = 0
     tokens = list(TOKEN.finditer(page))
     spared = _spared(page, tokens)
+
+    def kind() -> int:
+        return (2 if block == "p" else 1) if linked else 3 if block in HEADINGS else 0
+
     for m in tokens:
         if m.start() > at:
-            yield "text", page[at:m.start()], linked > 0, disliked, marked > 0
+            yield "text", page[at:m.start()], kind(), disliked + (muted > 0), marked > 0
         at = m.end()
         name = m[3]
         if name is None:
             continue
         name = name.lower()
+        if name in BLOCKS:
+            block = "" if m[2] else name
+            if mute in BLOCKS and (not m[2] or name == mute or name in CONTAINERS) or muted and m[2] and name in CONTAINERS:
+                muted, mute = 0, ""
+        elif name == mute and name not in VOID:
+            muted += -1 if m[2] else 1
+            mute = mute if muted else ""
         if m[2]:
             if name == "a":
                 linked = 0
@@ -158,8 +201,10 @@ def _items(page: str):
         marks = _marks(m[4]) if m[4] else []
         if name == "a":
             linked = 1
+        if not muted and marks and name in PHRASES and any(x in ADVERT for _, *v in ATTRIBUTE.findall(m[4]) if _.lower() == "class" for x in "".join(v).lower().split()):
+            muted, mute = 1, name
         if name in CONTAINERS and not m[4].endswith("/"):
-            bad = name in SEMANTIC and not (name == "header" and marked)
+            bad = name in SEMANTIC and not (name == "header" and (marked or opened in spared))
             bad = bad or opened not in spared and bool(m[4]) and bool(_drops(m[4], name, marked > 0))
             opened += 1
             good = name in LINKED and not bad and not disliked  # comments and teasers are no content, whatever their element
@@ -168,7 +213,7 @@ def _items(page: str):
             marked += good
         yield "tag", name, False, tuple(marks), marked > 0
     if at < len(page):
-        yield "text", page[at:], linked > 0, disliked, marked > 0
+        yield "text", page[at:], kind(), disliked + (muted > 0), marked > 0
 
 
 def _keys(name: str, marks: tuple[str, ...]) -> list[str]:
@@ -204,7 +249,8 @@ def fit(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, key: str = "page_id"
 def extract(page: str, weights: dict[str, float]) -> str:
     """The text of the best run: scan once, keeping the start of the best run that ends here."""
     items = list(_items(page))
-    has_content = any(kind == "text" and marked and not disliked and entities.unescape(value).split() for kind, value, _, disliked, marked in items)
+    # a mark around headings alone marks no article
+    has_content = any(kind == "text" and marked and not disliked and shape != 3 and entities.unescape(value).split() for kind, value, shape, disliked, marked in items)
     default = weights.get("default", -0.3)
     best = run = 0.0
     first, span, debt = 0, (0, 0), 0.0
@@ -217,10 +263,16 @@ def extract(page: str, weights: dict[str, float]) -> str:
             if extra:
                 gain = 0.0 if marked else max(-1.0 * n, BRIDGE - debt)
                 debt = debt + gain
+            elif not marked and not has_content and flag == 1:
+                gain = max(-1.0 * n, BRIDGE - debt)  # a list of links may stand between two parts of an article
+                debt = debt + gain
             else:
-                gain, debt = float(n), 0.0
-                if not marked and (has_content or flag):
+                gain = float(n)
+                debt = 0.0 if n else debt
+                if not marked and has_content:
                     gain = -gain
+                elif not marked and flag == 2:
+                    gain = gain / 2
         if run <= 0 and not (marked and run > -1):
             run, first = 0.0, k
         run += gain
