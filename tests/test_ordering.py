@@ -9,6 +9,7 @@ from voxelcohort.functions import (
     pack_voxel,
     prefix_sums,
     require_empty,
+    spread_bucket,
     take_lowest,
     unpack_voxel,
     value_bucket,
@@ -113,3 +114,22 @@ def test_id_buckets_spread_and_follow_the_order(spark):
         sizes = df.groupBy(order_bucket(df, "k").alias("b")).agg(F.count("*").alias("n"), F.min("k").alias("lo"), F.max("k").alias("hi")).orderBy("b").collect()
         assert len(sizes) >= least and max(r["n"] for r in sizes) < 3_000
         assert all(a["hi"] < b["lo"] for a, b in zip(sizes, sizes[1:]))
+
+
+def test_spread_buckets_follow_the_values(spark):
+    near_one = spark.range(60_000).select((1 - F.col("id") / 6e8).alias("v"))
+    times = spark.range(60_000).select((F.col("id") * 1_000 + 1_700_000_000_000).alias("v"))
+    heavy = spark.range(60_000).select(F.when(F.col("id") % 3 == 0, 0.5).otherwise(0.5 + F.col("id") / 1e9).alias("v"))
+    for df, most in ((near_one, 200), (times, 200), (heavy, 20_200)):
+        bucketed = df.groupBy(spread_bucket(df, "v").alias("b")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("b").collect()
+        assert len(bucketed) > 600 and max(r["n"] for r in bucketed) <= most
+        assert all(a["hi"] < b["lo"] for a, b in zip(bucketed, bucketed[1:]))
+
+
+def test_spread_buckets_give_ranks_of_any_value(spark):
+    rows = [(None, 1.0), (None, 2.0), (1, None), (1, float("inf")), (1, float("-inf")), (1, float("nan")), (1, 0.5)]
+    df = spark.createDataFrame(rows, "g long, v double")
+    want = [(0, 1, "1.0"), (0, 2, "2.0"), (1, 1, "None"), (1, 2, "-inf"), (1, 3, "0.5"), (1, 4, "inf"), (1, 5, "nan")]
+    for part, kept in ((df, want), (df.where("v is null"), want[2:3]), (df.where("false"), [])):
+        ranked = with_rank(part, ["g"], ["v"], spread_bucket(part, "v")).collect()
+        assert sorted((r["g"] or 0, r["rank"], str(r["v"])) for r in ranked) == kept

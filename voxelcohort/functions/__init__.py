@@ -15,6 +15,7 @@ from voxelcohort.functions.ordering import (
     exact_quantiles,
     order_bucket,
     prefix_sums,
+    spread_bucket,
     take_lowest,
     value_bucket,
     with_rank,
@@ -22,6 +23,6 @@ from voxelcohort.functions.ordering import (
 
 __all__ = [
     "allclose", "closed_round", "constant_rows", "exact_quantiles", "finite", "hash_key", "pack_voxel",
-    "order_bucket", "prefix_sums", "require_empty", "take_lowest", "unpack_voxel", "value_bucket",
+    "order_bucket", "prefix_sums", "require_empty", "spread_bucket", "take_lowest", "unpack_voxel", "value_bucket",
     "violation", "violations_of", "violations_union", "with_rank",
 ]

@@ -23,6 +23,7 @@ BUCKETS_PER_E_FOLD = 64
 SMALLEST_MAGNITUDE = 1e-30
 BEYOND = 1 << 40
 ID_BUCKETS, ID_SAMPLE, ID_SPLITS = 4_096, 4_096, 256
+SPREAD_SPLITS, SPREAD_K = 1_024, 8_192
 _SHIFT = 4423  # makes the bucket of SMALLEST_MAGNITUDE positive
 
 
@@ -42,6 +43,26 @@ def value_bucket(value: Column) -> Column:
     )
 
 
+def spread_bucket(df: DataFrame, column: str) -> Column:
+    """Bucket number that never decreases as the number in ``column`` grows and follows where the values of ``df`` lie.
+
+    A quantile sketch, merged from the tasks in one pass, gives up to ``SPREAD_SPLITS`` split points, so scores close to 1
+    or ids within a narrow range spread over many buckets; a value met very often becomes a split point and begins a bucket.
+    Within a split the log scale of ``value_bucket`` goes on. Any split points give the same ranks.
+    """
+    value = F.col(column).cast("double")
+    found = df.where(finite(value)).agg(F.kll_sketch_agg_double(value, F.lit(SPREAD_K)).alias("_s"), F.count(F.lit(1)).alias("_n"))
+    numbers = lambda values: F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")
+    ranks = numbers([i / SPREAD_SPLITS for i in range(1, SPREAD_SPLITS)])
+    points = found.select(F.when(F.col("_n") > 0, F.array_distinct(F.kll_sketch_get_quantile_double("_s", ranks)))).first()[0]
+    if not points:
+        return value_bucket(value)
+    splits = numbers(points)
+    steps = F.lit([1 << b for b in reversed(range((SPREAD_SPLITS - 1).bit_length()))])
+    passed = F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(F.get(splits, at + step - 1) <= value, step).otherwise(0))
+    return F.struct(F.when(value.isNotNull(), passed).alias("split"), value_bucket(value).alias("step"))
+
+
 def order_bucket(df: DataFrame, column: str) -> Column:
     """Monotone bucket for the natural order of an id column, numeric or text.
 

@@ -17,7 +17,7 @@ from voxelcohort.functions import (
     exact_quantiles,
     finite,
     prefix_sums,
-    value_bucket,
+    spread_bucket,
     violation,
     violations_of,
 )
@@ -71,7 +71,8 @@ def roc_auc(scored: DataFrame, score: str, label: str, group: str = "case_id") -
     ties = scored.where(finite(F.col(score))).groupBy(group, F.col(score).alias("_s")).agg(
         F.count_if(positive).alias("_p"), F.count_if(~positive).alias("_q")
     )
-    ranked = prefix_sums(ties, [group], "_s", value_bucket(F.col("_s")), {"_below": "_q"})
+    bucket = spread_bucket(scored.select(F.col(score).alias("_s")), "_s")
+    ranked = prefix_sums(ties, [group], "_s", bucket, {"_below": "_q"})
     wins = ranked.groupBy(group).agg(
         F.sum(F.col("_p") * (F.col("_below") + F.col("_q") * 0.5)).alias("_w"),
         F.sum("_p").alias("n_pos"), F.sum("_q").alias("n_neg"),

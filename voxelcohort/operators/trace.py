@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelcohort.functions import value_bucket, violations_of, violations_union, with_rank
+from voxelcohort.functions import spread_bucket, violations_of, violations_union, with_rank
 
 # Fixed event names.
 TRAIN_IMAGE, TRAIN_LABEL, STEP = "train_image_open", "train_label_open", "train_step"
@@ -63,9 +63,8 @@ def trace_violations(trace: DataFrame, roles: DataFrame, epochs: int) -> DataFra
         ((t == OUTER_LABEL) & before("seal"), "label_before_seal", key, case),
         ((t == OUTER_LABEL) & ~is_role("val"), "label_case_outside", key, case),
     ])
-    steps = with_rank(
-        trace.where(t == STEP), ["run_id"], ["seq"], value_bucket(F.col("seq").cast("double")), name="_k"
-    )
+    steps = trace.where(t == STEP)
+    steps = with_rank(steps, ["run_id"], ["seq"], spread_bucket(steps, "seq"), name="_k")
     step_rules = violations_of(steps, [
         (~F.col("epoch").eqNullSafe(F.col("_k").cast("int")) | (F.col("epoch") > epochs), "step_order", key, F.col("epoch")),
     ])
