@@ -76,6 +76,16 @@ def test_review_gate(spark):
         audits.review_violations(roster, roster)
 
 
+def test_review_of_cases_that_share_a_written_id(spark):
+    """Ids cut to four digits name several cases; each is judged by itself."""
+    columns = "k long, " + ", ".join(f"{c} string" for c in audits.REVIEW_COLUMNS)
+    row = lambda k, decision: (k, "sub_stroke1000", "a.png", decision, "yes", "no", "no", "r", "2024-05-06", "")
+    roster = spark.createDataFrame([(k, "sub_stroke1000", "a.png") for k in (1000, 10000, 10001, 10002)], "k long, case_id string, overlay_filename string")
+    review = spark.createDataFrame([row(1000, "approved"), row(10000, "no"), row(10001, "no")], columns)
+    found = audits.review_violations(review, roster, F.to_date(F.lit("2025-01-01")), key="k")
+    assert checks(found) == [("decision", "sub_stroke1000"), ("decision", "sub_stroke1000"), ("review_missing", "sub_stroke1000")]
+
+
 def test_selection_and_redaction(spark):
     qc = spark.range(40).selectExpr("id as case_id", "id / 100 as coverage")
     got = [r["case_id"] for r in audits.select_for_review(qc, [20, 0], 6, 16).collect()]

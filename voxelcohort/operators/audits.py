@@ -240,19 +240,23 @@ REVIEW_COLUMNS = (
 )
 
 
-def review_violations(review: DataFrame, roster: DataFrame, today: Column | None = None, id_pattern: str = r"^sub_stroke\d{4}$") -> DataFrame:
+def review_violations(
+    review: DataFrame, roster: DataFrame, today: Column | None = None, id_pattern: str = r"^sub_stroke\d{4}$", key: str = "case_id"
+) -> DataFrame:
     """Everything that blocks a review worksheet: roster, file names, ids, decisions, sign-off.
 
-    ``roster``: ``(case_id, overlay_filename)``; all review fields are strings.
+    ``roster``: ``(case_id, overlay_filename)``; all review fields are strings. ``key`` names the column of both tables that
+    tells cases apart, where written case ids are cut to a width and may be shared.
     """
     lacking = [c for c in REVIEW_COLUMNS if c not in review.columns]
     if lacking:
         raise ValueError(f"review lacks columns {lacking}")
     now = F.current_date() if today is None else today
     text = lambda c: F.upper(F.trim(F.coalesce(F.col(c), F.lit(""))))
-    expected = roster.select("case_id", F.col("overlay_filename").alias("_file"))
-    counts = review.groupBy("case_id").agg(F.count(F.lit(1)).alias("_n"))
-    both = review.join(expected, "case_id", "full_outer").join(counts, "case_id", "left")
+    expected = roster.select(F.col(key).alias("_key"), F.col("case_id").alias("_id"), F.col("overlay_filename").alias("_file"))
+    counts = review.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n"))
+    rows = review.withColumn("_key", F.col(key))
+    both = rows.join(expected, "_key", "full_outer").join(counts, "_key", "left").withColumn("case_id", F.coalesce("case_id", "_id"))
     case = F.col("case_id")
     reviewed, listed = F.col("_n").isNotNull(), F.col("_file").isNotNull()
     decision = text("decision")
