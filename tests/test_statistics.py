@@ -5,6 +5,7 @@ import pytest
 from conftest import checks
 from pyspark.sql import functions as F
 
+from voxelcohort.functions.digests import numbered_md5
 from voxelcohort.operators import statistics as st
 
 METRICS = ["dice", "absolute_volume_difference_ml", "lesion_f1", "absolute_lesion_count_difference"]
@@ -41,6 +42,24 @@ def test_bootstrap_is_deterministic_and_matches_hash_draws(spark):
         st.bootstrap_mean_ci(df, ["v"], reps=0)
 
 
+def test_draws_in_tasks_equal_draws_by_join(spark):
+    """Groups of two sizes, a null group, null values, more repetitions than a block and more rows than a tile."""
+    df = spark.range(2 * st.DRAW_TILE).selectExpr("id as case_id", "case when id < 7 then 'a' when id > 20 then 'b' end as g", "double(id % 101) as v", "if(id % 3 = 0, null, id * 0.5D) as u")
+    found = [{(r["g"], r["rep"]): (r["v"], r["u"]) for r in st.bootstrap_means(df, ["v", "u"], reps=st.DRAW_BLOCK + 3, group=["g"], held=held).collect()} for held in (10**6, 0)]
+    assert len(found[0]) == 3 * (st.DRAW_BLOCK + 3) and found[0].keys() == found[1].keys()
+    for key, (v, u) in found[0].items():
+        assert v == pytest.approx(found[1][key][0]) and (u is None) == (found[1][key][1] is None) and (u is None or u == pytest.approx(found[1][key][1]))
+
+
+def test_numbered_md5_equals_hashlib():
+    tails = [f"|{t}|7".encode() for t in (*range(98, 102), "x" * 46, "x" * 70, "\u00e9", "")]
+    seen = {}
+    for number, at, a, b in numbered_md5(7, 103, tails):
+        seen |= {(number + r, t): (int(a[r, c]), int(b[r, c])) for r in range(len(a)) for c, t in enumerate(at)}
+    words = lambda raw: tuple(int.from_bytes(raw[i:i + 4], "little") for i in (0, 4))
+    assert seen == {(k, t): words(hashlib.md5(str(k).encode() + tails[t]).digest()) for k in range(7, 103) for t in range(len(tails))}
+
+
 def test_sign_flip_matches_enumeration(spark):
     d = [0.3, -0.1, 0.4, 0.2, 0.05]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(d)], "case_id long, v double")

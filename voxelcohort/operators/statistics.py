@@ -27,8 +27,15 @@ from voxelcohort.functions import (
     violations_union,
     with_rank,
 )
+from voxelcohort.functions.digests import numbered_md5
+from voxelcohort.functions.ordering import join_same
+from voxelcohort.session import cut_lineage
 
 REP_BLOCK = 250  # repetitions one row expands at a time; blocks spread over tasks
+DRAW_BLOCK = 125  # repetitions one task draws while it holds the values of a group
+DRAW_ROWS = 2_000_000  # largest group whose values such a task may hold; larger ones join their draws by shuffle
+DRAW_TILE = 4_096  # rows of a group that move as one
+FLIP_BLOCK = 8_192  # repetitions whose sums a task holds while rows with a hash a sign pass
 TIE = 1e-12
 SCORE_ENDPOINTS = ("dice", "lesion_f1")
 
@@ -51,27 +58,69 @@ def _spread_repetitions(df: DataFrame, reps: int, key: str) -> DataFrame:
 
 def bootstrap_means(
     df: DataFrame, values: Sequence[str], key: str = "case_id", reps: int = 10_000, seed: int = 2026,
-    group: Sequence[str] = (),
+    group: Sequence[str] = (), held: int = DRAW_ROWS,
 ) -> DataFrame:
     """Means of ``values`` in each resample of n rows with replacement: ``(<group>, rep, <values>)``.
 
-    Draw i of a repetition picks row ``md5(rep|i|seed) mod n`` of its group; all value columns
-    share draws. Draws of one row are counted before they meet the values.
+    Draw i of a repetition picks row ``md5(rep|i|seed) mod n`` of its group; all value columns share draws. Where the
+    largest group has at most ``held`` rows, which is counted, a task draws a block of repetitions from the group's values
+    and only means leave it; otherwise draws are counted a row and meet the values in a join. Both draw the same.
     """
     group = list(group)
-    rows = df.select(*group, key, *values)
+    rows = cut_lineage(df.select(*group, key, *values))
     numbered = with_rank(rows, group, [key], order_bucket(rows, key), name="_i", total="_n").withColumn("_i", F.col("_i") - 1)
+    numbered = cut_lineage(numbered)
+    largest = numbered.agg(F.max("_n")).first()[0] or 0
+    means = _drawn_in_tasks if largest <= held else _drawn_by_join
+    return means(numbered, list(values), reps, seed, group)
+
+
+def _drawn_by_join(numbered: DataFrame, values: list[str], reps: int, seed: int, group: list[str]) -> DataFrame:
     draws = _spread_repetitions(numbered.select(*group, "_i", "_n"), reps, "_i")
     picked = F.conv(F.substring(hash_key(["rep", "_i"], seed), 1, 12), 16, 10).cast("long") % F.col("_n")
+    counted = draws.select(*group, "rep", picked.alias("_i")).groupBy(*group, "rep", "_i").agg(F.count(F.lit(1)).alias("_k"))
     return (
-        draws.select(*group, "rep", picked.alias("_i"))
-        .groupBy(*group, "rep", "_i").agg(F.count(F.lit(1)).alias("_k"))
-        .join(numbered.select(*group, "_i", *values), [*group, "_i"])
+        join_same(counted, numbered.select(*group, "_i", *values), [*group, "_i"])
         .groupBy(*group, "rep")
         .agg(*[(F.sum(F.col(v) * F.col("_k")) / F.sum("_k")).alias(v) for v in values])
     )
 
 
+def _drawn_in_tasks(numbered: DataFrame, values: list[str], reps: int, seed: int, group: list[str]) -> DataFrame:
+    """A group's values travel to each block of repetitions as arrays of ``DRAW_TILE`` rows; absent values count nothing."""
+    fields = [F.coalesce(F.col(v).cast("double"), F.lit(0.0)).alias(f"v{j}") for j, v in enumerate(values)]
+    fields += [F.col(v).isNotNull().alias(f"h{j}") for j, v in enumerate(values)]
+    tiles = numbered.groupBy(*group, "_n", F.floor(F.col("_i") / DRAW_TILE).alias("_tile")).agg(
+        F.array_sort(F.collect_list(F.struct("_i", *fields))).alias("_r"))
+    arrays = [F.col(f"_r.{kind}{j}").alias(f"_{kind}{j}") for kind in "vh" for j in range(len(values))]
+    blocks = -(-reps // DRAW_BLOCK)
+    parts = max(int(numbered.sparkSession.conf.get("spark.sql.shuffle.partitions")), numbered.sparkSession.sparkContext.defaultParallelism, blocks)
+    spread = tiles.select(*group, "_n", "_tile", *arrays).withColumn("_blk", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    schema = T.StructType([*[numbered.schema[c] for c in group], T.StructField("rep", T.LongType()), *[T.StructField(v, T.DoubleType()) for v in values]])
+
+    def drawn(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("_tile")
+        n, first = int(frame["_n"].iloc[0]), int(frame["_blk"].iloc[0]) * DRAW_BLOCK
+        last = min(first + DRAW_BLOCK, reps)
+        held = [np.concatenate(frame[f"_v{j}"].to_list()) for j in range(len(values))]
+        known = [np.concatenate(frame[f"_h{j}"].to_list()) for j in range(len(values))]
+        sums, met = np.zeros((len(values), last - first)), np.zeros((len(values), last - first), dtype=bool)
+        for begin in range(0, n, 16 * DRAW_TILE):
+            tails = [f"|{i}|{seed}".encode() for i in range(begin, min(n, begin + 16 * DRAW_TILE))]
+            for number, _, a, b in numbered_md5(first, last, tails):
+                twelve = a.byteswap().astype(np.uint64) << np.uint64(16) | b.astype(np.uint16).byteswap()  # hex digits of the md5
+                at = (twelve - twelve // np.uint64(n) * np.uint64(n)).astype(np.int64)
+                own = slice(number - first, number - first + len(a))
+                for j in range(len(values)):
+                    sums[j, own] += held[j][at].sum(axis=1)
+                    met[j, own] |= True if known[j].all() else known[j][at].any(axis=1)
+        out = frame[group].iloc[np.zeros(last - first, dtype=int)].reset_index(drop=True)
+        means = {v: pd.Series(sums[j] / n).where(met[j]) for j, v in enumerate(values)}
+        return out.assign(rep=np.arange(first, last), **means)
+
+    return spread.repartition(parts, *group, "_blk").groupBy(*group, "_blk").applyInPandas(drawn, schema)
+
+
 def bootstrap_mean_ci(
     df: DataFrame, values: Sequence[str], key: str = "case_id", reps: int = 10_000, alpha: float = 0.05, seed: int = 2026,
     group: Sequence[str] = (),
@@ -157,11 +206,41 @@ def poisson_mean_ci(
     return exact_quantiles(long, [*group, "metric"], "value", {"ci_low": alpha / 2, "ci_high": 1 - alpha / 2})
 
 
+def flipped_sums(df: DataFrame, values: Sequence[str], key: str, reps: int, seed: int) -> DataFrame:
+    """``(rep, <values>)``: sums of values whose sign in a repetition is minus if ``md5(rep|key|seed)`` begins with 8 to f.
+
+    One hash a sign. Tasks hold arrays of sums, one entry a repetition; only these sums are shuffled.
+    """
+    values, blocks = list(values), -(-reps // FLIP_BLOCK)
+    rows = df.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("_key"), *[F.col(v).cast("double").alias(v) for v in values])
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
+    spread = rows.withColumn("_blk", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition(parts, "_blk", "_key")
+
+    def summed(frames):
+        held: dict = {}
+        for frame in frames:
+            for blk, own in frame.groupby("_blk", sort=False):
+                table = own[values].to_numpy(dtype=float)
+                first = int(blk) * FLIP_BLOCK
+                total = held.setdefault(first, np.zeros((min(FLIP_BLOCK, reps - first), len(values))))
+                for number, at, a, _ in numbered_md5(first, first + len(total), [f"|{k}|{seed}".encode() for k in own["_key"]]):
+                    signs = 1.0 - 2.0 * (a >> np.uint32(7) & np.uint32(1))
+                    total[number - first:number - first + len(a)] += signs @ table[at]
+        for first, total in held.items():
+            yield pd.DataFrame(total, columns=values).assign(rep=np.arange(first, first + len(total)))[["rep", *values]]
+
+    schema = T.StructType([T.StructField("rep", T.LongType()), *[T.StructField(v, T.DoubleType()) for v in values]])
+    return spread.mapInPandas(summed, schema).groupBy("rep").agg(*[F.sum(v).alias(v) for v in values])
+
+
 def sign_flip_p(
-    df: DataFrame, deltas: Sequence[str], key: str = "case_id", reps: int = 100_000, seed: int = 2026
+    df: DataFrame, deltas: Sequence[str], key: str = "case_id", reps: int = 100_000, seed: int = 2026, hash_each: bool = False
 ) -> DataFrame:
-    """Two-sided sign-flip p-value of a zero mean delta: ``(metric, p)``, never exactly zero."""
-    flipped = resampled_sums(df, deltas, key, reps, seed, _signs, 128)
+    """Two-sided sign-flip p-value of a zero mean delta: ``(metric, p)``, never exactly zero.
+
+    Signs are the 128 bits of a hash, or with ``hash_each`` each from a hash of its own.
+    """
+    flipped = flipped_sums(df, deltas, key, reps, seed) if hash_each else resampled_sums(df, deltas, key, reps, seed, _signs, 128)
     n = df.where(F.col(key).isNotNull()).agg(F.count(F.lit(1)).alias("_n"), *[F.abs(F.avg(d)).alias(f"_o_{d}") for d in deltas])
     pairs = ", ".join(f"'{d}', abs(`{d}` / _n), `_o_{d}`" for d in deltas)
     long = flipped.crossJoin(F.broadcast(n)).selectExpr(f"stack({len(deltas)}, {pairs}) as (metric, value, observed)")  # n is one row
