@@ -60,6 +60,17 @@ def test_numbered_md5_equals_hashlib():
     assert seen == {(k, t): words(hashlib.md5(str(k).encode() + tails[t]).digest()) for k in range(7, 103) for t in range(len(tails))}
 
 
+def test_summary_draws_n_rows_and_hashes_each_sign(spark):
+    d = [0.3, -0.1, 0.4, 0.2, 0.05]
+    pairs = spark.createDataFrame([(i, 0, 1.0, 0.0, v, v) for i, v in enumerate(d)], "case_id long, fold int, reference_volume_ml double, a_v double, b_v double, delta_v double")
+    row = st.paired_summary(pairs, ["v"], 300, 400).first()
+    means = [np.mean([d[pick(r, i, 5, 2026)] for i in range(5)]) for r in range(300)]
+    assert np.allclose([row["ci_low"], row["ci_high"]], np.quantile(means, [0.025, 0.975]))
+    sign = lambda r, i: 1 if hashlib.md5(f"{r}|{i}|2126".encode()).hexdigest()[0] < "8" else -1
+    tail = sum(abs(np.mean([sign(r, i) * v for i, v in enumerate(d)])) >= abs(np.mean(d)) - 1e-12 for r in range(400))
+    assert row["p"] == pytest.approx((tail + 1) / 401)
+
+
 def test_sign_flip_matches_enumeration(spark):
     d = [0.3, -0.1, 0.4, 0.2, 0.05]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(d)], "case_id long, v double")

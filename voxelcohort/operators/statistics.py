@@ -317,7 +317,8 @@ def long_pairs(pairs: DataFrame, metrics: Sequence[str]) -> DataFrame:
 def paired_summary(
     pairs: DataFrame, metrics: Sequence[str], bootstrap_reps: int = 20_000, flip_reps: int = 100_000, seed: int = 2026
 ) -> DataFrame:
-    """Per metric: arm means, delta statistics, paired effect size, interval (Poisson resampling) and p-values."""
+    """Per metric: arm means, delta statistics, paired effect size, interval (n draws a resample) and p-values (a hash a sign)."""
+    pairs = cut_lineage(pairs)
     long = long_pairs(pairs, metrics)
     sd = F.stddev_samp("delta")
     stats = long.groupBy("metric").agg(
@@ -326,8 +327,8 @@ def paired_summary(
     )
     quartiles = exact_quantiles(long, ["metric"], "delta", {"delta_q1": 0.25, "delta_median": 0.5, "delta_q3": 0.75})
     deltas = pairs.select("case_id", *[F.col(f"delta_{m}").alias(m) for m in metrics])
-    interval = poisson_mean_ci(deltas, metrics, reps=bootstrap_reps, seed=seed)
-    p = holm_adjust(sign_flip_p(deltas, metrics, reps=flip_reps, seed=seed + 100))
+    interval = bootstrap_mean_ci(deltas, metrics, reps=bootstrap_reps, seed=seed)
+    p = holm_adjust(sign_flip_p(deltas, metrics, reps=flip_reps, seed=seed + 100, hash_each=True))
     return stats.join(quartiles, "metric").join(interval, "metric").join(p, "metric")
 
 

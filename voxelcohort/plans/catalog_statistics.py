@@ -38,7 +38,16 @@ def flip_sql(seed: int) -> str:
 fh AS (SELECT d.*, r.range AS blk, md5(concat_ws('|', r.range, case_id, '{seed}')) AS m FROM d, range({-(-FLIPS // 128)}) r),
 fs AS (SELECT blk * 128 + j.range AS rep, dice, avd,
   1 - 2 * (((strpos('0123456789abcdef', substr(m, CAST(j.range // 4 + 1 AS BIGINT), 1)) - 1) >> CAST(3 - j.range % 4 AS BIGINT)) & 1) AS s FROM fh, range(128) j),
-fl AS (SELECT rep, abs(avg(s * dice)) AS dice, abs(avg(s * avd)) AS avd FROM fs WHERE rep < {FLIPS} GROUP BY 1),
+fl AS (SELECT rep, abs(avg(s * dice)) AS dice, abs(avg(s * avd)) AS avd FROM fs WHERE rep < {FLIPS} GROUP BY 1),""" + P_SQL
+
+
+def flip_each_sql(seed: int) -> str:
+    return f"""
+fl AS (SELECT r.range AS rep, abs(avg(s * dice)) AS dice, abs(avg(s * avd)) AS avd FROM (
+  SELECT d.*, CASE WHEN substr(md5(concat_ws('|', r.range, case_id, '{seed}')), 1, 1) < '8' THEN 1 ELSE -1 END AS s, r.range FROM d, range({FLIPS}) r) r GROUP BY 1),""" + P_SQL
+
+
+P_SQL = f"""
 pv AS (SELECT 'dice' AS metric, (count(*) FILTER (dice >= (SELECT abs(avg(dice)) FROM d) - 1e-12) + 1) / CAST({FLIPS + 1} AS DOUBLE) AS p FROM fl
   UNION ALL SELECT 'avd', (count(*) FILTER (avd >= (SELECT abs(avg(avd)) FROM d) - 1e-12) + 1) / CAST({FLIPS + 1} AS DOUBLE) FROM fl),
 holm AS (SELECT metric, p, least(1.0, max(step) OVER (ORDER BY p, metric ROWS UNBOUNDED PRECEDING)) AS holm_p
@@ -113,7 +122,7 @@ def pair_arms_violations(spark, sf):
     return st.pair_arms(left, right, METRICS, {f: 18 for f in range(5)})[1]
 
 
-PAIRED_SQL = DELTAS_SQL + "," + POISSON_SQL + "," + flip_sql(SEED + 100) + """,
+PAIRED_SQL = DELTAS_SQL + "," + BOOT_SQL + "," + flip_each_sql(SEED + 100) + """,
 l AS (SELECT 'dice' AS metric, a_dice AS a, b_dice AS b, dice AS delta FROM d UNION ALL SELECT 'avd', a_avd, b_avd, avd FROM d),
 ps AS (SELECT l.metric, count(*) AS n, avg(a) AS a_mean, avg(b) AS b_mean, avg(delta) AS delta_mean, avg(delta) / stddev_samp(delta) AS cohens_dz,
   quantile_cont(delta, 0.25) AS delta_q1, quantile_cont(delta, 0.5) AS delta_median, quantile_cont(delta, 0.75) AS delta_q3 FROM l GROUP BY l.metric),
