@@ -140,3 +140,15 @@ def test_conditions_are_evaluated_like_single_runs(spark, lesions):
             alone = classifier.evaluate_scored(scored.where(F.col("condition") == s), shapes, radius, s).collect()
             assert {(f"{s}_close_{radius}", r["case_id"]): (r["dice"], r["auc"]) for r in alone}.items() <= together.items()
     assert len(together) == 8
+
+
+def test_held_out_scores_without_stored_features(lesions):
+    """Drawing the sample from keys first fits and scores the same as features of every image."""
+    pixels, split = lesions
+    conditions = [Condition("a", "all", models.RbfSvmConfig(components=16, max_iter=5))]
+    data = classifier.with_roles(classifier.prepare_pixels(pixels), split).withColumn("data", F.lit("all"))
+    seen = []
+    prepare = {"all": lambda images: seen.append(images.select("case_id").distinct().count()) or classifier.prepare_pixels(images)}
+    held = classifier.score_held_out(pixels, split, prepare, conditions, 1)
+    assert sorted(map(tuple, held.collect())) == sorted(map(tuple, classifier.scored_conditions(data, conditions, 1).collect()))
+    assert seen[0] <= split.where("role = 'test'").count() + 2

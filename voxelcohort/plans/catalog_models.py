@@ -92,8 +92,8 @@ def histogram_eval(spark, sf):
 def morphology_sweep(spark, sf):
     pixels = pixels_of(spark, sf)
     conditions = [Condition(s, "all", models.RbfSvmConfig(scaler=s)) for s in classifier.MORPHOLOGY_SCALERS]
-    data = cut_lineage(classifier.with_roles(classifier.prepare_pixels(pixels), split_of(pixels)).withColumn("data", F.lit("all")))
-    return classifier.morphology_sweep(classifier.scored_conditions(data, conditions, TARGET), classifier.image_shapes(pixels))
+    scored = classifier.score_held_out(pixels, split_of(pixels), {"all": classifier.prepare_pixels}, conditions, TARGET)
+    return classifier.morphology_sweep(scored, classifier.image_shapes(pixels))
 
 
 @query("split_sweep")

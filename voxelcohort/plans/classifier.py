@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from functools import reduce
+from functools import partial, reduce
 from itertools import product
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,9 +49,10 @@ def prepare_pixels(
 ) -> DataFrame:
     """Preprocess, nine features, then brain pixels only; ``label`` becomes 0 or 1.
 
-    The brain filter stays behind the windows, which need whole images.
+    The brain filter stays behind the windows, which need whole images. Images are single slices, so pixels move once, dealt
+    by image, and every window finds its line in place.
     """
-    return _featured(preprocess.preprocess(pixels, mode, median_size, image), options, image)
+    return _featured(preprocess.preprocess(pixels.repartition(*image), mode, median_size, image), options, image)
 
 
 def _featured(filtered: DataFrame, options: Mapping[str, object] | None, image: Sequence[str] = ("case_id",)) -> DataFrame:
@@ -63,13 +64,17 @@ def image_shapes(pixels: DataFrame) -> DataFrame:
     return pixels.groupBy("case_id").agg((F.max("row") + 1).alias("height"), (F.max("col") + 1).alias("width"))
 
 
+def closed_overlap(scored: DataFrame, shapes: DataFrame, close_radius: int) -> DataFrame:
+    """Per-case overlap of scored brain pixels after closing the predicted mask; what closing adds outside them is no row."""
+    pixel = ["case_id", "row", "col"]
+    closed = masks.close_2d(scored.where("prediction > 0").select(*pixel), shapes, close_radius).select(*pixel, F.lit(1).alias("_closed"))
+    return metrics.overlap_metrics_dense(scored.join(closed, pixel, "left"), F.col("label") == 1, F.col("_closed").isNotNull())
+
+
 def evaluate_scored(scored: DataFrame, shapes: DataFrame, close_radius: int, model: str) -> DataFrame:
     """Per-case metrics of scored brain pixels after closing the predicted mask."""
-    keys = ["case_id", F.lit(0).alias("z"), F.col("row").alias("y"), F.col("col").alias("x")]
-    restored = masks.restore_mask(scored, scored, shapes, close_radius)
-    rows = metrics.overlap_metrics(scored.where("label = 1").select(*keys), restored.select(*keys), scored)
     auc = metrics.roc_auc(scored, "score", "label").select("case_id", "auc")
-    return rows.join(auc, "case_id", "left").withColumn("model", F.lit(model))
+    return closed_overlap(scored, shapes, close_radius).join(auc, "case_id", "left").withColumn("model", F.lit(model))
 
 
 def train_eval(
@@ -141,13 +146,17 @@ def evaluate_conditions(scored: DataFrame, shapes: DataFrame, radii: Sequence[in
     """Case metrics of ``(condition, case_id, row, col, label, score, prediction)``, all conditions in one plan.
 
     Every (condition, case) is an image of its own. With several ``radii`` the closing radius joins the condition's name.
+    Scored pixels are stored once, dealt by image, which the steps per image need.
     """
     image = F.concat_ws("|", "condition", "case_id")
-    sized = scored.select("condition", "case_id").distinct().join(shapes, "case_id").withColumn("case_id", image).drop("condition")
-    images = scored.withColumn("case_id", image).drop("condition")
+    images = cut_lineage(scored.withColumn("_case", F.col("case_id")).withColumn("case_id", image).drop("condition").repartition("case_id"))
+    sized = images.select("case_id", "_case").distinct().join(shapes.withColumnRenamed("case_id", "_case"), "_case").drop("_case")
+    sized = cut_lineage(sized) if len(radii) > 1 else sized
+    auc = metrics.roc_auc(images, "score", "label").select("case_id", "auc")
+    auc = cut_lineage(auc) if len(radii) > 1 else auc  # the same under every radius
     parts = []
     for radius in radii:
-        rows = evaluate_scored(images, sized, radius, "")
+        rows = closed_overlap(images, sized, radius).join(auc, "case_id", "left")
         name = F.substring_index("case_id", "|", 1)
         rows = rows.withColumn("model", name if len(radii) == 1 else F.concat(name, F.lit(f"_close_{radius}")))
         parts.append(rows.withColumn("case_id", F.expr("substr(case_id, instr(case_id, '|') + 1)")))
@@ -197,7 +206,34 @@ def scored_conditions(data: DataFrame, conditions: Sequence[Condition], target:
     train = data.where("role = 'train'")
     sample = splits.balanced_sample(train, "label", ["data", "case_id", "row", "col"], target, seed, group=["data"])
     fitted = fit_svms(sample, conditions)
-    return cut_lineage(score_svms(data.where("role = 'test'"), conditions, fitted, ["case_id", "row", "col", "label"]))
+    return score_svms(data.where("role = 'test'"), conditions, fitted, ["case_id", "row", "col", "label"])
+
+
+def score_held_out(
+    pixels: DataFrame, split: DataFrame, prepare: Mapping[str, Callable[[DataFrame], DataFrame]], conditions: Sequence[Condition],
+    target: int, seed: int = 2026,
+) -> DataFrame:
+    """Held-out scores of every condition, as ``scored_conditions``; ``prepare`` gives the features of each data set.
+
+    The sample is drawn from keys and labels before there are features, so these are made for the images of sampled and of
+    held-out pixels only, and only those pixels are stored.
+    """
+    needed = [n for n in prepare if n in {c.data for c in conditions}]
+    roles = with_roles(pixels, split)
+    train = roles.where("role = 'train'").where(masks.brain_mask(F.col("value")))
+    keys = train.select("case_id", "row", "col", (F.col("label").cast("int") > 0).cast("int").alias("label"))
+    named = keys.withColumn("data", F.explode(F.array(*[F.lit(n) for n in needed])))
+    pixel, parts = ["case_id", "row", "col"], []
+    drawn = cut_lineage(splits.balanced_sample(named, "label", ["data", *pixel], target, seed, group=["data"]).select("data", *pixel))
+    for name in needed:
+        own = drawn.where(F.col("data") == name).select(*pixel, F.lit(True).alias("drawn"))  # at most 2 * target rows
+        images = F.broadcast(own.select("case_id", F.lit(True).alias("_any")).distinct())
+        wanted = roles.join(images, "case_id", "left").where("role = 'test' or _any").drop("_any")
+        feats = prepare[name](wanted).join(F.broadcast(own), pixel, "left").where("role = 'test' or drawn")
+        parts.append(feats.withColumn("data", F.lit(name)))
+    data = cut_lineage(reduce(DataFrame.unionByName, parts))
+    fitted = fit_svms(data.where("drawn"), conditions)
+    return score_svms(data.where("role = 'test'"), conditions, fitted, [*pixel, "label"])
 
 
 def _grid(data: DataFrame, shapes: DataFrame, conditions: Sequence[Condition], target: int, todo: Sequence[str]) -> DataFrame:
@@ -217,10 +253,10 @@ def feature_sweep(
 ) -> DataFrame:
     """Every feature variant; the images of all variants are one table."""
     def run(todo: list[str]) -> DataFrame:
-        parts = [prepare_pixels(pixels, mode, {"threshold": threshold, "mode": run_mode}).withColumn("data", F.lit(name))
-                 for name, (mode, run_mode, threshold) in variants.items() if name in todo]
-        data = cut_lineage(with_roles(reduce(DataFrame.unionByName, parts), split))
-        return _grid(data, image_shapes(pixels), [Condition(n, n, config) for n in variants], target, todo)
+        prepare = {name: partial(prepare_pixels, mode=mode, options={"threshold": threshold, "mode": run_mode})
+                   for name, (mode, run_mode, threshold) in variants.items()}
+        scored = score_held_out(pixels, split, prepare, [Condition(n, n, config) for n in variants if n in todo], target)
+        return summarize(evaluate_conditions(scored, image_shapes(pixels))).withColumnRenamed("model", "condition")
 
     return run_grid(spark, list(variants), run, path)
 
@@ -252,8 +288,8 @@ def svm_sweep(
     ]
 
     def run(todo: list[str]) -> DataFrame:
-        data = cut_lineage(with_roles(prepare_pixels(pixels), split).withColumn("data", F.lit("all")))
-        return _grid(data, image_shapes(pixels), conditions, target, todo)
+        scored = score_held_out(pixels, split, {"all": prepare_pixels}, [c for c in conditions if c.name in todo], target)
+        return summarize(evaluate_conditions(scored, image_shapes(pixels))).withColumnRenamed("model", "condition")
 
     return run_grid(spark, [c.name for c in conditions], run, path)
 
@@ -273,7 +309,7 @@ def leakage_sweep(
         feats = cut_lineage(prepare_pixels(pixels))
         parts = [splits.pixel_partition(feats, ["row", "col"], *fractions).withColumn("data", F.lit(name)) for name, fractions in partitions.items()]
         data = cut_lineage(reduce(DataFrame.unionByName, parts))
-        scored = scored_conditions(data, [c for c in conditions if c.name in todo], target)
+        scored = cut_lineage(scored_conditions(data, [c for c in conditions if c.name in todo], target))
         image = F.concat_ws("|", "condition", "case_id")
         images = scored.withColumn("case_id", image)
         rows = metrics.overlap_metrics_dense(images, F.col("label") == 1, F.col("prediction") == 1)
