@@ -6,6 +6,7 @@ import os
 import struct
 
 import numpy as np
+import pandas as pd
 import pytest
 from conftest import checks
 from pyspark.sql import functions as F
@@ -217,3 +218,14 @@ def test_redelivered_case_leaves_one_row_and_a_repeated_batch_changes_nothing(sp
             os.remove(path)
     run()
     assert sorted(map(str, current_rows(spark, out).collect())) == before
+
+
+def test_slabs_of_many_small_files_share_a_table():
+    head = bytearray(352)
+    for form, at, numbers in (("<i", 0, (348,)), ("<8h", 40, (3, 2, 2, 1, 1, 1, 1, 1)), ("<2h", 70, (16, 32)), ("<8f", 76, (1,) * 8), ("<3f", 108, (352, 1, 0))):
+        struct.pack_into(form, head, at, *numbers)
+    head[344:348] = b"n+1\0"
+    files = pd.DataFrame({"path": [str(i) for i in range(50)], "content": [bytes(head) + np.full(4, i, "<f4").tobytes() for i in range(49)] + [b"short"]})
+    made = list(volumes._read_slabs(iter([files])))
+    assert len(made) == 1 and list(made[0]["path"]) == list(files["path"]) and made[0]["error"].notna().sum() == 1
+    assert [float(v[0]) for v in made[0]["values"][:49]] == list(range(49))
