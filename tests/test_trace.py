@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from voxelcohort.operators import trace as contract
 from voxelcohort.session import scratch_path
-from voxelcohort.streaming.trace_state import violations_so_far, watch_trace_stream
+from voxelcohort.streaming.trace_state import SHARDS, violations_so_far, watch_trace_stream
 from voxelcohort.streaming.trace_stream import judge_trace_stream, latest_violations
 
 EPOCHS, TRAIN, OUTER = 5, list(range(8)), list(range(100, 103))
@@ -127,3 +127,20 @@ def test_state_of_an_empty_stream_and_unread_order(spark):
     assert [r for r in got if r[0] == "sequence"] == [("sequence", "r/", ""), ("sequence", "r/3", "train_step")]
     assert sum(r[0] == "milestone_missing" for r in got) == 3
     assert violations_so_far(spark, scratch_path(spark, "nothing")).count() == 0
+
+
+def test_state_serves_many_runs_by_few_keys(spark):
+    """The state of a shard's runs is read and written together: rows and timers do not grow with the runs."""
+    events = spark.range(4_000).selectExpr("cast(id as string) as run_id", "id as seq", "timestamp_seconds(1000 + id) as ts", f"'{contract.STEP}' as type", "'0' as case_id", "2 as epoch")
+    beat = events.limit(1).withColumn("run_id", F.lit(None).cast("string")).withColumn("ts", F.timestamp_seconds(F.lit(9_000)))
+    incoming, path = scratch_path(spark, "many-in"), scratch_path(spark, "many-out")
+    for part in (events, beat):
+        part.coalesce(1).write.mode("append").parquet(incoming)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(incoming)
+    role = spark.createDataFrame([("0", "train")], "case_id string, role string")
+    query = watch_trace_stream(stream, role, 1, path, scratch_path(spark, "many-cp"), delay="1 minute", idle="1 day")
+    query.awaitTermination()
+    operators = [p["stateOperators"][0] for p in query.recentProgress]
+    assert max(o["numRowsTotal"] for o in operators) <= 4 * SHARDS and max(o["customMetrics"]["numRegisteredTimers"] for o in operators) <= 2 * SHARDS
+    got = violations_so_far(spark, path)
+    assert got.count() == got.where("check = 'step_order'").count() == 4_000
