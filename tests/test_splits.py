@@ -90,6 +90,20 @@ def test_support_sample_limits_and_minimum(spark):
     assert checks(splits.support_sample_violations(df)) == [("too_few_samples", "few/mtt")]
 
 
+def test_support_sample_takes_small_groups_whole(spark, capsys):
+    """Groups within the limit, null ones too, are not ranked; beside larger ones the sample is the same."""
+    small = spark.range(90).selectExpr("if(id < 60, 'a', null) as case_id", "'mtt' as channel", "0 as z", "0 as y", "id as x", "double(id) as value")
+    got = splits.support_sample(small, 64)
+    got.explain()
+    assert "row_number" not in capsys.readouterr().out
+    assert sorted(r["x"] for r in got.collect()) == list(range(90))
+    large = spark.range(500).selectExpr("'b' as case_id", "'mtt' as channel", "0 as z", "0 as y", "id as x", "double(id) as value")
+    both = splits.support_sample(small.unionByName(large), 64)
+    rank = "row_number() over (order by md5(concat_ws('|', case_id, channel, z, y, x, '2026')), z, y, x) as p"
+    want = large.selectExpr("*", rank).where("p <= 64").drop("p").unionByName(small)
+    assert sorted(map(str, both.collect())) == sorted(map(str, want.collect()))
+
+
 def test_stride_samples(spark):
     df = spark.range(60).selectExpr("'a' as case_id", "'c' as channel", "id div 20 as z", "(id % 20) div 5 as y", "id % 5 as x",
                                     "if(id = 4, double('NaN'), double(id)) as value")
