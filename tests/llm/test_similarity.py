@@ -93,6 +93,23 @@ def test_jaccard_keeps_one_and_handles_nulls(spark):
     assert jaccard_join.near_duplicates(corpus.empty(spark)).count() == 0
 
 
+def test_jaccard_entries_are_formed_once(spark):
+    formed = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            formed.add(batch.num_rows)
+            yield batch
+
+    rows = [(1, 5, 8, 0), (1, 7, 8, 1), (1, 6, 9, 0), (2, 5, 8, 1), (3, 6, 9, 2), (3, 9, 9, 0)]
+    schema = "key long, rid long, n int, place int"
+    postings = spark.createDataFrame(rows, schema).repartition(2).mapInArrow(counted, schema)
+    got = sorted(tuple(r) for r in jaccard_join._shared(postings).collect())
+    ends = {1: (5, 7), 3: (6, 9)}
+    assert got == sorted((*r, *ends[r[0]]) for r in rows if r[0] in ends)
+    assert formed.value == len(rows)
+
+
 def test_boundary_weighs_subsets_against_lists():
     assert jaccard_join.boundary({5: 100, 6: 100}, 0.0) < jaccard_join.boundary({5: 100, 6: 100}, 50.0) <= jaccard_join.MOST_LIGHT
     assert jaccard_join.least_overlap(7, 7) == 6 and jaccard_join._light_counts(8) == [6, 7]
