@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -135,6 +136,31 @@ def test_phrases_equal_counting_all(spark, monkeypatch, hot, rows_at_once):
     assert sorted(tuple(r) for r in got) == phrases_by_hand(rows, 4, 25)
 
 
+def test_phrases_move_no_rare_phrase(spark, monkeypatch):
+    """All pairs are frequent and nearly all phrases of three words rare: only the frequent ones become pointers."""
+    rng = random.Random(2)
+    rows = [(" ".join(f"w{rng.randrange(12)}" for _ in range(100)) + ". w1 w2 w3 w4", "en") for _ in range(60)]
+    moved, sort = [], phrases._sorted_counts
+    monkeypatch.setattr(phrases, "_sorted_counts", lambda pointers, least: moved.append(pointers.agg(F.sum("c")).first()[0]) or sort(pointers, least))
+    got = phrases.collocations(frame(spark, *map(list, zip(*rows))), least=20, top=50).collect()
+    assert sorted(tuple(r) for r in got) == phrases_by_hand(rows, 20, 50)
+    assert 120 <= moved[0] < 300  # 5,880 before
+
+
+@pytest.mark.parametrize("held", [50, 10**6])
+def test_phrase_buckets_add_up_over_blocks(spark, monkeypatch, held):
+    monkeypatch.setattr(phrases, "HELD_PHRASES", held)
+    monkeypatch.setattr(phrases, "BLOCK_BYTES", 200)
+    rows = worded(7)
+    docs = frame(spark, *map(list, zip(*rows))).select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").repartition(5)
+    often = phrases._filter(phrases._often(docs, 300))
+    names, hashes, _ = phrases._languages(pa.array(["en", "und", "en"]))
+    data = np.frombuffer(b"w1 w1 w3 rare", dtype=np.uint8)
+    h, _, _, _, left = phrases.words_of(data, np.array([0, len(data)]))
+    levels = [at.tolist() for at, _ in phrases.growing(h, np.full(len(h), hashes[0]), left, often)]
+    assert levels[0][:2] == [0, 1] and levels[1][:1] == [0] and 3 not in levels[0]
+
+
 def test_phrases_do_not_depend_on_the_filter(spark, monkeypatch):
     monkeypatch.setattr(phrases, "FILTER_BITS", 64)  # full: everything passes and is counted
     rows = worded(6)

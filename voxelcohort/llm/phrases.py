@@ -2,16 +2,18 @@
 
 Words are compared by 64-bit hashes. Three passes read the texts, each adding up map-side before it shuffles:
 
-1. words of each language with their counts;
-2. pairs of neighbouring words that are both frequent;
-3. the suffix pointers, up to five words long, all of whose pairs are frequent. They are routed by their leading words, so
+1. the occurrences of all phrases of one to five words, added up in 2^32 buckets of their hashes. A bucket travels as the
+   low 16 bits of its number and its count, in blocks of neighbouring buckets, so what moves grows as the texts do;
+2. words and pairs in buckets that reach the least count, each language with its number of words;
+3. the suffix pointers, cut behind their longest beginning in such buckets. They are routed by their leading words, so
    that all pointers with the same beginning meet in one task. There a three-way multikey quicksort splits them by one word
    after the other: the size of a part with equal words is the count of that beginning, and parts below the least count
    are abandoned at once.
 
-Which words and pairs are frequent is known to tasks through filters of ``FILTER_BITS`` bits, fixed at any size of corpus;
-what one lets through by mistake is counted and then dropped. Pointers whose leading pair is very common are routed by all
-their words instead, sorted without abandoning, and their partial counts are added up, so no task gets a hot beginning.
+Which buckets reach the least count is known to tasks through a filter of at most ``FILTER_BITS`` bits; what it or a bucket
+shared by several phrases lets through by mistake is counted by its words and then dropped. Pointers whose leading pair is
+very common are routed by all their words instead, sorted without abandoning, and their partial counts are added up, so no
+task gets a hot beginning.
 
 Defined results: null texts are empty, null languages ``und``; empty texts hold no words; very long texts are cut between
 pieces, so memory is bounded by ``BLOCK_BYTES`` or the longest piece; repeated rows count again; ties follow the order of
@@ -37,7 +39,13 @@ LONGEST = 5
 LEAST = 100
 TOP = 2_000
 BLOCK_BYTES = 1_048_576
-FILTER_BITS = 1 << 25
+FILTER_BITS = 1 << 27
+# Buckets are dealt in parts of 2^PART_BITS, their places written in 16 bits by runs; occurrences held before they are added up.
+PART_BITS = 22
+RUN_BITS = 16
+HELD_PHRASES = 6_000_000
+# Parts in which the entries of a tally travel.
+ENTRY_PARTS = 256
 # A leading pair met more often than this is routed by all words; pointers sorted at once; entries held before emission.
 HOT_PAIR = 200_000
 SORTED_ROWS = 400_000
@@ -92,21 +100,90 @@ def _languages(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 
 def passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Whether each key may be in the filter; never false for a key that is."""
-    a, b = keys & np.uint64(FILTER_BITS - 1), (keys >> np.uint64(32)) & np.uint64(FILTER_BITS - 1)
+    last = np.uint64(64 * len(bits) - 1)
+    a, b = keys & last, (keys >> np.uint64(32)) & last
     inside = lambda slot: (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1)
     return (inside(a) & inside(b)).astype(bool)
 
 
 def _filter(keys: DataFrame) -> np.ndarray:
     """Filter of the column ``key``; its ones are formed by Spark, at most ``FILTER_BITS`` / 64 words reach the driver."""
-    slot = F.explode(F.array(F.col("key").bitwiseAND(FILTER_BITS - 1), F.shiftrightunsigned("key", 32).bitwiseAND(FILTER_BITS - 1)))
+    size = max(64, min(FILTER_BITS, 1 << (16 * keys.count()).bit_length()))
+    slot = F.explode(F.array(F.col("key").bitwiseAND(size - 1), F.shiftrightunsigned("key", 32).bitwiseAND(size - 1)))
     words = keys.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 AS INT))")).alias("bits")).toArrow()
-    bits = np.zeros(FILTER_BITS // 64, dtype=np.uint64)
+    bits = np.zeros(size // 64, dtype=np.uint64)
     bits[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
     return bits
 
 
+def growing(h: np.ndarray, own: np.ndarray, left: np.ndarray, often: np.ndarray | None = None):
+    """(places, keys) of the phrases of one word, of two, up to ``LONGEST``; a place whose phrase is in no bucket of the
+    filter ``often`` is left out from there on."""
+    at, key = np.arange(len(h)), mix(h ^ own)
+    for width in range(1, LONGEST + 1):
+        if width > 1:
+            inside = left[at] >= width
+            at = at[inside]
+            key = mix((key[inside] * PLACE_STEP) ^ h[at + width - 1])
+        if often is not None:
+            kept = passes(often, mix(key >> np.uint64(32)))
+            at, key = at[kept], key[kept]
+        yield at, key
+
+
+def _often(docs: DataFrame, least: int) -> DataFrame:
+    """(key) of the buckets in which phrases of one to ``LONGEST`` words occur ``least`` times, by a mixed bucket number."""
+    runs, inside = 1 << (PART_BITS - RUN_BITS), (1 << RUN_BITS) - 1
+
+    def blocks(batches):
+        held, size = [], 0
+
+        def closed():
+            buckets, counts = np.unique(np.concatenate(held), return_counts=True)
+            run = np.searchsorted(buckets, np.arange(0, (1 << 32) + 1, 1 << RUN_BITS))
+            low, times = (buckets & inside).astype(np.uint16), np.minimum(counts, least).astype(np.int32)
+            cut = run[::runs]
+            parts = np.flatnonzero(np.diff(cut))
+            per = np.diff(run).astype(np.int32).reshape(-1, runs)
+            binary = lambda values: pa.array([values[cut[k]:cut[k + 1]].tobytes() for k in parts], pa.binary())
+            return pa.RecordBatch.from_arrays(
+                [pa.array(parts.astype(np.int32)), pa.array([per[k].tobytes() for k in parts], pa.binary()), binary(low), binary(times)], names=["part", "per", "low", "times"])
+
+        for batch in batches:
+            _, hashes, of = _languages(batch.column(0))
+            for rows, data, offsets in _parts(batch.column(1)):
+                h, _, _, row, left = words_of(data, offsets)
+                for _, key in growing(h, hashes[of[rows][row]], left):
+                    held.append((key >> np.uint64(32)).astype(np.uint32))
+                    size += len(key)
+                if size >= HELD_PHRASES:
+                    yield closed()
+                    held, size = [], 0
+        if size:
+            yield closed()
+
+    def summed(batches):
+        part, total = None, np.zeros(1 << PART_BITS, dtype=np.int32)
+
+        def closed():
+            found = np.flatnonzero(total >= least).astype(np.uint64)
+            return pa.RecordBatch.from_arrays([pa.array(mix(found + np.uint64((part or 0) << PART_BITS)).view(np.int64))], names=["key"])
+
+        for batch in batches:
+            for own, per, low, times in zip(*[batch.column(k).to_pylist() for k in range(4)]):
+                if own != part:
+                    yield closed()
+                    part = own
+                    total[:] = 0
+                place = (np.repeat(np.arange(runs), np.frombuffer(per, dtype=np.int32)) << RUN_BITS) + np.frombuffer(low, dtype=np.uint16)
+                total[place] = np.minimum(total[place] + np.frombuffer(times, dtype=np.int32), least)  # a block names a bucket once
+        yield closed()
+
+    dealt = docs.mapInArrow(blocks, "part int, per binary, low binary, times binary").repartition("part").sortWithinPartitions("part")
+    return dealt.mapInArrow(summed, "key long")
+
+
 class Tally:
     """Counts by 64-bit key with one example row a key, merged whenever many entries have gathered."""
 
@@ -114,14 +191,14 @@ class Tally:
         self.parts, self.rows = [], 0
 
     def add(self, keys: np.ndarray, counts: np.ndarray, rows: pa.Table):
-        """One entry a key; full tallies come back as (counts, rows)."""
+        """Full tallies come back as (keys, counts, rows)."""
         self.parts.append((keys, counts, rows))
         self.rows += len(keys)
         if self.rows > 2 * HELD_ROWS:
-            counts, rows = self.merged()
+            full = self.merged()
             if self.rows > HELD_ROWS:
                 self.parts, self.rows = [], 0
-                yield counts, rows
+                yield full
 
     def merged(self):
         if not self.parts:
@@ -131,20 +208,27 @@ class Tally:
         counts = np.bincount(of, counts).astype(np.int64)
         rows = pa.concat_tables([p[2] for p in self.parts]).take(first).combine_chunks()
         self.parts, self.rows = [(keys, counts, rows)], len(keys)
-        return counts, rows
+        return keys, counts, rows
 
 
 def _tallied(docs: DataFrame, found, schema: str) -> DataFrame:
     """Rows of ``found(names, name hashes, name of row, data, offsets)`` -> (keys, counts, row table) blocks, added up in
-    each task; the schema ends with the count."""
+    each task and again where the entries of a part of the keys meet; the schema ends with the count."""
     names = [c.split()[0] for c in schema.split(", ")]
 
     def counted(batches):
         tally = Tally()
 
         def batch_of(full):
-            counts, rows = full
-            return pa.RecordBatch.from_arrays([*[c.combine_chunks() for c in rows.columns], pa.array(counts)], names=names)
+            keys, counts, rows = full
+            part = (keys % np.uint64(ENTRY_PARTS)).astype(np.int32)
+            order = np.argsort(part, kind="stable")
+            cut = np.searchsorted(part[order], np.arange(ENTRY_PARTS + 1)).astype(np.int32)
+            columns = [pa.array(keys.view(np.int64)), *[c.combine_chunks() for c in rows.columns], pa.array(counts)]
+            entries = pa.StructArray.from_arrays([c.take(pa.array(order)) for c in columns], names=["whole", *names])
+            parts = np.flatnonzero(np.diff(cut))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(parts.astype(np.int32)), pa.ListArray.from_arrays(pa.array(np.append(cut[parts], cut[-1])), entries)], names=["part", "entries"])
 
         for batch in batches:
             langs, hashes, of = _languages(batch.column(0))
@@ -152,10 +236,28 @@ def _tallied(docs: DataFrame, found, schema: str) -> DataFrame:
                 for full in tally.add(*found(langs, hashes, of[row], data, offsets)):
                     yield batch_of(full)
         last = tally.merged()
+        if last and len(last[0]):
+            yield batch_of(last)
+
+    def added(batches):
+        tally = Tally()
+
+        def batch_of(full):
+            _, counts, rows = full
+            return pa.RecordBatch.from_arrays([*[c.combine_chunks() for c in rows.columns], pa.array(counts)], names=names)
+
+        for batch in batches:
+            for first in range(0, len(batch), 64):
+                whole, *columns, counts = batch.column("entries").slice(first, 64).flatten().flatten()
+                for full in tally.add(whole.to_numpy().view(np.uint64), counts.to_numpy(), pa.table(columns, names=names[:-1])):
+                    yield batch_of(full)
+        last = tally.merged()
         if last:
             yield batch_of(last)
 
-    return docs.mapInArrow(counted, schema)
+    entry = ", ".join(f"{c.split()[0]}: {c.split()[1]}" for c in schema.split(", "))
+    blocks = docs.mapInArrow(counted, f"part int, entries array<struct<whole: long, {entry}>>")
+    return blocks.repartition("part").select("entries").mapInArrow(added, schema)
 
 
 def _unique(keys: np.ndarray):
@@ -170,69 +272,54 @@ def _bytes(matrix: np.ndarray, width: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(width), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(matrix[keep]))])
 
 
-def _word_counts(docs: DataFrame) -> DataFrame:
-    """(lang, word, path, key, c) of all words; the row with null word counts all words of the language."""
+def _short_counts(docs: DataFrame, often) -> DataFrame:
+    """(lang, word, path, key, c) of words and of pairs, whose word is null, in the buckets of the filter; the row with an
+    empty path counts all words of the language."""
 
     def found(langs, hashes, of, data, offsets):
-        h, starts, ends, row, _ = words_of(data, offsets)
-        keys, first, counts = _unique(mix(h ^ hashes[of[row]]))
+        h, starts, ends, row, left = words_of(data, offsets)
+        levels = growing(h, hashes[of[row]], left, often.value)
+        (at, one), (two_at, two) = next(levels), next(levels)
+        (one, first, c1), (two, two_first, c2) = _unique(one), _unique(two)
+        at, two_at = at[first], two_at[two_first]
         low = textgrid.LOWER[data]
-        size = ends[first] - starts[first]
-        cut = np.concatenate([[0], np.cumsum(size)])
-        flat = low[np.arange(cut[-1]) - np.repeat(cut[:-1], size) + np.repeat(starts[first], size)]
-        text = pa.Array.from_buffers(pa.string(), len(first), [None, pa.py_buffer(cut.astype(np.int32)), pa.py_buffer(flat)])
+        size = ends[at] - starts[at]
+        cut = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+        flat = low[np.arange(cut[-1]) - np.repeat(cut[:-1], size) + np.repeat(starts[at], size)]
+        text = pa.Array.from_buffers(pa.string(), len(at), [None, pa.py_buffer(cut.astype(np.int32)), pa.py_buffer(flat)])
         total = np.bincount(of[row], minlength=len(langs)).astype(np.int64)
+        path = np.zeros((len(at) + len(two_at) + len(langs), 2), dtype=np.uint64)
+        path[:len(at), 0] = h[at]
+        path[len(at):len(at) + len(two_at)] = np.column_stack([h[two_at], h[two_at + 1]])
+        keys = np.concatenate([one, two, hashes])
         rows = pa.table({
-            "lang": pa.concat_arrays([langs.take(pa.array(of[row[first]])), langs]), "word": pa.concat_arrays([text, pa.nulls(len(langs), pa.string())]),
-            "path": _bytes(np.concatenate([h[first], np.zeros(len(langs), dtype=np.uint64)])[:, None], np.ones(len(first) + len(langs), dtype=np.int64)), "key": np.concatenate([keys, hashes]).view(np.int64)})
-        return np.concatenate([keys, hashes]), np.concatenate([counts, total]), rows
+            "lang": pa.concat_arrays([langs.take(pa.array(of[row[np.concatenate([at, two_at])]])), langs]),
+            "word": pa.concat_arrays([text, pa.nulls(len(two_at) + len(langs), pa.string())]),
+            "path": _bytes(path, np.repeat([1, 2, 0], [len(at), len(two_at), len(langs)])), "key": keys.view(np.int64)})
+        return keys, np.concatenate([c1, c2, total]), rows
 
     counted = _tallied(docs, found, "lang string, word string, path binary, key long, c long")
     return counted.groupBy("lang", "word", "path").agg(F.min("key").alias("key"), F.sum("c").alias("c"))
 
 
-def _pair_counts(docs: DataFrame, frequent) -> DataFrame:
-    """(lang, path, key, c) of the pairs of frequent words."""
-
-    def found(langs, hashes, of, data, offsets):
-        h, _, _, row, left = words_of(data, offsets)
-        own = hashes[of[row]]
-        often = passes(frequent.value, mix(h ^ own))
-        at = np.flatnonzero(often[:-1] & often[1:] & (left[:-1] > 1)) if len(h) else row
-        keys, first, counts = _unique(pair_keys(h[at], h[at + 1], own[at]))
-        at = at[first]
-        rows = pa.table({"lang": langs.take(pa.array(of[row[at]])), "path": _bytes(np.column_stack([h[at], h[at + 1]]), np.full(len(at), 2)), "key": keys.view(np.int64)})
-        return keys, counts, rows
-
-    return _tallied(docs, found, "lang string, path binary, key long, c long").groupBy("lang", "path").agg(F.min("key").alias("key"), F.sum("c").alias("c"))
-
-
-def pair_keys(a: np.ndarray, b: np.ndarray, lang: np.ndarray) -> np.ndarray:
-    return mix((mix(a ^ lang) * PLACE_STEP) ^ b)
-
-
-def _pointers(docs: DataFrame, pairs, hot) -> DataFrame:
-    """(lang, path, route, hot, c): suffix pointers of three words and more, cut before the first pair that is not frequent."""
+def _pointers(docs: DataFrame, often, hot) -> DataFrame:
+    """(lang, path, route, hot, c): suffix pointers of three words and more, cut behind the last beginning in a bucket of
+    the filter."""
 
     def found(langs, hashes, of, data, offsets):
         h, _, _, row, left = words_of(data, offsets)
-        n = len(h)
-        if n:
-            own = hashes[of[row]]
-            key = np.zeros(n, dtype=np.uint64)
-            key[:-1] = pair_keys(h[:-1], h[1:], own[:-1])
-            often = (left > 1) & passes(pairs.value, key)
-            rare = np.append(np.flatnonzero(~often), n)
-            width = np.minimum(rare[np.searchsorted(rare, np.arange(n))] - np.arange(n) + 1, LONGEST)
-            at = np.flatnonzero(width > 2)
-        else:
-            at, own, key, width = row, h, h, row
-        width = width[at]
+        width, pair = np.ones(len(h), dtype=np.int64), np.zeros(len(h), dtype=np.uint64)
+        for words, (at, key) in enumerate(growing(h, hashes[of[row]], left, often.value), 1):
+            width[at] = words
+            if words == 2:
+                pair[at] = key
+        at = np.flatnonzero(width > 2)
+        width, pair = width[at], pair[at]
         path = np.zeros((len(at), LONGEST), dtype=np.uint64)
         for k in range(LONGEST):
-            path[:, k] = np.where(k < width, h[np.minimum(at + k, max(n - 1, 0))], 0) if n else 0
-        common = passes(hot.value, key[at])
-        route = mix(key[at] * PLACE_STEP ^ path[:, 2])
+            path[:, k] = np.where(k < width, h[np.minimum(at + k, len(h) - 1)], 0) if len(at) else 0
+        common = passes(hot.value, pair)
+        route = mix(pair * PLACE_STEP ^ path[:, 2])
         whole = mix(mix(route * PLACE_STEP ^ path[:, 3]) * PLACE_STEP ^ path[:, 4])
         keys, first, counts = _unique(whole)
         rows = pa.table({
@@ -328,12 +415,12 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, text: str = "text", lang:
     ``least`` times. A path is the eight-byte hashes of its words."""
     context = docs.sparkSession.sparkContext
     docs = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).cast("string").alias("text"))
-    found = cut_lineage(_word_counts(docs).filter((F.col("c") >= least) | F.col("word").isNull()))
-    totals, words = found.filter("word is null").select("lang", F.col("c").alias("n")), found.filter("word is not null")
-    frequent = context.broadcast(_filter(words))
-    pairs = cut_lineage(_pair_counts(docs, frequent).filter(F.col("c") >= least))
-    often, hot = context.broadcast(_filter(pairs)), context.broadcast(_filter(pairs.filter(F.col("c") > HOT_PAIR)))
+    often = context.broadcast(_filter(cut_lineage(_often(docs, least))))
+    found = cut_lineage(_short_counts(docs, often).filter((F.col("c") >= least) | (F.length("path") == 0)))
+    totals, words, pairs = (found.filter(F.length("path") == 8 * k) for k in range(3))
+    hot = context.broadcast(_filter(pairs.filter(F.col("c") > HOT_PAIR)))
     longer = cut_lineage(_sorted_counts(_pointers(docs, often, hot), least))
+    totals = totals.select("lang", F.col("c").alias("n"))
     counts = reduce(DataFrame.unionByName, [t.select("lang", "path", "c") for t in (words, pairs, longer)])
     return totals, words.select("path", "word").distinct(), counts.select("lang", "path", (F.length("path") / 8).cast("int").alias("words"), F.col("c").alias("f"))
 
