@@ -1,9 +1,13 @@
+import gzip
+import hashlib
 import math
+import random
 
 import pytest
 from conftest import checks
 from pyspark.sql import functions as F
 
+from voxelcohort.functions.running import RunningDigest, resumable
 from voxelcohort.operators import audits, geometry, incremental
 
 NAN, INF = float("nan"), float("inf")
@@ -120,6 +124,44 @@ def test_signature_changes_with_any_input_but_not_order(spark):
         assert sig(changed) != base
 
 
+@pytest.mark.parametrize("algorithm", ["sha256", "md5"])
+def test_half_done_digest_goes_on_elsewhere(algorithm):
+    assert resumable(algorithm)
+    data = random.Random(3).randbytes(1_000)
+    for cut in (0, 1, 55, 56, 63, 64, 65, 500, 1_000):
+        first = RunningDigest(algorithm)
+        first.update(data[:cut])
+        second = RunningDigest(algorithm, first.state())
+        second.update(data[cut:])
+        assert first.hexdigest() == hashlib.new(algorithm, data[:cut]).hexdigest()
+        assert second.hexdigest() == hashlib.new(algorithm, data).hexdigest()
+
+
+@pytest.mark.parametrize("algorithm, handed_on", [("sha256", True), ("sha256", False), ("md5", True)])
+def test_files_longer_than_a_row(spark, tmp_path, monkeypatch, algorithm, handed_on):
+    some, mark = random.Random(5).randbytes, b"\xef\xbb\xbf"
+    files = {
+        "random.bin": some(150_000), "ended.bin": some(50_000) + b"\n", "breaks.bin": b"\r\n\n\r" * 12_000, "feeds.bin": b"\n" * 41_000, "zeros.bin": bytes(90_000),
+        "marked.bin": mark + some(60_000), "twice.bin": mark + mark + b"x\n" * 25_000, "with space%20.bin": some(45_000),
+        "packed.gz": gzip.compress(some(20_000)), "edge.bin": some(10_000), "over.bin": some(10_001), "short.bin": b"abc",
+    }
+    for name, content in files.items():
+        (tmp_path / name).write_bytes(content)
+    if not handed_on:
+        monkeypatch.setattr(incremental, "resumable", lambda algorithm: False)
+    small = {"spark.sql.files.maxPartitionBytes": "7001", "spark.sql.sources.binaryFile.maxLength": "40000"}
+    try:
+        for key, value in small.items():
+            spark.conf.set(key, value)
+        got = incremental.file_digests(spark, str(tmp_path), algorithm=algorithm, whole=10_000, span=25_000).collect()
+    finally:
+        for key in small:
+            spark.conf.unset(key)
+    assert {r["path"].rsplit("/", 1)[1]: (r["bytes"], r["digest"]) for r in got} == {
+        name: (len(content), hashlib.new(algorithm, content).hexdigest()) for name, content in files.items()}
+    assert len(got) == len(files)
+
+
 def test_stale_and_progress(spark):
     current = spark.createDataFrame([(c, "s") for c in "abcd"], "case_id string, signature string")
     saved = spark.createDataFrame([("a", "s", "v1", "complete"), ("b", "s", "v0", "complete"), ("c", "old", "v1", "complete"), ("d", "s", "v1", "running")], "case_id string, signature string, schema string, status string")
