@@ -1,6 +1,7 @@
 """Registered queries: complete registry, SQL checks at the smallest scale, and plan shapes."""
 
 import os
+import random
 
 import duckdb
 import pytest
@@ -104,3 +105,30 @@ def test_filters_and_columns_reach_the_scan(spark):
     read = plan.split("ReadSchema: ")[1].split("\n")[0]
     assert "o_totalprice" not in read and "o_orderdate" not in read
     assert "EqualTo(o_orderstatus,F)" in plan
+
+
+def ties(folder, spark):
+    """``lineitem`` of 40 suppliers whose scores tie exactly at 0.5, its rows mixed over five files."""
+    rng, rows = random.Random(3), []
+    for supplier in range(40):
+        discount, tax = [rng.choice((2, 8)) for _ in range(60)], [rng.choice((1, 7)) for _ in range(60)]
+        for cents, most, total in ((discount, 10, 300), (tax, 8, 250)):
+            while sum(cents) != total:
+                i, step = rng.randrange(60), 1 if sum(cents) < total else -1
+                cents[i] = min(max(cents[i] + step, 0), most)
+        rows += [(supplier, 1.0, 100.0 + i, d / 100, t / 100) for i, (d, t) in enumerate(zip(discount, tax))]
+    rng.shuffle(rows)
+    for i in range(5):
+        part = spark.createDataFrame(rows[i::5], "l_suppkey long, l_quantity double, l_extendedprice double, l_discount double, l_tax double")
+        part.coalesce(1).write.parquet(f"{folder}/lineitem.parquet/part={i}")
+    con = duckdb.connect()
+    con.execute("SET threads = 1")  # its sums follow the order of the rows then
+    con.execute(f"CREATE VIEW lineitem AS SELECT * EXCLUDE (part) FROM read_parquet('{folder}/lineitem.parquet/*/*.parquet', hive_partitioning = true)")
+    return con
+
+
+def test_exact_ties_fall_as_in_sql_whatever_the_files(spark, tmp_path):
+    con = ties(tmp_path, spark)
+    for name in ("win_loss",):
+        got = contract.queries()[name](spark, str(tmp_path)).toPandas()
+        assert canonical(got) == canonical(con.sql(contract.oracle_sql()[name]).df()), name

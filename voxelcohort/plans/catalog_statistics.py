@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from voxelcohort.operators import statistics as st
 from voxelcohort.plans.catalog_metrics import rounded
 from voxelcohort.plans.registry import query
-from voxelcohort.plans.views import cte, table, view
+from voxelcohort.plans.views import cte, settled_arms, table, view
 
 SEED = 2026
 METRICS = ("dice", "avd")
@@ -58,14 +58,14 @@ def deltas(spark, sf):
     return view(spark, sf, "arms").selectExpr("case_id", "b_dice - a_dice as dice", "b_avd - a_avd as avd")
 
 
-def arm(spark, sf, side):
-    return view(spark, sf, "arms").selectExpr(
+def arm(spark, sf, side, arms=None):
+    return (view(spark, sf, "arms") if arms is None else arms).selectExpr(
         "case_id", "fold", "reference_volume_ml", "double(0.008) as voxel_volume_ml", "case_id % 9 as reference_lesion_count",
         f"{side}_dice as dice", f"{side}_avd as avd")
 
 
-def pairs_of(spark, sf):
-    return st.pair_arms(arm(spark, sf, "a"), arm(spark, sf, "b"), METRICS)[0]
+def pairs_of(spark, sf, arms=None):
+    return st.pair_arms(arm(spark, sf, "a", arms), arm(spark, sf, "b", arms), METRICS)[0]
 
 
 @query("bootstrap_mean_ci", DELTAS_SQL + "," + BOOT_SQL + " SELECT metric, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high FROM ci")
@@ -150,7 +150,8 @@ def report_lines(spark, sf):
 SELECT 'dice' AS metric, count(*) FILTER (dice > 0) AS improved, count(*) FILTER (dice < 0) AS worsened, count(*) FILTER (abs(dice) <= 1e-12) AS unchanged FROM d
 UNION ALL SELECT 'avd', count(*) FILTER (avd < 0), count(*) FILTER (avd > 0), count(*) FILTER (abs(avd) <= 1e-12) FROM d""")
 def win_loss(spark, sf):
-    return st.win_loss(pairs_of(spark, sf), {"dice": "higher", "avd": "lower"})
+    arms = settled_arms(spark, sf, F.least(*[F.abs(F.col(f"b_{m}") - F.col(f"a_{m}")) for m in METRICS]) <= 1e-6)
+    return st.win_loss(pairs_of(spark, sf, arms), {"dice": "higher", "avd": "lower"})
 
 
 QUARTILE_SQL = DELTAS_SQL + """,
