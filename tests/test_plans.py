@@ -129,6 +129,6 @@ def ties(folder, spark):
 
 def test_exact_ties_fall_as_in_sql_whatever_the_files(spark, tmp_path):
     con = ties(tmp_path, spark)
-    for name in ("win_loss",):
+    for name in ("win_loss", "score_snapshot"):
         got = contract.queries()[name](spark, str(tmp_path)).toPandas()
         assert canonical(got) == canonical(con.sql(contract.oracle_sql()[name]).df()), name
