@@ -1,12 +1,15 @@
+from pathlib import Path
+
 import numpy as np
 import pytest
 
 from pyspark.sql import functions as F
 
 from voxelcohort.operators import models
-from voxelcohort.operators.batch_models import Condition, fit_svms, fourier_features, scaling, score_svms
+from voxelcohort.operators.batch_models import Condition, closed, fit_svms, fourier_features, rank_auc, scaling, score_svms
+from voxelcohort.operators.features import FEATURE_NAMES
 from voxelcohort.plans import classifier
-from voxelcohort.session import scratch_path
+from voxelcohort.session import scratch_path, shared_dir
 
 
 @pytest.fixture(scope="module")
@@ -152,3 +155,56 @@ def test_held_out_scores_without_stored_features(lesions):
     held = classifier.score_held_out(pixels, split, prepare, conditions, 1)
     assert sorted(map(tuple, held.collect())) == sorted(map(tuple, classifier.scored_conditions(data, conditions, 1).collect()))
     assert seen[0] <= split.where("role = 'test'").count() + 2
+
+
+def stored(spark, run):
+    """Bytes that ``run`` leaves in the shared folder."""
+    size = lambda: sum(p.stat().st_size for p in Path(shared_dir(spark)).rglob("part-*"))
+    before = size()
+    run()
+    return size() - before
+
+
+@pytest.fixture(scope="module")
+def dealt_lesions(lesions):
+    pixels, split = lesions
+    again = lambda df: df.unionByName(df.withColumn("case_id", F.concat("case_id", F.lit("x"))))
+    return again(pixels), again(split)
+
+
+def test_svm_sweep_stores_no_score_a_condition(spark, dealt_lesions):
+    pixels, split = dealt_lesions
+    grid = [("none", c, 0.1) for c in (0.1, 0.3, 1.0, 3.0, 5.0, 7.0, 10.0, 20.0)]
+    run = lambda g: classifier.svm_sweep(spark, pixels, split, scratch_path(spark, "kept"), g, 5, 8, 3).collect()
+    one, eight = stored(spark, lambda: run(grid[:1])), stored(spark, lambda: run(grid))
+    assert eight - one < 8 * 4_000  # a row of summary a condition, no row a pixel
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_sets_are_evaluated_like_scored_rows(monkeypatch, dealt_lesions, limit):
+    """In one task an image or, where it is too large, by distributed steps: as rows scored, closed and ranked by themselves."""
+    monkeypatch.setattr(classifier, "IMAGE_PIXELS", limit)
+    pixels, split = dealt_lesions
+    grid = [Condition(s, "all", models.RbfSvmConfig(scaler=s, components=32, max_iter=30)) for s in ("standard", "none")]
+    data = classifier.with_roles(classifier.prepare_pixels(pixels), split).withColumn("data", F.lit("all"))
+    want = classifier.evaluate_conditions(classifier.scored_conditions(data, grid, 20), classifier.image_shapes(pixels))
+    got = classifier.evaluate_sets(pixels, classifier.roles_of(split, ["all"]), classifier.prepare_pixels, {"all": FEATURE_NAMES}, grid, 20)
+    rows = lambda df: sorted(tuple(r) for r in df.select("model", "case_id", *classifier.SCORES).collect())
+    got, want = rows(got), rows(want)
+    assert len(got) == 8 and [r[:2] for r in got] == [r[:2] for r in want]
+    assert np.allclose(np.array([r[2:] for r in got], float), np.array([r[2:] for r in want], float), equal_nan=True)
+
+
+@pytest.mark.parametrize("radius", [0, 1, 2, 3])
+def test_dense_closing_equals_the_distributed_one(spark, radius):
+    rng = np.random.default_rng(radius)
+    mask = rng.random((3, 9, 7)) < 0.35
+    rows = [(str(i), int(r), int(c)) for i, r, c in zip(*np.nonzero(mask))]
+    shapes = spark.createDataFrame([(str(i), 9, 7) for i in range(3)], "case_id string, height int, width int")
+    want = classifier.masks.close_2d(spark.createDataFrame(rows, "case_id string, row int, col int"), shapes, radius).collect()
+    assert sorted(map(tuple, want)) == [(str(i), int(r), int(c)) for i, r, c in zip(*np.nonzero(closed(mask, radius)))]
+
+
+def test_rank_auc_counts_ties_half_and_needs_both_classes():
+    score, positive = np.array([1.0, 2.0, 2.0, 3.0, np.nan]), np.array([False, True, False, True, True])
+    assert rank_auc(score, positive, ~positive) == pytest.approx(3.5 / 4) and rank_auc(score, positive, positive & False) is None

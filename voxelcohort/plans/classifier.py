@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelcohort.operators import masks, metrics, models, preprocess, splits
-from voxelcohort.operators.batch_models import Condition, fit_svms, score_svms
-from voxelcohort.operators.features import nine_features
-from voxelcohort.session import cut_lineage, read_if_present
+from voxelcohort.operators.batch_models import Condition, evaluate_svms, fit_svms, score_svms
+from voxelcohort.operators.features import FEATURE_NAMES, nine_features
+from voxelcohort.session import cut_lineage, read_if_present, small_side
 
 # Fixed sensitivity grids.
 FEATURE_VARIANTS = {
@@ -31,6 +31,8 @@ MORPHOLOGY_RADII, MORPHOLOGY_SCALERS = (0, 1, 2, 3, 5), ("standard", "none")
 LEAKAGE_SPLITS = {"pixel_70_30": (0.70, 0.0), "pixel_70_15_15": (0.70, 0.15)}
 HISTOGRAM_MODES = ("none", "first", "median_nearest")
 SCORES = ("dice", "precision", "recall", "auc")
+CASES = 1_000_000  # rows of a case and some small numbers that are broadcast
+IMAGE_PIXELS = 1 << 20  # images up to this size are evaluated in one task, larger ones by distributed steps
 
 Fit = Callable[[DataFrame], models.PixelModel]
 
@@ -52,12 +54,20 @@ def prepare_pixels(
     The brain filter stays behind the windows, which need whole images. Images are single slices, so pixels move once, dealt
     by image, and every window finds its line in place.
     """
-    return _featured(preprocess.preprocess(pixels.repartition(*image), mode, median_size, image), options, image)
+    return _featured(preprocess.preprocess(dealt(pixels, image), mode, median_size, image), options, image)
+
+
+def dealt(pixels: DataFrame, image: Sequence[str] = ("case_id",)) -> DataFrame:
+    """Pixels by image in as many tasks as the session's shuffles have: few bytes here are much work, so they are not merged."""
+    return pixels.repartition(int(pixels.sparkSession.conf.get("spark.sql.shuffle.partitions")), *image)
 
 
 def _featured(filtered: DataFrame, options: Mapping[str, object] | None, image: Sequence[str] = ("case_id",)) -> DataFrame:
-    out = nine_features(filtered, image, **(options or {})).where("brain")
-    return out.withColumn("label", (F.col("label").cast("int") > 0).cast("int"))
+    return brain_rows(nine_features(filtered, image, **(options or {})))
+
+
+def brain_rows(featured: DataFrame) -> DataFrame:
+    return featured.where("brain").withColumn("label", (F.col("label").cast("int") > 0).cast("int"))
 
 
 def image_shapes(pixels: DataFrame) -> DataFrame:
@@ -236,6 +246,56 @@ def score_held_out(
     return score_svms(data.where("role = 'test'"), conditions, fitted, [*pixel, "label"])
 
 
+def roles_of(split: DataFrame, names: Sequence[str]) -> DataFrame:
+    """``(case_id, train, held)`` where all data sets share one split."""
+    every, none = F.array(*[F.lit(n) for n in names]), F.array().cast("array<string>")
+    of = lambda role: F.when(F.col("role") == role, every).otherwise(none)
+    return split.select("case_id", of("train").alias("train"), of("test").alias("held"))
+
+
+def evaluate_sets(
+    pixels: DataFrame, roles: DataFrame, prepare: Callable[[DataFrame], DataFrame], columns: Mapping[str, Sequence[str]],
+    conditions: Sequence[Condition], target: int, seed: int = 2026,
+) -> DataFrame:
+    """Case metrics ``(model, case_id, <scores>)`` of every condition on the images that its data set holds out.
+
+    ``roles``: ``(case_id, train, held)``, the data sets that train on an image and those that hold it out; ``columns``: the
+    feature columns of each set in what ``prepare`` makes. The sample is drawn from keys and labels, so only its rows are
+    stored; held-out pixels move once, to the task of their image, which emits the image's metrics.
+    """
+    names, pixel = list(columns), ["case_id", "row", "col"]
+    known = F.array(*[F.lit(n) for n in names])
+    places = lambda c: F.transform(c, lambda d: (F.array_position(known, d) - 1).cast("short"))
+    roles = small_side(roles.select("case_id", places("train").alias("train"), places("held").alias("held")), CASES)
+    train = pixels.where(masks.brain_mask(F.col("value"))).join(roles.select("case_id", "train"), "case_id")
+    keys = train.select(*pixel, (F.col("label").cast("int") > 0).cast("int").alias("label"), F.explode("train").alias("_i"))
+    keys = keys.withColumn("data", F.get(known, F.col("_i"))).drop("_i")
+    drawn = cut_lineage(splits.balanced_sample(keys, "label", ["data", *pixel], target, seed, group=["data"]).select("data", *pixel))
+    own = F.broadcast(drawn.groupBy(*pixel).agg(F.collect_set("data").alias("drawn")))  # at most 2 * target rows a set
+    images = F.broadcast(drawn.select("case_id").distinct())
+    made = [F.when(F.array_contains("drawn", d), F.struct(F.lit(d).alias("data"), *[F.col(c).cast("double").alias(f) for c, f in zip(columns[d], FEATURE_NAMES)])) for d in names]
+    sampled = prepare(pixels.join(images, "case_id", "left_semi")).join(own, pixel)
+    sample = sampled.select("label", F.explode(F.filter(F.array(*made), lambda s: s.isNotNull())).alias("_s")).select("label", "_s.*")
+    fitted = fit_svms(sample, conditions)
+
+    lowest = pixels.groupBy("case_id").agg(F.least(F.min("row"), F.min("col")).alias("low"))
+    sizes = image_shapes(pixels).join(lowest, "case_id").withColumn("fits", (F.col("height") * F.col("width") <= IMAGE_PIXELS) & (F.col("low") >= 0))
+    held = F.array_join(F.transform("held", lambda i: i.cast("string")), ",").alias("held")
+    cases = small_side(roles.where(F.size("held") > 0).join(sizes, "case_id").select("case_id", held, "height", "width", "fits"), CASES)
+    test = lambda rule: prepare(pixels.join(cases.where(rule).drop("fits"), "case_id"))
+    rows = [metrics.with_overlap_scores(evaluate_svms(test("fits"), conditions, fitted, columns))]
+    if not cases.where("not fits").isEmpty():
+        large = cut_lineage(test("not fits"))
+        named = [
+            large.where(F.array_contains(F.split("held", ","), str(i))).select(
+                F.lit(d).alias("data"), *pixel, "label", *[F.col(c).cast("double").alias(f) for c, f in zip(columns[d], FEATURE_NAMES)])
+            for i, d in enumerate(names)
+        ]
+        scored = score_svms(reduce(DataFrame.unionByName, named), conditions, fitted, [*pixel, "label"])
+        rows.append(evaluate_conditions(scored, cases.select("case_id", "height", "width")))
+    return reduce(DataFrame.unionByName, [r.select("model", F.col("case_id").cast("string"), *SCORES) for r in rows])
+
+
 def _grid(data: DataFrame, shapes: DataFrame, conditions: Sequence[Condition], target: int, todo: Sequence[str]) -> DataFrame:
     wanted = [c for c in conditions if c.name in todo]
     needed = [c.data for c in wanted]
@@ -288,8 +348,9 @@ def svm_sweep(
     ]
 
     def run(todo: list[str]) -> DataFrame:
-        scored = score_held_out(pixels, split, {"all": prepare_pixels}, [c for c in conditions if c.name in todo], target)
-        return summarize(evaluate_conditions(scored, image_shapes(pixels))).withColumnRenamed("model", "condition")
+        wanted = [c for c in conditions if c.name in todo]
+        rows = evaluate_sets(pixels, roles_of(split, ["all"]), prepare_pixels, {"all": FEATURE_NAMES}, wanted, target)
+        return summarize(rows).withColumnRenamed("model", "condition")
 
     return run_grid(spark, [c.name for c in conditions], run, path)
 
