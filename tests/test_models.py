@@ -208,3 +208,10 @@ def test_dense_closing_equals_the_distributed_one(spark, radius):
 def test_rank_auc_counts_ties_half_and_needs_both_classes():
     score, positive = np.array([1.0, 2.0, 2.0, 3.0, np.nan]), np.array([False, True, False, True, True])
     assert rank_auc(score, positive, ~positive) == pytest.approx(3.5 / 4) and rank_auc(score, positive, positive & False) is None
+
+
+def test_split_sweep_stores_no_score_a_seed(spark, dealt_lesions):
+    pixels, _ = dealt_lesions
+    run = lambda n: classifier.split_sweep(spark, pixels, models.RbfSvmConfig(components=8, max_iter=3), scratch_path(spark, "seeds"), range(n), 1).collect()
+    one, eight = stored(spark, lambda: run(1)), stored(spark, lambda: run(8))
+    assert eight - one < 7 * 6_000  # summary, roles, keys and two sampled pixels a seed, no row a held-out pixel

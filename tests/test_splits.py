@@ -137,3 +137,15 @@ def test_missing_artifacts_and_shards(spark):
     shards = splits.shard_plan(spark.range(23).selectExpr("id as case_id", "2L as size"), 10).orderBy("shard").collect()
     assert [(r["subjects"], r["bytes"]) for r in shards] == [(10, 20), (10, 20), (3, 6)]
     assert shards[2]["subject_list"] == "20,21,22"
+
+
+def test_thinned_rows_and_shared_splits_give_the_same_draws(spark):
+    rows = spark.range(6000).selectExpr("if(id % 2 = 0, 'a', 'b') as data", "id as case_id", "cast(id % 7 = 0 as int) as label")
+    sizes = {(r["data"], r["label"]): r["count"] for r in rows.groupBy("data", "label").count().collect()}
+    few = splits.thinned(rows, sizes, ["data", "case_id"], 20)
+    draw = lambda df: sorted(map(tuple, splits.balanced_sample(df, "label", ["data", "case_id"], 20, group=["data"]).collect()))
+    assert few.count() < 1000 and draw(few) == draw(rows) and len(draw(few)) == 80
+    cases = spark.range(50).select(F.col("id").alias("case_id"))
+    got = {(r["data"], r["case_id"]): r["role"] for r in splits.holdout_splits(cases, {"x": 3, "y": 4}).collect()}
+    for name, seed in (("x", 3), ("y", 4)):
+        assert {(name, r["case_id"]): r["role"] for r in splits.holdout_split(cases, seed=seed).collect()}.items() <= got.items()

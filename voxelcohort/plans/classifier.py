@@ -270,6 +270,10 @@ def evaluate_sets(
     train = pixels.where(masks.brain_mask(F.col("value"))).join(roles.select("case_id", "train"), "case_id")
     keys = train.select(*pixel, (F.col("label").cast("int") > 0).cast("int").alias("label"), F.explode("train").alias("_i"))
     keys = keys.withColumn("data", F.get(known, F.col("_i"))).drop("_i")
+    per_case = train.groupBy("case_id", "train", (F.col("label").cast("int") > 0).cast("int").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    per_set = per_case.select("label", "n", F.explode("train").alias("_i"))
+    sizes = {(names[r["_i"]], r["label"]): r["n"] for r in per_set.groupBy("_i", "label").agg(F.sum("n").alias("n")).collect()}  # two a set
+    keys = splits.thinned(keys, sizes, ["data", *pixel], target, seed) if sizes else keys
     drawn = cut_lineage(splits.balanced_sample(keys, "label", ["data", *pixel], target, seed, group=["data"]).select("data", *pixel))
     own = F.broadcast(drawn.groupBy(*pixel).agg(F.collect_set("data").alias("drawn")))  # at most 2 * target rows a set
     images = F.broadcast(drawn.select("case_id").distinct())
@@ -328,11 +332,11 @@ def split_sweep(
     names = {f"seed_{s:02d}": s for s in seeds}
 
     def run(todo: list[str]) -> DataFrame:
-        prepared = cut_lineage(prepare_pixels(pixels))
-        cases = cut_lineage(pixels.select("case_id").distinct())
-        parts = [splits.holdout_split(cases, seed=names[n]).select("case_id", "role").withColumn("data", F.lit(n)) for n in todo]
-        data = prepared.join(cut_lineage(reduce(DataFrame.unionByName, parts)), "case_id")
-        return _grid(data, image_shapes(pixels), [Condition(n, n, config) for n in names], target, todo)
+        every = cut_lineage(splits.holdout_splits(pixels.select("case_id"), {n: names[n] for n in todo}))
+        of = lambda role: F.sort_array(F.collect_list(F.when(F.col("role") == role, F.col("data"))))
+        roles = every.groupBy("case_id").agg(of("train").alias("train"), of("test").alias("held"))
+        rows = evaluate_sets(pixels, roles, prepare_pixels, dict.fromkeys(todo, FEATURE_NAMES), [Condition(n, n, config) for n in todo], target)
+        return summarize(rows).withColumnRenamed("model", "condition")
 
     return run_grid(spark, list(names), run, path)
 
