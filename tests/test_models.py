@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from voxelcohort.operators import models
 from voxelcohort.operators.batch_models import Condition, closed, fit_svms, fourier_features, rank_auc, scaling, score_svms
-from voxelcohort.operators.features import FEATURE_NAMES
+from voxelcohort.operators.features import FEATURE_NAMES, RUN_MODES, nine_features, run_columns, variant_features
 from voxelcohort.plans import classifier
 from voxelcohort.session import scratch_path, shared_dir
 
@@ -215,3 +215,16 @@ def test_split_sweep_stores_no_score_a_seed(spark, dealt_lesions):
     run = lambda n: classifier.split_sweep(spark, pixels, models.RbfSvmConfig(components=8, max_iter=3), scratch_path(spark, "seeds"), range(n), 1).collect()
     one, eight = stored(spark, lambda: run(1)), stored(spark, lambda: run(8))
     assert eight - one < 7 * 6_000  # summary, roles, keys and two sampled pixels a seed, no row a held-out pixel
+
+
+def test_feature_variants_share_their_preprocessing(spark, monkeypatch, dealt_lesions):
+    pixels, split = dealt_lesions
+    seen, real = [], classifier.preprocess.preprocess
+    monkeypatch.setattr(classifier.preprocess, "preprocess", lambda *a, **k: seen.append(a[1]) or real(*a, **k))
+    variants = {f"v{t}_{m}": ("paper_minimal", m, t) for t in (20.0, 60.5) for m in RUN_MODES}
+    got = classifier.feature_sweep(spark, pixels, split, models.RbfSvmConfig(components=8, max_iter=3), scratch_path(spark, "variants"), 5, variants).collect()
+    assert len(got) == 6 and len(seen) <= 2  # the sampled and the held-out images
+    wide = {(r["case_id"], r["row"], r["col"]): r for r in variant_features(pixels.where("case_id = 'c0'"), [v[1:] for v in variants.values()]).collect()}
+    for name in ("v20.0_max_run", "v60.5_centered_run"):
+        for r in nine_features(pixels.where("case_id = 'c0'"), threshold=variants[name][2], mode=variants[name][1]).collect():
+            assert [r[f] for f in FEATURE_NAMES] == [wide[r["case_id"], r["row"], r["col"]][c] for c in run_columns(list(variants).index(name))]

@@ -7,7 +7,7 @@ Images must be dense rectangles (see ``masks.dense_violations``).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -79,6 +79,44 @@ def _line(direction: tuple[int, int], image: Sequence[str]) -> tuple[list[Column
     return keys + line, coordinate
 
 
+def directional_runs(
+    pixels: DataFrame, direction: tuple[int, int], runs: Mapping[str, tuple[str, float]], window: int = 25,
+    image: Sequence[str] = ("case_id",),
+) -> DataFrame:
+    """Adds a column for each ``{name: (mode, threshold)}``, as ``directional_run``; a direction's lines are sorted once for all.
+
+    Only ``centered_run`` needs them in reverse order as well.
+    """
+    for mode, _ in runs.values():
+        if mode not in RUN_MODES or window < 1 or window % 2 == 0:
+            raise ValueError(f"a run needs an odd window and a mode of {RUN_MODES}, not {window} and {mode!r}")
+    (*_, line), c = _line(direction, image)
+    r = window // 2
+    ahead = W.partitionBy(*image, "_line").orderBy(c)
+    near, forward = ahead.rangeBetween(-r, r), ahead.rowsBetween(W.unboundedPreceding, W.currentRow)
+    backward = W.partitionBy(*image, "_line").orderBy(c.desc()).rowsBetween(W.unboundedPreceding, W.currentRow)
+    high = {name: F.col("value") >= threshold for name, (_, threshold) in runs.items()}
+    of = lambda mode: [name for name, (m, _) in runs.items() if m == mode]
+    start = lambda name: F.coalesce(F.last(F.when(~high[name], c), ignorenulls=True).over(forward) + 1, F.min(c).over(forward))
+    end = lambda name: F.coalesce(F.last(F.when(~high[name], c), ignorenulls=True).over(backward) - 1, F.max(c).over(backward))
+    out = pixels.withColumn("_line", line).withColumns(
+        {name: F.count_if(high[name]).over(near).cast("int") for name in of("threshold_count")}
+        | {f"_s_{name}": start(name) for name in [*of("centered_run"), *of("max_run")]}
+    )
+    if of("max_run"):
+        out = out.withColumn("_p", c).withColumns({f"_cur_{n}": F.when(high[n], c - F.col(f"_s_{n}") + 1).otherwise(0) for n in of("max_run")})
+        around = {f"_w_{n}": F.collect_list(F.struct("_p", F.col(f"_cur_{n}").alias("_cur"))).over(near) for n in of("max_run")}  # at most ``window`` items
+        inside = lambda q: F.least(q["_cur"], q["_p"] - F.col("_p") + r + 1)
+        out = out.withColumns(around).withColumns({n: F.array_max(F.transform(f"_w_{n}", inside)).cast("int") for n in of("max_run")})
+        out = out.drop("_p", *[f"{p}_{n}" for n in of("max_run") for p in ("_s", "_cur", "_w")])
+    if of("centered_run"):
+        out = out.withColumns({f"_e_{n}": end(n) for n in of("centered_run")})
+        run = lambda n: F.least(F.col(f"_e_{n}"), c + r) - F.greatest(F.col(f"_s_{n}"), c - r) + 1
+        out = out.withColumns({n: F.when(high[n], run(n)).otherwise(0).cast("int") for n in of("centered_run")})
+        out = out.drop(*[f"{p}_{n}" for n in of("centered_run") for p in ("_s", "_e")])
+    return out.drop("_line")
+
+
 def directional_run(
     pixels: DataFrame, direction: tuple[int, int], name: str, threshold: float = 20.0, window: int = 25,
     mode: str = "threshold_count", image: Sequence[str] = ("case_id",),
@@ -88,28 +126,23 @@ def directional_run(
     ``threshold_count`` counts them, ``centered_run`` is the run through the pixel clipped to
     the window, ``max_run`` the longest run inside it. Outside the image counts as below.
     """
-    if mode not in RUN_MODES or window < 1 or window % 2 == 0:
-        raise ValueError(f"a run needs an odd window and a mode of {RUN_MODES}, not {window} and {mode!r}")
-    keys, c = _line(direction, image)
-    r = window // 2
-    high = F.col("value") >= threshold
-    near = W.partitionBy(*keys).orderBy(c).rangeBetween(-r, r)
-    if mode == "threshold_count":
-        return pixels.withColumn(name, F.count_if(high).over(near).cast("int"))
-    forward = W.partitionBy(*keys).orderBy(c).rowsBetween(W.unboundedPreceding, W.currentRow)
-    low_before = F.last(F.when(~high, c), ignorenulls=True).over(forward)
-    first = F.min(c).over(forward)
-    start = F.coalesce(low_before + 1, first)
-    if mode == "centered_run":
-        backward = W.partitionBy(*keys).orderBy(c.desc()).rowsBetween(W.unboundedPreceding, W.currentRow)
-        end = F.coalesce(F.last(F.when(~high, c), ignorenulls=True).over(backward) - 1, F.max(c).over(backward))
-        marked = pixels.withColumn("_s", start).withColumn("_e", end)
-        run = F.least(F.col("_e"), c + r) - F.greatest(F.col("_s"), c - r) + 1
-        return marked.withColumn(name, F.when(high, run).otherwise(0).cast("int")).drop("_s", "_e")
-    marked = pixels.withColumn("_p", c).withColumn("_cur", F.when(high, c - start + 1).otherwise(0))
-    around = marked.withColumn("_w", F.collect_list(F.struct("_p", "_cur")).over(near))  # at most ``window`` items
-    inside = F.transform("_w", lambda q: F.least(q["_cur"], q["_p"] - F.col("_p") + r + 1))
-    return around.withColumn(name, F.array_max(inside).cast("int")).drop("_p", "_cur", "_w")
+    return directional_runs(pixels, direction, {name: (mode, threshold)}, window, image)
+
+
+def run_columns(place: int) -> list[str]:
+    """Feature columns of the variant at ``place`` in ``variant_features``, in the order of ``FEATURE_NAMES``."""
+    return [f"{name}_{place}" if name in DIRECTIONS else name for name in FEATURE_NAMES]
+
+
+def variant_features(
+    pixels: DataFrame, variants: Sequence[tuple[str, float]], image: Sequence[str] = ("case_id",), window: int = 25,
+) -> DataFrame:
+    """``nine_features`` of several variants ``(mode, threshold)`` side by side: what they share is computed once."""
+    out = pixels
+    for name, direction in DIRECTIONS.items():
+        out = directional_runs(out, direction, {f"{name}_{i}": run for i, run in enumerate(variants)}, window, image)
+        out = local_means(out, image=image) if name == "run_horizontal" else out  # its lines are sorted already
+    return coordinates(out, "raw", image).withColumn("intensity", F.col("value"))
 
 
 def nine_features(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from voxelcohort.operators import masks, metrics, models, preprocess, splits
 from voxelcohort.operators.batch_models import Condition, evaluate_svms, fit_svms, score_svms
-from voxelcohort.operators.features import FEATURE_NAMES, nine_features
+from voxelcohort.operators.features import FEATURE_NAMES, nine_features, run_columns, variant_features
 from voxelcohort.session import cut_lineage, read_if_present, small_side
 
 # Fixed sensitivity grids.
@@ -70,6 +70,11 @@ def brain_rows(featured: DataFrame) -> DataFrame:
     return featured.where("brain").withColumn("label", (F.col("label").cast("int") > 0).cast("int"))
 
 
+def prepare_variants(pixels: DataFrame, mode: str, variants: Sequence[tuple[str, float]]) -> DataFrame:
+    """``prepare_pixels`` of several run variants side by side, in the columns ``run_columns`` names."""
+    return brain_rows(variant_features(preprocess.preprocess(dealt(pixels), mode), variants))
+
+
 def image_shapes(pixels: DataFrame) -> DataFrame:
     return pixels.groupBy("case_id").agg((F.max("row") + 1).alias("height"), (F.max("col") + 1).alias("width"))
 
@@ -315,12 +320,15 @@ def feature_sweep(
     spark: SparkSession, pixels: DataFrame, split: DataFrame, config: models.RbfSvmConfig, path: str, target: int = 2_000,
     variants: Mapping[str, tuple[str, str, float]] = FEATURE_VARIANTS,
 ) -> DataFrame:
-    """Every feature variant; the images of all variants are one table."""
+    """Every feature variant; variants of one preprocessing share its images and all features but the runs."""
     def run(todo: list[str]) -> DataFrame:
-        prepare = {name: partial(prepare_pixels, mode=mode, options={"threshold": threshold, "mode": run_mode})
-                   for name, (mode, run_mode, threshold) in variants.items()}
-        scored = score_held_out(pixels, split, prepare, [Condition(n, n, config) for n in variants if n in todo], target)
-        return summarize(evaluate_conditions(scored, image_shapes(pixels))).withColumnRenamed("model", "condition")
+        parts = []
+        for mode in dict.fromkeys(variants[n][0] for n in todo):
+            runs = {n: variants[n][1:] for n in variants if n in todo and variants[n][0] == mode}
+            columns = {n: run_columns(i) for i, n in enumerate(runs)}
+            prepare = partial(prepare_variants, mode=mode, variants=list(runs.values()))
+            parts.append(evaluate_sets(pixels, roles_of(split, list(runs)), prepare, columns, [Condition(n, n, config) for n in runs], target))
+        return summarize(reduce(DataFrame.unionByName, parts)).withColumnRenamed("model", "condition")
 
     return run_grid(spark, list(variants), run, path)
 
